@@ -26,9 +26,12 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None, fmt:
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
-def load_tables(spark: SparkSession, root: str, catalog: Mapping[str, T.StructType], fmt: str = "parquet") -> dict[str, DataFrame]:
+def load_tables(spark: SparkSession, root: str, catalog: Mapping[str, T.StructType],
+                fmt: str = "parquet") -> dict[str, DataFrame]:
+    """Every table of the catalog. CSV is read by the catalog's types, Parquet by its own (keys may be
+    numbers there)."""
     suffix = ".csv" if fmt == "csv" else ".parquet"
-    return {name: read_table(spark, f"{root.rstrip('/')}/{name}{suffix}", schema, fmt)
+    return {name: read_table(spark, f"{root.rstrip('/')}/{name}{suffix}", schema if fmt == "csv" else None, fmt)
             for name, schema in catalog.items()}
 
 
