@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from viewtide.catalogue import reference_sql
 from viewtide.operators import adoption, engagement, performance, publish, series, star_schema
+from viewtide.session import scratch_path
+from viewtide.sources import files
 from viewtide.sources.telemetry import Telemetry
 
 DIGITS = 6
@@ -70,6 +72,12 @@ class Data(Telemetry):
     def model(self) -> dict[str, DataFrame]:
         return star_schema.build_semantic_model(self.raw())
 
+    def stored_model(self) -> dict[str, DataFrame]:
+        """The star schema written out and read back: for queries that check every table many times."""
+        root = scratch_path(self.spark, "model")
+        files.save_tables(self.model(), root)
+        return files.load_processed_tables(self.spark, root)
+
     def totals_c(self) -> DataFrame:
         return series.daily_totals(self.usage_c())
 

@@ -147,7 +147,7 @@ def summary_sql() -> str:
 
 @query("dq_summary", uses=MODEL + " " + RAW, sql=summary_sql())
 def dq_summary(data: Data) -> DataFrame:
-    return validation.validate_semantic_model(data.model(), data.raw())["validation_summary"]
+    return validation.validate_semantic_model(data.stored_model(), data.raw())["validation_summary"]
 
 
 @query("agg_check_summary", uses=MODEL, sql=f"""
@@ -169,7 +169,7 @@ def agg_check_summary(data: Data) -> DataFrame:
     UNION ALL SELECT 'summary', check_group, checks_failed = 0, checks_failed FROM ({summary_sql()})""")
 def validate_semantic_model(data: Data) -> DataFrame:
     """The four result tables in one: what was checked, whether it held, how many faults."""
-    r = validation.validate_semantic_model(data.model(), data.raw())
+    r = validation.validate_semantic_model(data.stored_model(), data.raw())
     return Q.union([
         r["gx_validation_results"].select(
             F.lit("expectation").alias("kind"), F.concat_ws("/", "table_name", "expectation_name", "details").alias("name"),
@@ -197,7 +197,7 @@ def light_sql() -> str:
 
 @query("dq_model_light", uses=MODEL, sql=light_sql())
 def dq_model_light(data: Data) -> DataFrame:
-    return Q.run_lightweight_checks(data.model())
+    return Q.run_lightweight_checks(data.stored_model())
 
 
 @query("dq_raw_keys", uses=RAW, sql=union_sql([f"""

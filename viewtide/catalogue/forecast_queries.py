@@ -325,7 +325,7 @@ def fc_realized(data: Data) -> DataFrame:
 # The searched model (no SQL form) -------------------------------------------------------------------
 
 def _candidates(data: Data) -> DataFrame:
-    return forecasting.candidate_series(data.usage_c())
+    return forecasting.candidate_series(data.totals_c())
 
 
 @query("fc_model")

@@ -45,10 +45,11 @@ def daily_totals(usage: DataFrame, report_id_col: str = "Report Guid", date_col:
                         C.to_number_or_zero(usage, views_col).alias("views"))
     rows = G.enforce(rows, {f"Unable to parse all values in '{date_col}' into valid datetimes.":
                             ("date", F.col("_dated") & F.col("date").isNull())}, validate)
-    days = (rows.dropna(subset=["report_id", "date"]).groupBy("report_id", "date")
-            .agg(F.sum("views").alias("views"), F.min("_name").alias("_name")))
-    return days.select("report_id", F.min("_name").over(Window.partitionBy("report_id")).alias("report_name"),
-                       "date", "views")
+    # the name is a grouping key first, not a minimum of strings, which Spark could only take by sorting
+    named = (rows.dropna(subset=["report_id", "date"]).groupBy("report_id", "_name", "date")
+             .agg(F.sum("views").alias("views"))
+             .withColumn("report_name", F.min("_name").over(Window.partitionBy("report_id"))))
+    return named.groupBy("report_id", "report_name", "date").agg(F.sum("views").alias("views"))
 
 
 def _sufficiency_columns(over: Window | None, rule: Sufficiency) -> dict[str, Column]:

@@ -33,13 +33,12 @@ class ForecastPaths:
         return f"{self.root.rstrip('/')}/{name}"
 
 
-def candidate_series(usage: DataFrame, rule: S.Sufficiency = S.Sufficiency(), names: Collection[str] = (),
-                     **columns) -> DataFrame:
+def candidate_series(totals: DataFrame, rule: S.Sufficiency = S.Sufficiency(), names: Collection[str] = ()) -> DataFrame:
     """Numbered gap-free series of the reports worth modelling.
 
     The verdict is taken on the totals, so series that fail are never stretched to daily rows.
     """
-    worth = S.with_sufficiency(S.daily_totals(usage, **columns), rule).where("passes_data_criteria")
+    worth = S.with_sufficiency(totals, rule).where("passes_data_criteria")
     return S.split_series(S.fill_series(S.allowed_names(worth.select(
         "report_id", "report_name", "date", "views"), names)))
 
@@ -49,12 +48,13 @@ def run_forecasts_for_reports(usage: DataFrame, run: P.Run, horizon: int = P.HOR
                               names: Collection[str] = (), **columns) -> ForecastTables:
     """Backtest and forecast every report with enough data; publish the accepted ones only.
 
-    The numbered series (a row per report-day) and the fitted models (a row per report) are read by
-    several branches, so each is written once as a reliable checkpoint.
+    What several branches read - the daily totals, the numbered series, the fitted models - is written
+    once as a reliable checkpoint: the usage is scanned a single time.
     """
     shared_dir(usage.sparkSession)
-    diagnostics = S.sufficiency(S.daily_totals(usage, **columns), rule)
-    split = candidate_series(usage, rule, names, **columns).checkpoint()
+    totals = S.daily_totals(usage, **columns).checkpoint()
+    diagnostics = S.sufficiency(totals, rule)
+    split = candidate_series(totals, rule, names).checkpoint()
     models = A.fit_models(split).checkpoint()
     tested = S.with_baselines(split.where(F.col("error").isNull()))
     backtest = P.backtest_rows(A.backtest_path(models), tested).checkpoint()

@@ -15,7 +15,7 @@ def local_session(cores: str | int = "*", partitions: int = 8, app: str = "viewt
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.session.timeZone", "UTC")
             .config("spark.driver.memory", "16g")
-            .config("spark.ui.enabled", "false")
+            .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
 
 

@@ -12,9 +12,13 @@ class Telemetry:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """Reader of one file; kept, as opening it costs a look at its footer."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     # usage_a: dense, many users per report-day ------------------------------------------------
     def views_a(self) -> DataFrame:
