@@ -45,3 +45,8 @@ def sql_rows(con, text):
 
 def sql_types(con, text):
     return {d[0]: str(d[1]) for d in con.execute(f"DESCRIBE {text}").fetchall()}
+
+
+def plan(df, mode="simple"):
+    jvm = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(jvm.fromString(mode))

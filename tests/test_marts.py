@@ -204,6 +204,11 @@ def test_marts_from_facts(spark, events):
     built = marts.build_marts(facts)
     daily = brute_daily(events)
     assert built["mart_report_performance"].count() == len(daily)
+    alone = adoption.adoption_mart(views)
+    assert built["mart_report_daily_adoption"].exceptAll(alone).isEmpty() and alone.exceptAll(built["mart_report_daily_adoption"]).isEmpty()
+    pages = facts["fact_page_views"]
+    alone = build_user_engagement_features(views, pages, "date_key", "report_id", "user_key")
+    assert built["mart_user_engagement"].exceptAll(alone).isEmpty() and alone.exceptAll(built["mart_user_engagement"]).isEmpty()
     assert built["mart_report_daily_adoption_ts_features"].count() == built["mart_report_daily_adoption"].count() >= len(daily)
     for name, check in (("mart_user_engagement", Q.check_engagement_mart), ("mart_report_performance", Q.check_performance_mart)):
         assert all(r.passed for r in check(built[name]).collect())

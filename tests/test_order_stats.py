@@ -26,12 +26,12 @@ def groups(seed):
     return data
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_percentiles(spark, seed):
+@pytest.mark.parametrize("seed, few", [(1, False), (2, True)])
+def test_percentiles(spark, seed, few):
     data = groups(seed)
     df = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs] + [("one", None)], "k string, v double")
     probs = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
-    got = {r["k"]: r for r in exact_percentiles(df.repartition(6), ["k"], "v", probs).collect()}
+    got = {r["k"]: r for r in exact_percentiles(df.repartition(6), ["k"], "v", probs, few).collect()}
     assert set(got) == set(data)
     for key, values in data.items():
         for name, q in probs.items():

@@ -16,6 +16,15 @@ TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
+MODEL_SEARCH = {"fc_model", "fc_backtest_rows", "fc_future_rows", "fc_failure_row", "fc_run", "run_forecasts"}
+
+
+def check_plan(name, text):
+    """No nested loops, and Python in the model search only."""
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert name in MODEL_SEARCH or "Python" not in text
+
+
 @pytest.fixture(scope="module")
 def con():
     return comparison.connect(SF)
@@ -24,6 +33,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, con, name):
     df = QUERIES[name](spark, SF)
+    check_plan(name, comparison.plan(df))
     types = comparison.sql_types(con, SQL[name])
     assert {c: TYPES[t] for c, t in df.dtypes} == types
     assert comparison.spark_rows(df) == comparison.sql_rows(con, SQL[name])
@@ -31,7 +41,9 @@ def test_same_rows_as_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
-    assert QUERIES[name](spark, SF).columns
+    df = QUERIES[name](spark, SF)
+    check_plan(name, comparison.plan(df))
+    assert df.columns and df.count() >= 0
 
 
 def test_entry(spark):

@@ -50,12 +50,12 @@ class Data(Telemetry):
         views = self.views_a() if dense else self.report_views()
         rows = engagement.canonical_rows(views, "date", "report_id", "user_key",
                                          engagement.pick_measure(views, ("view_count", "views")), "views", "inline")
-        return engagement.per_user_day(rows, "user_views")
+        return engagement.known_users(engagement.per_user_day(rows, "user_views"))
 
     def user_pages(self) -> DataFrame:
         pages = self.report_page_views()
         rows = engagement.canonical_rows(pages, "date", "report_id", "user_key", "page_view_count", "pages", "inline")
-        return engagement.per_user_day(rows, "page_views")
+        return engagement.known_users(engagement.per_user_day(rows, "page_views"))
 
     def performance_a(self) -> DataFrame:
         return performance.build_report_performance_features(self.loads_a())

@@ -25,13 +25,13 @@ PARTS = 1024
 def magnitude_range(value: Column) -> Column:
     """Monotone map of finite doubles on at most ~270,000 integers."""
     scaled = F.floor(F.log2(F.abs(value)) * RANGES_PER_OCTAVE) + 1080 * RANGES_PER_OCTAVE
-    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * scaled)
+    return F.coalesce(F.when(value > 0, scaled).when(value < 0, -scaled), F.lit(0).cast("bigint"))
 
 
 def linear_part(value: Column, low: Column, high: Column) -> Column:
     """Monotone map of ``low..high`` on 0..PARTS."""
     span = high / 2 - low / 2
-    return F.when(span > 0, F.floor((value / 2 - low / 2) / span * PARTS)).otherwise(F.lit(0)).cast("bigint")
+    return F.coalesce(F.when(span > 0, F.floor((value / 2 - low / 2) / span * PARTS)), F.lit(0).cast("bigint"))
 
 
 def running(keys: Sequence[str], order: Column, amount: str) -> Column:
@@ -67,23 +67,31 @@ def _pick(cells: DataFrame, keys: list[str], split: str, wanted: DataFrame | Non
                     *([] if wanted is None else ["_frac"])))
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
+                      few_groups: bool = False) -> DataFrame:
     """Linear-interpolated percentiles, one row per key: ``keys`` plus one column per entry of ``probs``.
 
-    NULL values are ignored; keys must be non-null (callers drop null groups first) and the values
-    finite.
+    Rows without key or value are ignored; values must be finite. ``few_groups`` says that the caller
+    has counted the groups: the wanted ranges (two per group and percentile) are then broadcast and the
+    rows, which are not shuffled at all, are read twice instead. Otherwise rows are counted per value
+    first, so that neither a hot key nor a hot value meets the join row by row.
     """
     keys = list(keys)
-    cells = (df.where(F.col(value).isNotNull())
-             .groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
-             .withColumn("_range", magnitude_range(F.col("_v"))))
+    # All branches below must filter alike, or Spark could not share their exchanges: NULLs are ruled out
+    # here in the form in which a join would, and the computed join keys are never NULL by their type.
+    for name in [*keys, value]:
+        df = df.where(F.col(name).isNotNull())
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    cells = rows.withColumn("_n", F.lit(1).cast("bigint")) if few_groups else (
+        rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
+    cells = cells.withColumn("_range", magnitude_range(F.col("_v")))
     coarse = _pick(cells, keys, "_range", None, probs)
-    inside = (cells.join(coarse, [*keys, "_range"])
-              .withColumn("_part", linear_part(F.col("_v"), F.col("_low"), F.col("_high")))
-              .drop("_low", "_high"))
     ask = [*keys, "_prob", "_side"]
+    inside = (cells.join(F.broadcast(coarse) if few_groups else coarse, [*keys, "_range"])
+              .withColumn("_part", linear_part(F.col("_v"), F.col("_low"), F.col("_high")))
+              .groupBy(*ask, "_rank", "_frac", "_part", "_v").agg(F.sum("_n").alias("_n")))
     fine = _pick(inside, ask, "_part", coarse, probs).drop("_low", "_high")
-    hits = (inside.drop("_rank", "_frac").join(fine, [*ask, "_part"])
+    hits = (inside.drop("_rank", "_frac").join(F.broadcast(fine) if few_groups else fine, [*ask, "_part"])
             .withColumn("_upto", running(ask, F.col("_v"), "_n"))
             .where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))))
     aggs = []

@@ -34,6 +34,17 @@ def build_report_daily_adoption(fact_report_views: DataFrame, date_col: str = "d
             .withColumn("views_per_user", C.ratio_or_zero(F.col("daily_views"), F.col("unique_viewers"))))
 
 
+def adoption_from_user_days(user_days: DataFrame) -> DataFrame:
+    """The same mart from views already summed per (date, report_id, user_id) as ``user_views``.
+
+    Rows without a user are kept by that sum: they count as views, not as a viewer.
+    """
+    return (user_days.where(F.col("date").isNotNull() & F.col("report_id").isNotNull())
+            .groupBy("date", "report_id")
+            .agg(F.sum("user_views").alias("daily_views"), F.count("user_id").alias("unique_viewers"))
+            .withColumn("views_per_user", C.ratio_or_zero(F.col("daily_views"), F.col("unique_viewers"))))
+
+
 def fill_days(daily: DataFrame, key: str, measures: list[str], last: Column | None = None) -> DataFrame:
     """Make each key's days gap-free, zero on added days.
 

@@ -34,9 +34,14 @@ def canonical_rows(df: DataFrame, date_col: str, report_col: str, user_col: str,
 
 
 def per_user_day(rows: DataFrame, name: str) -> DataFrame:
-    """Sum of the measure, or row count, per (date, report, user); rows without a user drop out."""
+    """Sum of the measure, or row count, per (date, report, user)."""
     amount = C.total(F.col("_amount")) if "_amount" in rows.columns else F.count("*")
-    return rows.dropna(subset=USER_DAY).groupBy(*USER_DAY).agg(amount.alias(name))
+    return rows.groupBy(*USER_DAY).agg(amount.alias(name))
+
+
+def known_users(user_days: DataFrame) -> DataFrame:
+    """Behaviour is a matter of users: rows without one, or without report or day, drop out."""
+    return user_days.dropna(subset=USER_DAY)
 
 
 def with_first_view(user_days: DataFrame) -> DataFrame:
@@ -96,8 +101,13 @@ def build_user_engagement_features(fact_report_views: DataFrame, fact_page_views
                            pick_measure(fact_report_views, ("view_count", "views")), "fact_report_views", validate)
     pages = canonical_rows(fact_page_views, date_col, report_col, user_col,
                            pick_measure(fact_page_views, ("page_view_count",)), "fact_page_views", validate)
-    behaviour = report_day_behaviour(per_user_day(views, "user_views"))
-    depth = page_depth(per_user_day(pages, "page_views"))
+    return engagement_from_user_days(per_user_day(views, "user_views"), per_user_day(pages, "page_views"))
+
+
+def engagement_from_user_days(user_days: DataFrame, user_pages: DataFrame) -> DataFrame:
+    """The same mart from views and page views already summed per (date, report_id, user_id)."""
+    behaviour = report_day_behaviour(known_users(user_days))
+    depth = page_depth(known_users(user_pages))
     # the join comes first: both sides are already partitioned by (date, report_id) here
     joined = behaviour.join(depth, DAY, "left")
     return with_idle_days(joined).select(

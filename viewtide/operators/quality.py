@@ -248,7 +248,7 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     basic = long.groupBy("column").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    quartiles = exact_percentiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    quartiles = exact_percentiles(long, ["column"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, few_groups=True)
     return basic.join(quartiles, "column", "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
