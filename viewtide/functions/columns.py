@@ -15,6 +15,17 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def filled(df: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with all these columns filled.
+
+    Written as the conditions a join would add itself, so that a plan used on both sides of a join stays
+    the same on both and Spark runs its exchange once (``dropna`` is opaque to that).
+    """
+    for name in names:
+        df = df.where(quoted(name).isNotNull())
+    return df
+
+
 def _compact_date(digits: Column) -> Column:
     return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
 

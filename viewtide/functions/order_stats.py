@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from viewtide.functions import columns as C
+
 RANGES_PER_OCTAVE = 64
 PARTS = 1024
 
@@ -77,11 +79,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     first, so that neither a hot key nor a hot value meets the join row by row.
     """
     keys = list(keys)
-    # All branches below must filter alike, or Spark could not share their exchanges: NULLs are ruled out
-    # here in the form in which a join would, and the computed join keys are never NULL by their type.
-    for name in [*keys, value]:
-        df = df.where(F.col(name).isNotNull())
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
+    # All branches below must filter alike, or Spark could not share their exchanges. Hence NULLs are ruled
+    # out first, and the computed join keys are never NULL by their type.
+    rows = C.filled(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias("_v"))
     cells = rows.withColumn("_n", F.lit(1).cast("bigint")) if few_groups else (
         rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
     cells = cells.withColumn("_range", magnitude_range(F.col("_v")))

@@ -41,7 +41,7 @@ def per_user_day(rows: DataFrame, name: str) -> DataFrame:
 
 def known_users(user_days: DataFrame) -> DataFrame:
     """Behaviour is a matter of users: rows without one, or without report or day, drop out."""
-    return user_days.dropna(subset=USER_DAY)
+    return C.filled(user_days, USER_DAY)
 
 
 def with_first_view(user_days: DataFrame) -> DataFrame:

@@ -109,6 +109,6 @@ def build_report_performance_features(fact_report_loads: DataFrame, date_col: st
     G.require_mode(validate)
     rows, rules = load_rows(fact_report_loads, date_col, report_col, load_time_col), load_rules(date_col, load_time_col)
     if validate != "eager":
-        return add_load_trends(aggregate_large_loads(G.enforce(rows, rules, validate).dropna(subset=DAY)))
+        return add_load_trends(aggregate_large_loads(C.filled(G.enforce(rows, rules, validate), DAY)))
     large, n_large = inspect_loads(rows, rules, large_group_rows)
-    return add_load_trends(split_loads(rows.dropna(subset=DAY), large, n_large))
+    return add_load_trends(split_loads(C.filled(rows, DAY), large, n_large))

@@ -46,7 +46,7 @@ def daily_totals(usage: DataFrame, report_id_col: str = "Report Guid", date_col:
     rows = G.enforce(rows, {f"Unable to parse all values in '{date_col}' into valid datetimes.":
                             ("date", F.col("_dated") & F.col("date").isNull())}, validate)
     # the name is a grouping key first, not a minimum of strings, which Spark could only take by sorting
-    named = (rows.dropna(subset=["report_id", "date"]).groupBy("report_id", "_name", "date")
+    named = (C.filled(rows, ["report_id", "date"]).groupBy("report_id", "_name", "date")
              .agg(F.sum("views").alias("views"))
              .withColumn("report_name", F.min("_name").over(Window.partitionBy("report_id"))))
     return named.groupBy("report_id", "report_name", "date").agg(F.sum("views").alias("views"))
@@ -153,7 +153,7 @@ def daily_actuals(usage: DataFrame, report_id_col: str = "Report Guid", date_col
     """Views per report id, report name and day (a renamed report has a row per name)."""
     rows = usage.select(C.quoted(report_id_col).alias("report_id"), C.quoted(name_col).alias("report_name"),
                         C.to_day(usage, date_col).alias("date"), C.to_number_or_zero(usage, views_col).alias("views"))
-    return (rows.dropna(subset=["report_id", "report_name", "date"])
+    return (C.filled(rows, ["report_id", "report_name", "date"])
             .groupBy("report_id", "report_name", "date").agg(F.sum("views").alias("actual_views")))
 
 
