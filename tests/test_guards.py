@@ -93,8 +93,8 @@ def test_every_spelling_of_a_day(spark):
     day = dt.date(2025, 1, 31)
     df = spark.createDataFrame(
         [(20250131, 20250131.0, day, dt.datetime(2025, 1, 31, 23, 59), "2025-01-31", "2025-01-31 23:59:59", "20250131",
-          "2025-01-31T08:00:00", " 2025-01-31 ")],
-        "i int, f double, d date, t timestamp_ntz, a string, b string, c string, e string, g string")
+          "2025-01-31T08:00:00", " 2025-01-31 ", "1/31/2025")],
+        "i int, f double, d date, t timestamp_ntz, a string, b string, c string, e string, g string, h string")
     assert set(df.select(*[C.to_day(df, c).alias(c) for c in df.columns]).first()) == {day}
     bad = spark.createDataFrame([(20259901, 20250131.5, "later", "20259901", None, "")],
                                 "i int, f double, a string, b string, c string, d string")

@@ -157,7 +157,7 @@ def dq_summary(data: Data) -> DataFrame:
     GROUP BY check_group""")
 def agg_check_summary(data: Data) -> DataFrame:
     integrity = Q.run_referential_integrity_checks(data.model())
-    return Q._tally(integrity, "success", F.lit("referential_integrity"))
+    return Q.tally(integrity, "success", F.lit("referential_integrity"))
 
 
 @query("validate_semantic_model", uses=MODEL + " " + RAW, sql=f"""

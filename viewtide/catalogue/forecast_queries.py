@@ -253,6 +253,18 @@ def filter_future_rows(data: Data) -> DataFrame:
     return publish.future_only(stand_in_published(data))
 
 
+@query("fc_schema", uses="totals_c", doubles=PUBLISHED, sql="""
+    SELECT date AS "Date", views AS forecast, CAST(NULL AS DOUBLE) AS lower_ci, CAST(NULL AS DOUBLE) AS upper_ci,
+           CAST(NULL AS DOUBLE) AS actual, CAST(NULL AS DOUBLE) AS error, CAST(NULL AS DOUBLE) AS abs_error,
+           CAST(NULL AS DOUBLE) AS pct_error, report_id AS "ReportId", CAST(NULL AS VARCHAR) AS "ReportName",
+           0 AS "IsForecast", CAST(NULL AS TIMESTAMP) AS "ModelRunTimestamp", CAST(NULL AS VARCHAR) AS "ModelName",
+           CAST(NULL AS VARCHAR) AS run_id, CAST(NULL AS TIMESTAMP) AS run_timestamp, 0 AS "IsPlaceholderRow" FROM totals_c""")
+def fc_schema(data: Data) -> DataFrame:
+    """Three of the 16 columns are there, the others are added."""
+    return publish.ensure_forecast_schema(data.totals_c().select(
+        F.col("views").alias("forecast"), F.col("report_id").alias("ReportId"), F.col("date").alias("Date"), "report_name"))
+
+
 @query("fc_placeholder", uses="published_c", doubles=PUBLISHED, sql="""
     SELECT * FROM (SELECT * FROM published_c WHERE "Date" < DATE '1990-01-01')
     UNION ALL SELECT DATE '1900-01-01', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'NO_FORECAST', 1,
@@ -315,6 +327,19 @@ def except_existing_keys(data: Data) -> DataFrame:
     return publish.unseen(matched, data.realized_c()).select(*publish.REALIZED_KEY)
 
 
+@query("snk_append_errors", uses="matched_c", doubles=REALIZED, sql=f"""
+    SELECT {", ".join(schemas.REALIZED_ERRORS.fieldNames())} FROM matched_c""")
+def snk_append_errors(data: Data) -> DataFrame:
+    """Two backfills: one with the usage known ten days after the run, one with all of it."""
+    paths = forecasting.ForecastPaths(scratch_path(data.spark, "backfill"))
+    files.append_rows(data.history_c(), paths.forecasts_history)
+    usage = data.usage_c()
+    known = F.datediff("Date", F.lit(RUN.run_timestamp.date().isoformat()).cast("date")) <= 10
+    for seen in (usage.where(known), usage):
+        forecasting.update_realized_errors(seen, paths, REALIZED_AT)
+    return files.read_history(data.spark, paths.realized_errors_history, schemas.REALIZED_ERRORS)
+
+
 @query("fc_realized", uses="matched_c", doubles=REALIZED, sql=f"""
     SELECT {", ".join(schemas.REALIZED_ERRORS.fieldNames())} FROM matched_c WHERE horizon_days > 10""")
 def fc_realized(data: Data) -> DataFrame:

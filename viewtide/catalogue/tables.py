@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from viewtide import schemas
-from viewtide.catalogue.base import RUN, Data, query
-from viewtide.functions import columns as C
-from viewtide.operators import adoption, engagement, performance, publish, quality, series, star_schema
+from viewtide.catalogue.base import Data, query
+from viewtide.functions import columns as C, guards
+from viewtide.operators import adoption, engagement, performance, quality, series, star_schema
 from viewtide.plans import forecasting, marts
 from viewtide.session import scratch_path
 from viewtide.sources import files
@@ -73,8 +73,53 @@ def layers_bronze_silver_gold(data: Data) -> DataFrame:
     return data.spark.read.parquet(path)
 
 
+@query("snk_tables", uses="mart_b", doubles="views_per_user", sql="SELECT * FROM mart_b")
+def snk_tables(data: Data) -> DataFrame:
+    """A mart stored twice (the second time over the first) and read back."""
+    root = scratch_path(data.spark, "marts")
+    for _ in range(2):
+        files.save_tables({"mart_report_daily_adoption": data.mart_b()}, root)
+    return data.spark.read.parquet(root + "/mart_report_daily_adoption.parquet")
+
+
+@query("src_history", uses="history_c", doubles="forecast_views lower_ci upper_ci", sql="SELECT * FROM history_c")
+def src_history(data: Data) -> DataFrame:
+    """A stored history, and one that was never written and reads as empty."""
+    path = scratch_path(data.spark, "history")
+    files.append_rows(data.history_c(), path)
+    never = files.read_history(data.spark, scratch_path(data.spark, "never"), schemas.FORECAST_HISTORY)
+    return files.read_history(data.spark, path, schemas.FORECAST_HISTORY).unionByName(never)
+
+
 # Projections and filters ----------------------------------------------------------------------------
 
+@query("guard_dates_parse", uses="report_views", sql="SELECT date, count(*) AS rows FROM report_views GROUP BY date")
+def guard_dates_parse(data: Data) -> DataFrame:
+    """Days kept as text, each checked while it is read."""
+    text = data.report_views().withColumn("date", F.col("date").cast("string"))
+    rows = engagement.canonical_rows(text, "date", "report_id", "user_key", None, "report_views", "inline")
+    return rows.groupBy("date").agg(F.count("*").alias("rows"))
+
+
+def _checked_loads(data: Data) -> DataFrame:
+    """Load times kept as text, each checked while it is read."""
+    text = data.report_load_times().withColumn("load_time_ms", F.col("load_time_ms").cast("string"))
+    rows = performance.load_rows(text, "date", "report_id", "load_time_ms")
+    return guards.enforce(rows, performance.load_rules("date", "load_time_ms"), "inline")
+
+
+@query("num_strict", uses="report_load_times", doubles="total", sql="""
+    SELECT report_id, sum(load_time_ms) AS total FROM report_load_times GROUP BY report_id""")
+def num_strict(data: Data) -> DataFrame:
+    return _checked_loads(data).groupBy("report_id").agg(F.sum("load_time").alias("total"))
+
+
+@query("guard_non_negative", uses="report_load_times", doubles="least", sql="""
+    SELECT date, min(load_time_ms) AS least FROM report_load_times GROUP BY date""")
+def guard_non_negative(data: Data) -> DataFrame:
+    return _checked_loads(data).groupBy("date").agg(F.min("load_time").alias("least"))
+
+
 @query("to_day", uses="dates", sql="""
     SELECT date, date AS from_number, date AS from_text, date AS from_compact, date AS from_moment,
            CAST(NULL AS DATE) AS from_junk, CAST(NULL AS DATE) AS from_no_date FROM dates""")

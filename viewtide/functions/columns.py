@@ -26,26 +26,27 @@ def filled(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
-def _compact_date(digits: Column) -> Column:
-    return F.try_to_timestamp(digits, F.lit("yyyyMMdd")).cast("date")
+def _dated(text: Column, pattern: str) -> Column:
+    return F.try_to_timestamp(text, F.lit(pattern)).cast("date")
 
 
 def to_moment(df: DataFrame, name: str) -> Column:
     """Date-like column as DATE or TIMESTAMP; unreadable values become NULL.
 
     Dates and timestamps are kept, numbers are read as ``YYYYMMDD`` and text as ISO date,
-    ISO timestamp or ``YYYYMMDD``.
+    ISO timestamp, ``YYYYMMDD`` or month/day/year.
     """
     kind, raw = df.schema[name].dataType, quoted(name)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return raw
     if isinstance(kind, T.IntegralType):
-        return _compact_date(raw.cast("string"))
+        return _dated(raw.cast("string"), "yyyyMMdd")
     if isinstance(kind, T.NumericType):
         whole = raw.try_cast("bigint")
-        return _compact_date(F.when(whole == raw, whole).cast("string"))
+        return _dated(F.when(whole == raw, whole).cast("string"), "yyyyMMdd")
     text = F.trim(raw.cast("string"))
-    return F.coalesce(text.try_cast("timestamp_ntz"), _compact_date(text).cast("timestamp_ntz"))
+    return F.coalesce(text.try_cast("timestamp_ntz"), _dated(text, "yyyyMMdd").cast("timestamp_ntz"),
+                      _dated(text, "M/d/yyyy").cast("timestamp_ntz"))
 
 
 def to_day(df: DataFrame, name: str) -> Column:

@@ -180,7 +180,8 @@ def run_row_count_reconciliation(raw: Mapping[str, DataFrame], processed: Mappin
             .withColumn("exact_match", F.col("row_count_difference") == 0))
 
 
-def _tally(checks: DataFrame, flag: str, group: Column) -> DataFrame:
+def tally(checks: DataFrame, flag: str, group: Column) -> DataFrame:
+    """Checks run, passed and failed per group."""
     return (checks.groupBy(group.alias("check_group"))
             .agg(F.count(flag).alias("checks_run"), F.count_if(flag).alias("checks_passed"))
             .withColumn("checks_failed", F.col("checks_run") - F.col("checks_passed")))
@@ -188,9 +189,9 @@ def _tally(checks: DataFrame, flag: str, group: Column) -> DataFrame:
 
 def build_validation_summary(expectations: DataFrame, integrity: DataFrame, reconciliation: DataFrame) -> DataFrame:
     """Checks run, passed and failed per check group."""
-    return union([_tally(expectations, "success", F.col("check_group")),
-                  _tally(integrity, "success", F.lit("referential_integrity")),
-                  _tally(reconciliation, "exact_match", F.lit("row_count_reconciliation"))])
+    return union([tally(expectations, "success", F.col("check_group")),
+                  tally(integrity, "success", F.lit("referential_integrity")),
+                  tally(reconciliation, "exact_match", F.lit("row_count_reconciliation"))])
 
 
 def _flag(df: DataFrame, group: str, name: str, passed: Column, value: Column) -> DataFrame:
