@@ -255,7 +255,7 @@ def test_histories_and_backfill(spark, tmp_path, run):
     Fc.save_latest_outputs(tables, RUN, paths)
     assert spark.read.parquet(paths.forecasts_latest).count() == tables.forecasts.count()
     for _ in range(2):      # a repeated run replaces itself
-        Fc.append_forecasts_history(tables.forecasts, paths.forecasts_history)
+        Fc.append_forecasts_history(tables.forecasts, RUN, paths.forecasts_history)
         Fc.append_metrics_history(tables.metrics, RUN, paths.metrics_history)
     other = P.Run("run_2", RUN.run_timestamp + dt.timedelta(days=1))
     Fc.append_metrics_history(tables.metrics, other, paths.metrics_history)
@@ -275,6 +275,18 @@ def test_histories_and_backfill(spark, tmp_path, run):
     assert stored.count() == 4
 
 
+def test_a_repeated_run_replaces_itself_even_with_nothing(spark, tmp_path, run):
+    _, tables = run
+    path = str(tmp_path / "history")
+    other = P.Run("run_2", RUN.run_timestamp)
+    for mine, rows in ((RUN, tables.forecasts), (other, tables.forecasts), (RUN, tables.forecasts.where("false"))):
+        Fc.append_forecasts_history(rows, mine, path)
+    kept = files.read_history(spark, path, schemas.FORECAST_HISTORY)
+    assert {r.run_id for r in kept.collect()} == {"run_2"}
+    with pytest.raises(ValueError, match="run id"):
+        Fc.append_forecasts_history(tables.forecasts, P.Run("a/b", RUN.run_timestamp), path)
+
+
 def test_renamed_report_has_two_actuals(spark):
     rows = [(day(0), "r", n, "u", 1.0) for n in ("old", "new")]
     actuals = S.daily_actuals(spark.createDataFrame(rows, USAGE))

@@ -292,7 +292,7 @@ def snk_append_forecasts(data: Data) -> DataFrame:
     """Appended twice under one run id: the second time replaces the first."""
     path = scratch_path(data.spark, "history")
     for _ in range(2):
-        forecasting.append_forecasts_history(stand_in_published(data), path)
+        forecasting.append_forecasts_history(stand_in_published(data), RUN, path)
     return files.read_history(data.spark, path, schemas.FORECAST_HISTORY)
 
 

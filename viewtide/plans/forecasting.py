@@ -72,12 +72,12 @@ def save_latest_outputs(tables: ForecastTables, run: P.Run, paths: ForecastPaths
     tables.metrics.write.mode("overwrite").parquet(paths.metrics_latest)
 
 
-def append_forecasts_history(forecasts: DataFrame, path: str) -> None:
-    files.replace_run(P.history_rows(forecasts), path)
+def append_forecasts_history(forecasts: DataFrame, run: P.Run, path: str) -> None:
+    files.replace_run(P.history_rows(forecasts), path, run.run_id)
 
 
 def append_metrics_history(metrics: DataFrame, run: P.Run, path: str) -> None:
-    files.replace_run(P.stamp(metrics, run), path)
+    files.replace_run(P.stamp(metrics, run), path, run.run_id)
 
 
 def update_realized_errors(usage: DataFrame, paths: ForecastPaths, realized_at: datetime, **columns) -> DataFrame:
@@ -100,7 +100,7 @@ def run_forecasts(usage: DataFrame, run: P.Run, root: str, realized_at: datetime
     paths = ForecastPaths(root)
     tables = run_forecasts_for_reports(usage, run, **options)
     save_latest_outputs(tables, run, paths)
-    append_forecasts_history(tables.forecasts, paths.forecasts_history)
+    append_forecasts_history(tables.forecasts, run, paths.forecasts_history)
     append_metrics_history(tables.metrics, run, paths.metrics_history)
     update_realized_errors(usage, paths, realized_at or run.run_timestamp)
     return tables

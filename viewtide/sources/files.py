@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
@@ -71,10 +72,14 @@ def save_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet"
         writer.save(f"{root.rstrip('/')}/{name}" + (".csv" if fmt == "csv" else ".parquet"))
 
 
-def replace_run(df: DataFrame, path: str) -> None:
-    """Append a run to a history table; a repeated run replaces its own partition and no other."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("run_id").parquet(path))
+def replace_run(df: DataFrame, path: str, run_id: str) -> None:
+    """Append the rows of one run to a history table partitioned by run.
+
+    A repeated run replaces its own partition and no other, also if it has no rows this time.
+    """
+    if not re.fullmatch(r"[\w.-]+", run_id):
+        raise ValueError(f"run id {run_id!r} may hold letters, digits, '_', '.' and '-' only")
+    df.drop("run_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def append_rows(df: DataFrame, path: str) -> None:
