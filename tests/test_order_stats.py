@@ -56,6 +56,8 @@ def test_top_share(spark, kind):
     if kind == "double":
         data = {k: [v + rng.random() / 3 for v in vs] for k, vs in data.items()}
         data["zero"] = [0.0] * 12
+        data["narrow"] = [500 + rng.random() / 1000 for _ in range(3000)]
+        data["negative"] = [-rng.random() for _ in range(50)]
     df = spark.createDataFrame([(k, v if kind == "double" else int(v)) for k, vs in data.items() for v in vs], f"k string, v {kind}")
     cells = df.groupBy("k", "v").agg(F.count("*").alias("n"))
     got = {r["k"]: r for r in top_share(cells, ["k"], "v", "n", C.top_decile_size, kind == "bigint",

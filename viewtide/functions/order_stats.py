@@ -104,6 +104,25 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
     return hits.groupBy(*keys).agg(*aggs)
 
 
+def _cut_ranges(cells: DataFrame, keys: list[str], split: str, value: str, users: str, size) -> tuple[DataFrame, DataFrame]:
+    """Sums of the value ranges above a group's cut, and the range the cut runs through with the room left in it.
+
+    The cut is ``size`` of the group's users, or ``_room`` where an earlier split has set it.
+    """
+    given = [] if size else [F.max("_room").alias("_cut")]
+    ranges = (cells.groupBy(*keys, split)
+              .agg(F.sum(users).alias("_users"), F.sum(F.col(users) * F.col(value)).alias("_views"),
+                   F.min(value).alias("_low"), F.max(value).alias("_high"), *given)
+              .withColumn("_upto", running(keys, F.col(split).desc(), "_users")))
+    if size:
+        ranges = ranges.withColumn("_cut", size(F.sum("_users").over(Window.partitionBy(*keys))))
+    ranges = ranges.withColumn("_room", F.col("_cut") - (F.col("_upto") - F.col("_users")))
+    clear = ranges.where(F.col("_room") >= F.col("_users")).select(*keys, F.col("_views").alias("_part"))
+    crossed = (ranges.where((F.col("_room") > 0) & (F.col("_room") < F.col("_users")))
+               .select(*keys, split, "_low", "_high", "_room"))
+    return clear, crossed
+
+
 def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, size, integral: bool,
               also: Sequence[Column] = ()) -> DataFrame:
     """Sum of the ``size(users)`` largest values per key, from a histogram of values.
@@ -111,7 +130,8 @@ def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, siz
     ``cells`` has one row per (keys, value) with the number of users at that value. Sorting the
     histogram instead of the users keeps a hot key small: whole-numbered values of sum S have fewer
     than ``sqrt(2 S)`` distinct values. Fractional values have no such bound, so their histogram is
-    first rolled up into value ranges and only the range crossed by the cut is looked at closely.
+    first rolled up into value ranges, the range crossed by the cut is split into linear parts, and
+    only the part crossed by the cut is looked at value by value.
 
     Returns keys, ``_top`` (sum over the top users) and the aggregates ``also`` of the histogram. Ties
     do not matter: equal values add equally.
@@ -125,16 +145,14 @@ def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, siz
                 .groupBy(*keys).agg(F.sum(taken * F.col(value)).alias("_top"), *also))
     rolled_up = cells.groupBy(*keys).agg(*also) if also else None
     cells = cells.withColumn("_range", magnitude_range(F.col(value)))
-    ranges = (cells.groupBy(*keys, "_range")
-              .agg(F.sum(users).alias("_users"), F.sum(F.col(users) * F.col(value)).alias("_views"))
-              .withColumn("_upto", running(keys, F.col("_range").desc(), "_users"))
-              .withColumn("_cut", size(F.sum("_users").over(whole)))
-              .withColumn("_room", F.col("_cut") - (F.col("_upto") - F.col("_users"))))
-    clear = ranges.where(F.col("_room") >= F.col("_users")).select(*keys, F.col("_views").alias("_part"))
-    crossed = ranges.where((F.col("_room") > 0) & (F.col("_room") < F.col("_users"))).select(*keys, "_range", "_room")
-    close = (cells.join(crossed, [*keys, "_range"])
-             .withColumn("_seen", running([*keys, "_range"], F.col(value).desc(), users) - F.col(users))
+    clear, crossed = _cut_ranges(cells, keys, "_range", value, users, size)
+    inside = (cells.join(crossed, [*keys, "_range"])
+              .withColumn("_linear", linear_part(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high"))
+    finer, crossed = _cut_ranges(inside, keys, "_linear", value, users, None)
+    close = (inside.drop("_room").join(crossed.drop("_low", "_high"), [*keys, "_linear"])
+             .withColumn("_seen", running([*keys, "_linear"], F.col(value).desc(), users) - F.col(users))
              .where(F.col("_seen") < F.col("_room"))
              .select(*keys, (F.least(F.col(users), F.col("_room") - F.col("_seen")) * F.col(value)).alias("_part")))
+    clear = clear.unionByName(finer)
     top = clear.unionByName(close).groupBy(*keys).agg(F.sum("_part").alias("_top"))
     return top if rolled_up is None else rolled_up.join(top, keys, "left")
