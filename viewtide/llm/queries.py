@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, quality
+from viewtide.llm import common, language_id, packing, quality, warc
+
+VOCABULARY = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return str(public_tokenizers.path(VOCABULARY))
+
+
+def op1_warc_archive(spark, sf_dir):
+    return warc.archive(common.load(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark, sf_dir):
+    return language_id.identify(common.load(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.packed_documents(common.load(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op8_quality_rules(spark, sf_dir):
     return quality.quality(common.load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op8_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op4_language_id, op6_best_fit_packing, op8_quality_rules)}
 SQL: dict[str, str] = {}
