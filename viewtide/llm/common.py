@@ -114,3 +114,27 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
         for k in range(size):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k:k + n])
     return out
+
+
+BLOCK = 1 << 20
+
+
+def word_blocks(text: bytes, size: int = BLOCK):
+    """The words of a text, in lists from blocks of about ``size`` bytes: a very long text never becomes one list."""
+    at, end = 0, len(text)
+    while at < end:
+        upto = at + size
+        while upto < end and text[upto] not in b" \t\n\r\x0b\x0c":
+            upto += 1
+        words = (text[at:upto] if at or upto < end else text).split()
+        if words:
+            yield words
+        at = upto
+
+
+def text_hashes(text: bytes | None, hasher: WordHashes) -> np.ndarray:
+    """The hash of every word of a text, A-Z in lower case."""
+    parts = [hasher.of(words) for words in word_blocks((text or b"").lower())]
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate(parts) if parts else np.empty(0, dtype=np.uint64)
