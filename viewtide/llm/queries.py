@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, language_id, minhash, packing, quality, warc
+from viewtide.llm import common, decontaminate, language_id, minhash, packing, quality, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op6_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(common.load(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_string_tiling(spark, sf_dir):
+    return decontaminate.leaks(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality(common.load(spark, sf_dir, "documents"))
 
@@ -32,6 +36,6 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(common.load(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op4_language_id, op6_best_fit_packing, op8_quality_rules,
-                                   op9_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op4_language_id, op6_best_fit_packing, op7_string_tiling,
+                                   op8_quality_rules, op9_minhash_near_dedup)}
 SQL: dict[str, str] = {}
