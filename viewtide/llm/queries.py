@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, decontaminate, language_id, minhash, packing, quality, warc
+from viewtide.llm import common, decontaminate, language_id, minhash, packing, quality, secret_scan, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def op1_warc_archive(spark, sf_dir):
     return warc.archive(common.load(spark, sf_dir, "pages"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    return secret_scan.secrets(common.load(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark, sf_dir):
     return language_id.identify(common.load(spark, sf_dir, "documents"))
 
@@ -36,6 +40,6 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(common.load(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op4_language_id, op6_best_fit_packing, op7_string_tiling,
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op3_secret_scan, op4_language_id, op6_best_fit_packing, op7_string_tiling,
                                    op8_quality_rules, op9_minhash_near_dedup)}
 SQL: dict[str, str] = {}
