@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, decontaminate, language_id, minhash, packing, quality, secret_scan, warc
+from viewtide.llm import common, decontaminate, language_id, minhash, packing, pii, quality, secret_scan, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -24,6 +24,10 @@ def op4_language_id(spark, sf_dir):
     return language_id.identify(common.load(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark, sf_dir):
+    return pii.personal_data(common.load(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark, sf_dir):
     return packing.packed_documents(common.load(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -40,6 +44,6 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(common.load(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op3_secret_scan, op4_language_id, op6_best_fit_packing, op7_string_tiling,
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
                                    op8_quality_rules, op9_minhash_near_dedup)}
 SQL: dict[str, str] = {}
