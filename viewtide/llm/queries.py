@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, decontaminate, language_id, minhash, packing, pii, quality, secret_scan, warc
+from viewtide.llm import common, decontaminate, html_main, language_id, minhash, packing, pii, quality, secret_scan, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -16,6 +16,10 @@ def op1_warc_archive(spark, sf_dir):
     return warc.archive(common.load(spark, sf_dir, "pages"))
 
 
+def op2_html_main_text(spark, sf_dir):
+    return html_main.extract(common.load(spark, sf_dir, "pages"))
+
+
 def op3_secret_scan(spark, sf_dir):
     return secret_scan.secrets(common.load(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op9_minhash_near_dedup(spark, sf_dir):
     return minhash.near_duplicates(common.load(spark, sf_dir, "documents"), size=4)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_archive, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
+QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_html_main_text, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
                                    op8_quality_rules, op9_minhash_near_dedup)}
 SQL: dict[str, str] = {}
