@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from viewtide.llm import common, quality
+from viewtide.llm import common, decontaminate, minhash, packing, quality, queries, secret_scan
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,9 +12,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8 or more."""
+    return minhash.distinct_documents(docs)
 
-#: Tokenizing, shingling and sketch fences have no SQL form; the tests compare with a brute-force version.
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean_documents(docs, common.load(spark, sf_dir, "benchmark"))
+
+
+def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by the kind of each."""
+    return secret_scan.redacted(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens in sequences of at most 4096."""
+    return packing.packed_documents(docs, queries.tokenizer_path())
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination),
+          ("secret scan", secret_redaction), ("packing", sequence_packing)]
+
+#: Tokenizing and quantile fences have no SQL form; the tests compare with a brute-force version.
 ORACLE_SQL = None
 
 

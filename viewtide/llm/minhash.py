@@ -239,3 +239,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
         "component_id", F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def distinct_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each group of near-duplicates, the one of the smallest doc_id, with all its columns.
+
+    Of rows that repeat a doc_id one stays; documents without doc_id all stay.
+    """
+    stay = common.stage(near_duplicates(docs, size, percent).where("kept and doc_id is not null")
+                        .select(F.col("doc_id").alias("staying")).distinct(), "staying")
+    flat = common.numbered(docs)
+    own, text = (f"c{common.position(docs, n)}" for n in ("doc_id", "text"))
+    order = Window.partitionBy(own).orderBy(F.xxhash64(text))
+    one = (flat.join(stay, flat[own] == stay["staying"], "left_semi")
+           .withColumn("repeat", F.row_number().over(order)).where("repeat = 1").drop("repeat"))
+    return one.unionByName(flat.where(F.col(own).isNull())).toDF(*docs.columns)

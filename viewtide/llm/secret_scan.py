@@ -87,7 +87,10 @@ def secrets(docs: DataFrame, reach: int = REACH) -> DataFrame:
 
 
 def redacted(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """The documents with all their columns; every reported span of the text is replaced by its kind in brackets."""
+    """The documents with all their columns; every reported span of the text is replaced by its kind in brackets.
+
+    An integer column n_chars follows the new text.
+    """
     flat = common.numbered(docs)
     text = f"c{common.position(docs, 'text')}"
     rows = common.stage(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -106,4 +109,8 @@ def redacted(docs: DataFrame, reach: int = REACH) -> DataFrame:
     joined = rows.join(cuts, rows["row"] == cuts["id"], "left").withColumn("end", end)
     rest = F.substring(F.col(text), (F.col("end.at") + 1).cast("int"), F.length(text))
     clean = F.when(F.col("cuts").isNull(), F.col(text)).otherwise(F.concat(F.array_join("end.out", ""), rest))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in flat.columns]).toDF(*docs.columns)
+    changed = {text: clean}
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        at = f"c{common.position(docs, 'n_chars')}"
+        changed[at] = F.when(F.col("cuts").isNull(), F.col(at)).otherwise(F.length(clean).cast(dict(docs.dtypes)["n_chars"]))
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in flat.columns]).toDF(*docs.columns)
