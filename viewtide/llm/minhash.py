@@ -3,13 +3,12 @@
 1. Every whole text becomes its set of word shingles, kept as: size, 128-bit hash of the set, the low bits of its minima
    packed into a signature, and one key per band of minima.
 2. Texts with one set are one node, named by the smallest doc_id; a hot group of copies shrinks before any shuffle.
-3. Nodes that share a band key are candidates. Pairs within a band's group are not formed: each group has centers, which
-   are compared with those members that are not connected with them already. First the smallest member is the center;
-   then, while a group holds members outside its main component, twice as many of those as in the turn before. A member
-   that was compared as a center leaves its group, so each pair of unconnected members is compared at last, and no link
-   between components is lost.
-4. A pair goes on if the similarity that its signatures' equal lanes give, corrected for chance collisions, lies less
-   than six standard deviations below the threshold; it is a link if its whole sets say so.
+3. Nodes that share a band key are candidates. Each group's smallest member is compared with the members outside its
+   component, first in some bands, then in all. A pair goes on if the similarity that its signatures' equal lanes give,
+   corrected for chance collisions, lies less than six standard deviations below the threshold; it is a link if its whole
+   sets say so. That connects most groups without forming their pairs.
+4. Groups that still hold several components (heavily edited copies) are compared in full, but as sets against posting
+   lists in blocks of bounded size: a pair that shares nothing costs nothing, and only links leave a block.
 5. Components are joined by alternating stars on tables in the shared folder.
 
 128 minima in 32 bands of 4: a pair of similarity 0.8 meets in some band with a probability of 1 - 5e-8.
@@ -25,6 +24,8 @@ import functools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -35,6 +36,8 @@ MINIMA, BANDS, BITS = 128, 32, 4
 LANES = 64 // BITS
 WORDS = MINIMA // LANES
 FIRST_BANDS = 4
+#: Shingles of one side of a block.
+BLOCK_SHINGLES = 2_000_000
 SCHEMA = "n bigint, set_hash binary, lanes array<bigint>, bands array<bigint>"
 
 
@@ -160,10 +163,10 @@ class Links:
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs`` (a, b) that are links."""
-        lanes = self.nodes.select("node", "lanes")
-        seen = (pairs.distinct().join(lanes.select(F.col("node").alias("a"), F.col("lanes").alias("la")), "a")
-                .join(lanes.select(F.col("node").alias("b"), F.col("lanes").alias("lb")), "b")
-                .where(estimate("la", "lb") >= least_estimate(self.percent)).select("a", "b").distinct())
+        side = lambda x: self.nodes.select(F.col("node").alias(x), F.col("lanes").alias(f"l{x}"), F.col("n").alias(f"n{x}"))
+        near = 100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb")
+        seen = (pairs.distinct().join(side("a"), "a").join(side("b"), "b")
+                .where(near & (estimate("la", "lb") >= least_estimate(self.percent))).select("a", "b").distinct())
         seen = common.stage(seen, "candidates")
         sa = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         sb = self.sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
@@ -171,9 +174,8 @@ class Links:
         union = F.size("sa") + F.size("sb") - shared
         return seen.join(sb, "b").join(sa, "a").where(100 * shared >= self.percent * union).select("a", "b")
 
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm pairs and join the components that the links connect."""
-        links = self.confirmed(pairs)
+    def union(self, links: DataFrame) -> None:
+        """Join the components that the links (a, b) connect."""
         of = lambda side: self.labels.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
         ties = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         ties = common.stage(ties.where("a <> b").distinct(), "ties")
@@ -189,7 +191,7 @@ class Links:
         centers = here.groupBy("key").agg(F.min_by(F.struct("node", "component"), "node").alias("c"))
         pairs = (here.join(centers, "key").where("component <> c.component")
                  .select(F.col("c.node").alias("a"), F.col("node").alias("b")))
-        self.add(pairs)
+        self.union(self.confirmed(pairs))
 
     def open_groups(self, members: DataFrame) -> DataFrame:
         """key, node, component, main of the groups that hold more than one component."""
@@ -197,25 +199,68 @@ class Links:
         spans = here.groupBy("key").agg(F.min("component").alias("main"), F.max("component").alias("other")).where("main < other")
         return here.join(spans.select("key", "main"), "key")
 
+    def blocks(self, groups: DataFrame) -> DataFrame:
+        """Links (a, b) between different components of the nodes in ``groups`` (key, node, component).
+
+        Groups that share nodes form a cluster. The nodes outside a cluster's largest component are compared with all of
+        the cluster, in blocks of a bounded number of shingles; only links leave a block, one per node and component.
+        """
+        least = groups.groupBy("key").agg(F.min("node").alias("b"))
+        clusters = components(groups.join(least, "key").select(F.col("node").alias("a"), "b"))
+        clusters = clusters.withColumnRenamed("component", "cluster")
+        clusters = clusters.unionByName(clusters.select(F.col("cluster").alias("node"), "cluster")).distinct()
+        nodes = groups.select("node", "component").distinct().join(clusters, "node").join(
+            self.nodes.groupBy("node").agg(F.sum("n").alias("n")), "node")
+        nodes = common.stage(nodes, "open-nodes")
+        sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+        mains = sizes.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
+                                             F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+        dealt = (nodes.drop("n").join(mains, "cluster").join(self.sets, "node")
+                 .withColumn("own", F.pmod(F.xxhash64("node"), "parts")))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))
+        columns = ("cluster", "i", "j", "node", "component", "shingles")
+        all_nodes = dealt.withColumn("i", every).withColumn("j", F.col("own")).select(*columns, F.lit(False).alias("seeks"))
+        seekers = (dealt.where("component <> main").withColumn("j", every).withColumn("i", F.col("own"))
+                   .select(*columns, F.lit(True).alias("seeks")))
+        percent = self.percent
+        return all_nodes.unionByName(seekers).groupBy("cluster", "i", "j").applyInArrow(
+            lambda table: compare(table, percent), "a bigint, b bigint")
+
     def finish(self) -> None:
         self.star(self.members.where(F.col("band") < FIRST_BANDS))
         self.star(self.members)
-        centers = self.members.groupBy("key").agg(F.min("node").alias("node"))
-        left, many = self.members.join(centers, ["key", "node"], "left_anti"), 2
-        while True:
-            groups = common.stage(self.open_groups(left), "groups")
-            if groups.isEmpty():
-                return
-            order = Window.partitionBy("key").orderBy("node")
-            centers = (groups.where("component <> main").withColumn("rank", F.row_number().over(order))
-                       .where(F.col("rank") <= many).select("key", F.col("node").alias("a"), F.col("component").alias("ca")))
-            centers = common.stage(centers, "centers")
-            pairs = groups.join(centers, "key").where("component <> ca").select(
-                F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-            self.add(pairs)
-            left = groups.select("band", "key", "node").join(
-                centers.select("key", F.col("a").alias("node")), ["key", "node"], "left_anti")
-            many *= 2
+        groups = common.stage(self.open_groups(self.members), "groups")
+        if not groups.isEmpty():
+            self.union(self.blocks(groups))
+
+
+def compare(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the seeking nodes of a block with its other nodes of other components, one per component."""
+    def side(seeks: bool):
+        rows = table.filter(pa.compute.equal(table["seeks"], seeks)).combine_chunks()
+        lists = rows["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return (rows["node"].to_numpy(), rows["component"].to_numpy(), n, np.concatenate([[0], np.cumsum(n)]),
+                lists.flatten().to_numpy())
+
+    node, component, n, _, values = side(False)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(n)), n)[order]
+    links: list[tuple[int, int]] = []
+    for a, own, size, found in seeking(*side(True)):
+        low, high = np.searchsorted(values, found, "left"), np.searchsorted(values, found, "right")
+        times = high - low
+        places = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+        shared = np.bincount(owner[places], minlength=len(n))
+        hit = np.flatnonzero((100 * shared >= percent * (size + n - shared)) & (component != own))
+        links += [(a, int(node[hit[k]])) for k in np.unique(component[hit], return_index=True)[1]]
+    return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+
+
+def seeking(node, component, n, begins, values):
+    for k in range(len(node)):
+        yield int(node[k]), component[k], n[k], values[begins[k]:begins[k + 1]]
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -223,7 +268,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rows = common.pick(docs, "doc_id", "text")
     known = common.stage(described(rows, size), "sets")
     named = known.where("n > 0 and doc_id is not null")
-    nodes = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("lanes").alias("lanes"),
+    nodes = named.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("lanes").alias("lanes"), F.first("n").alias("n"),
                                           F.first("bands").alias("bands"))
     nodes = common.stage(nodes, "nodes")
     keys = nodes.select("node", F.posexplode("bands").alias("band", "key"))
