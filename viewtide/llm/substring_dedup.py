@@ -422,7 +422,8 @@ def deduplicated(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     flat = common.pick(docs, "doc_id", "text").select(
         F.monotonically_increasing_id().alias("row"), "doc_id", common.whole_text().cast("binary").alias("text"))
     total = flat.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    # with fewer buckets than shuffle partitions a join would deal the text anew
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     ranges = max(1, -(-2 * total // ((WIDTH + 1) * RANGE_PAIRS)))
     table = f"viewtide_{uuid.uuid4().hex}"
     try:
