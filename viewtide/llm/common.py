@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from viewtide.session import scratch_path
 
-WORD_BREAKS = r"[\x20\x09-\x0D]+"
+#: Bytes of a batch that are handled at once.
+SLICE_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,15 +53,17 @@ def whole_text(name: str = "text"):
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """Apply ``function(dict of column name -> pyarrow array) -> dict of columns`` to every batch."""
+    """Apply ``function(dict of column name -> pyarrow array) -> dict of columns`` to every batch, some MB at a time."""
     wanted = T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
     target = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = function({n: batch.column(i) for i, n in enumerate(batch.schema.names)})
+            step = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                columns = function({n: part.column(i) for i, n in enumerate(part.schema.names)})
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(
                         [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type)
@@ -81,7 +84,7 @@ LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class WordHashes:
     """64-bit hashes of words; a word is hashed once while it stays in the table of bounded size."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 200_000):
         self.most, self.known = most, {}
 
     def of(self, words: list[bytes]) -> np.ndarray:

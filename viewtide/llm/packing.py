@@ -37,7 +37,7 @@ class Encoder:
     Words that are not known are tokenized by the library; the tables of known words have a bounded size.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
