@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import comparison
 from viewtide import schemas
 from viewtide.operators import ar_search as A, publish as P, series as S
 from viewtide.plans import forecasting as Fc
@@ -308,3 +309,28 @@ def test_acceptance_view(spark, run):
     _, tables = run
     top = P.acceptance_view(tables.metrics, 3).collect()
     assert len(top) == 3 and [r.passes_model_criteria for r in top] == sorted((r.passes_model_criteria for r in top), reverse=True)
+
+
+def test_run_with_other_column_names(spark, tmp_path):
+    """The caller's columns reach every step, the backfill too; a missing one raises before the first write."""
+    rows = usage(spark, {"weekly": [20.0 + (i % 7) * 5 for i in range(200)]})
+    named = rows.withColumnsRenamed({"Report Guid": "rid", "Report Name": "rname", "Date": "d", "Occurrences": "n"})
+    columns = {"report_id_col": "rid", "name_col": "rname", "date_col": "d", "views_col": "n"}
+    want = Fc.run_forecasts(rows, RUN, str(tmp_path / "a"))
+    got = Fc.run_forecasts(named, RUN, str(tmp_path / "b"), **columns)
+    assert sorted(map(tuple, got.forecasts.collect())) == sorted(map(tuple, want.forecasts.collect()))
+    more = usage(spark, {"weekly": [20.0 + (i % 7) * 5 for i in range(203)]}).withColumnsRenamed(
+        {"Report Guid": "rid", "Report Name": "rname", "Date": "d", "Occurrences": "n"})
+    new = Fc.update_realized_errors(more, Fc.ForecastPaths(str(tmp_path / "b")), RUN.run_timestamp, **columns)
+    assert new.count() == 3
+    with pytest.raises((ValueError, KeyError)):
+        Fc.run_forecasts(named, RUN, str(tmp_path / "c"), **(columns | {"date_col": "nope"}))
+    assert not (tmp_path / "c").exists()
+
+
+def test_published_rows_are_stored(spark):
+    """A forecast is computed once: what a run returns reads stored rows, no Python and no usage."""
+    tables = Fc.run_forecasts_for_reports(usage(spark, {"weekly": [20.0 + (i % 7) * 5 for i in range(200)]}), RUN)
+    for df in (tables.forecasts, tables.metrics, P.with_placeholder(tables.forecasts, RUN)):
+        text = comparison.plan(df)
+        assert "Python" not in text and "Pandas" not in text

@@ -60,11 +60,11 @@ def spoilt(views):
 
 def test_bad_dates_eager(spoilt):
     with pytest.raises(ValueError, match="Unable to parse all values in 'date' into valid datetimes."):
-        build_report_daily_adoption(spoilt)
+        build_report_daily_adoption(spoilt, validate="eager")
     with pytest.raises(ValueError, match="Unable to parse all values in 'date' from fact_report_views."):
-        build_user_engagement_features(spoilt, spoilt.withColumn("page_key", F.lit(1)))
+        build_user_engagement_features(spoilt, spoilt.withColumn("page_key", F.lit(1)), validate="eager")
     with pytest.raises(ValueError, match="valid datetimes"):
-        add_time_series_usage_features(spoilt.select("*", F.lit(1).alias("daily_views"), F.lit(1).alias("unique_viewers")))
+        add_time_series_usage_features(spoilt.select("*", F.lit(1).alias("daily_views"), F.lit(1).alias("unique_viewers")), validate="eager")
 
 
 def test_bad_dates_inline_fail_the_job_not_the_call(spoilt):

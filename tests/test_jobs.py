@@ -1,9 +1,11 @@
 """The stages as a user runs them, on the test tables through CSV and Parquet files."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
-from viewtide import jobs
+from viewtide import jobs, session
 from viewtide.sources import files
 from viewtide.sources.telemetry import Telemetry
 
@@ -38,3 +40,33 @@ def test_forecast_stage(spark, tmp_path):
     history = spark.read.parquet(out + "/forecasts_history")
     assert history.count() == latest.where("IsForecast = 1").count() > 0
     assert spark.read.parquet(out + "/metrics_history").count() == spark.read.parquet(out + "/metrics_latest").count()
+
+
+def test_staged_tables_go_with_the_job(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path / "app"))
+    assert session.staged(spark.range(3), "some").count() == 3 and list(tmp_path.rglob("*.parquet"))
+    session.clear_scratch(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
+@pytest.mark.parametrize("master, fails", [("local", False), ("local[8]", False), ("local-cluster[2,1,1024]", True), ("yarn", True)])
+def test_shared_folder_where_none_is_named(master, fails):
+    """On one machine a temporary folder is set on the context; on a cluster the setting is needed."""
+    folder = {}
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: folder.get("dir"),
+                              setCheckpointDir=lambda path: folder.update(dir=path))
+    lone = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default: default))
+    if fails:
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            session.shared_dir(lone)
+    else:
+        assert session.shared_dir(lone) == session.shared_dir(lone) == folder["dir"]
+
+
+def test_forecast_stage_with_other_columns(spark, tmp_path):
+    usage, out = str(tmp_path / "usage"), str(tmp_path / "out")
+    (Telemetry(spark, "/root/testdata/sf0.001").usage_c().withColumnsRenamed({"Date": "d", "Occurrences": "n"})
+     .write.option("header", True).csv(usage))
+    jobs.main(["forecast", "--usage", usage, "--out", out, "--run-id", "r1", "--run-time", "2001-11-05T06:00:00", "--format", "csv",
+               "--date-col", "d", "--views-col", "n", "--horizon", "5"])
+    assert spark.read.parquet(out + "/metrics_latest").count() > 0

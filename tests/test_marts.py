@@ -131,12 +131,8 @@ def test_repeat_rate_changes(spark):
     assert [r.date for r in engagement.repeat_rate_changes(mart).collect()] == [day(2)]
 
 
-LARGE = [None, 0, 50, 10**9]
-
-
-@pytest.mark.parametrize("large", LARGE)
-def test_performance(spark, large):
-    """All report-days large, some, none, and unknown: the figures are the same."""
+@pytest.mark.parametrize("validate", ["eager", "inline", "off"])
+def test_performance(spark, validate):
     rng = random.Random(11)
     loads = defaultdict(list)
     for _ in range(3000):
@@ -144,8 +140,7 @@ def test_performance(spark, large):
         loads[key].append(round(rng.lognormvariate(7, 1), 2) if rng.random() < 0.9 else 0.0)
     df = spark.createDataFrame([(d, r, v) for (d, r), vs in loads.items() for v in vs] + [(day(0), None, 1.0)],
                                "date date, report_id string, load_time double").repartition(5)
-    options = {"validate": "off"} if large is None else {"large_group_rows": large}
-    got = {(r.date, r.report_id): r for r in build_report_performance_features(df, **options).collect()}
+    got = {(r.date, r.report_id): r for r in build_report_performance_features(df, validate=validate).collect()}
     assert set(got) == set(loads)
     for key, values in loads.items():
         assert got[key].avg_load_time == pytest.approx(np.mean(values))
@@ -160,11 +155,12 @@ def test_performance(spark, large):
             assert row.load_time_wow_change == (pytest.approx((means[i] - means[i - 7]) / means[i - 7]) if i >= 7 else None)
 
 
-def test_many_large_groups_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(performance, "BROADCAST_GROUPS", 2)
-    df = spark.createDataFrame([(day(i % 9), "R", float(i)) for i in range(900)], "date date, report_id string, load_time double")
-    got = build_report_performance_features(df, large_group_rows=50).collect()
-    assert len(got) == 9 and all(r.p90_load_time == pytest.approx(np.quantile([x for x in range(900) if day(x % 9) == r.date], 0.9)) for r in got)
+@pytest.mark.parametrize("validate", ["eager", "inline", "off"])
+def test_an_infinite_load_gives_one_answer(spark, validate):
+    values = [float(v) for v in range(1, 31)] + [math.inf]
+    df = spark.createDataFrame([(day(0), "R", v) for v in values], "date date, report_id string, load_time double")
+    row = build_report_performance_features(df, validate=validate).first()
+    assert row.p90_load_time == 28.0 and row.avg_load_time == math.inf and row.load_events == 31
 
 
 def test_zero_and_missing_lag(spark):

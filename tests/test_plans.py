@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from comparison import plan
+from viewtide.operators import performance
 from viewtide.catalogue import Data
 
 SF = "/root/testdata/sf0.001"
@@ -28,7 +29,7 @@ def test_exchanges(spark, name, hashed):
 
 
 @pytest.mark.parametrize("name, columns", [
-    ("agg_adoption_rows", {"ts", "event_type", "user_id"}), ("agg_performance", {"ts", "event_type", "value"}),
+    ("agg_adoption_rows", {"ts", "event_type", "user_id"}), ("agg_adoption_sum", {"l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag", "p_partkey", "p_brand"}),
     ("fn_normalize", {"event_id", "ts"})])
 def test_scans_read_needed_columns_only(spark, name, columns):
     read = re.findall(r"ReadSchema: struct<(.*?)>\n", plan(QUERIES[name](spark, SF), "formatted") + "\n")
@@ -38,3 +39,13 @@ def test_scans_read_needed_columns_only(spark, name, columns):
 def test_filters_reach_the_scan(spark):
     facts = Data(spark, SF).table("lineitem")
     assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan(facts.where("l_shipdate >= '2000-01-01'"), "formatted")
+
+
+def test_one_percentile_path(spark):
+    """No size decides the plan: the same operators for a hundred rows and for a million."""
+    shapes = set()
+    for n in (100, 1_000_000):
+        loads = spark.range(n).selectExpr("date'2025-01-01' AS date", "'R' AS report_id", "double(id) AS load_time")
+        shapes.add(tuple(re.findall(r"\b(?:HashAggregate|SortMergeJoin|Window|Exchange)\b", plan(
+            performance.build_report_performance_features(loads), "simple"))))
+    assert len(shapes) == 1

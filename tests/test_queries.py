@@ -1,4 +1,6 @@
-"""Every registered query against its SQL counterpart, on the smallest scale factor.
+"""Every query of the catalogue against its SQL counterpart, on the smallest scale factor.
+
+The corpus queries, where they are installed, have tests of their own.
 
 VIEWTIDE_SF picks another directory.
 """
@@ -11,7 +13,7 @@ import __spark_entry__ as entry
 import comparison
 
 SF = os.environ.get("VIEWTIDE_SF", "/root/testdata/sf0.001")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = entry.catalogue.spark_queries(), entry.catalogue.sql_queries()
 TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 

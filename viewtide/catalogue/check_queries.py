@@ -76,13 +76,13 @@ def pair_sql(raw: str, processed: str) -> str:
        sql=union_sql([*UNIQUE_SQL, unique_sql("reports", "report_id")]))
 def dq_unique(data: Data) -> DataFrame:
     """Dimension keys, and the raw reports, where every id comes many times."""
-    return Q.union([Q.run_model_expectations(data.model(), ("unique",)),
+    return Q.union([Q.run_model_expectations(data.stored_model(), ("unique",)),
                     Q.run_expectations(data.reports(), "reports", [Q.Expectation("unique", "report_id")])])
 
 
 def _weekday_model(data: Data) -> dict[str, DataFrame]:
     """A model whose facts were keyed by a calendar without weekends."""
-    model = data.model()
+    model = data.stored_model()
     return model | {"fact_report_views": star_schema.build_fact_report_views(
         data.report_views(), model["dim_date"].where(~F.col("is_weekend")))}
 
@@ -100,7 +100,7 @@ def dq_not_null(data: Data) -> DataFrame:
 
 @query("dq_row_count", uses=MODEL, doubles=RESULT_DOUBLES, sql=union_sql(ROW_COUNT_SQL))
 def dq_row_count(data: Data) -> DataFrame:
-    return Q.run_model_expectations(data.model(), ("row_count",))
+    return Q.run_model_expectations(data.stored_model(), ("row_count",))
 
 
 @query("dq_result_row", uses="report_pages", doubles=RESULT_DOUBLES, sql=union_sql(
@@ -114,13 +114,13 @@ def dq_result_row(data: Data) -> DataFrame:
 
 @query("dq_run_expectations", uses=MODEL, doubles=RESULT_DOUBLES, sql=union_sql(UNIQUE_SQL + NOT_NULL_SQL + ROW_COUNT_SQL))
 def dq_run_expectations(data: Data) -> DataFrame:
-    return Q.run_model_expectations(data.model())
+    return Q.run_model_expectations(data.stored_model())
 
 
 @query("union_check_results", uses=MODEL, doubles=RESULT_DOUBLES, sql=union_sql(
     [unique_sql("dim_page", "page_key"), row_count_sql("fact_page_views")]))
 def union_check_results(data: Data) -> DataFrame:
-    model = data.model()
+    model = data.stored_model()
     return Q.union([Q.run_expectations(model["dim_page"], "dim_page", [Q.Expectation("unique", "page_key")]),
                     Q.run_expectations(model["fact_page_views"], "fact_page_views",
                                        [Q.Expectation("row_count", min_value=1)])])
@@ -128,12 +128,12 @@ def union_check_results(data: Data) -> DataFrame:
 
 @query("dq_referential_integrity", uses=MODEL, sql=union_sql([integrity_sql(*r) for r in Q.REFERENCES]))
 def dq_referential_integrity(data: Data) -> DataFrame:
-    return Q.run_referential_integrity_checks(data.model())
+    return Q.run_referential_integrity_checks(data.stored_model())
 
 
 @query("dq_row_reconciliation", uses=MODEL + " " + RAW, sql=union_sql([pair_sql(*p) for p in Q.PAIRS]))
 def dq_row_reconciliation(data: Data) -> DataFrame:
-    return Q.run_row_count_reconciliation(data.raw(), data.model())
+    return Q.run_row_count_reconciliation(data.raw(), data.stored_model())
 
 
 def summary_sql() -> str:
@@ -156,7 +156,7 @@ def dq_summary(data: Data) -> DataFrame:
     FROM ({union_sql([f"SELECT 'referential_integrity' AS check_group, success FROM ({integrity_sql(*r)})" for r in Q.REFERENCES])})
     GROUP BY check_group""")
 def agg_check_summary(data: Data) -> DataFrame:
-    integrity = Q.run_referential_integrity_checks(data.model())
+    integrity = Q.run_referential_integrity_checks(data.stored_model())
     return Q.tally(integrity, "success", F.lit("referential_integrity"))
 
 

@@ -8,7 +8,7 @@ from viewtide.catalogue.base import Data, query
 from viewtide.functions import columns as C
 from viewtide.operators import adoption, engagement, performance, quality, series
 from viewtide.plans import marts
-from viewtide.session import shared_dir
+from viewtide.session import staged
 
 ADOPTION = "views_per_user"
 ROLLING = "views_per_user views_7d views_28d viewers_7d viewers_28d wow_change_views"
@@ -200,11 +200,24 @@ def win_repeat_change(data: Data) -> DataFrame:
     return engagement.repeat_rate_changes(data.engagement_b())
 
 
-@query("limit_examples", uses="engagement_b", doubles="top_10pct_user_share repeat_user_rate", sql="""
-    SELECT date, report_id, top_10pct_user_share, repeat_user_rate FROM engagement_b
-    WHERE top_10pct_user_share >= 0.5 ORDER BY report_id, date LIMIT 10""")
+@query("limit_examples", uses="engagement_b", doubles="value repeat_user_rate", sql="""
+    SELECT * FROM (SELECT 'high_concentration' AS list, date, report_id, top_10pct_user_share AS value, repeat_user_rate
+        FROM engagement_b WHERE top_10pct_user_share >= 0.5 ORDER BY report_id, date LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'repeat_change', date, report_id, repeat_user_rate, repeat_user_rate FROM (
+        SELECT *, repeat_user_rate - lag(repeat_user_rate) OVER (PARTITION BY report_id ORDER BY date) AS step
+        FROM engagement_b) WHERE coalesce(step, 0) <> 0 ORDER BY report_id, date LIMIT 10)
+    UNION ALL SELECT * FROM (SELECT 'idle_spike', date, report_id, CAST(days_since_last_use AS DOUBLE), repeat_user_rate
+        FROM engagement_b WHERE days_since_last_use >= 2 ORDER BY report_id, date LIMIT 10)""")
 def limit_examples(data: Data) -> DataFrame:
-    return adoption.present(engagement.high_concentration(data.engagement_b())).limit(10)
+    """The first ten rows of the three example lists."""
+    mart = data.engagement_b()
+    lists = {"high_concentration": (engagement.high_concentration(mart), "top_10pct_user_share"),
+             "repeat_change": (engagement.repeat_rate_changes(mart), "repeat_user_rate"),
+             "idle_spike": (engagement.idle_spikes(mart), "days_since_last_use")}
+    parts = [adoption.present(rows).limit(10).select(F.lit(name).alias("list"), "date", "report_id",
+                                                     F.col(value).cast("double").alias("value"), "repeat_user_rate")
+             for name, (rows, value) in lists.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # Performance ----------------------------------------------------------------------------------------
@@ -213,7 +226,7 @@ def limit_examples(data: Data) -> DataFrame:
 def agg_performance(data: Data) -> DataFrame:
     """The form for report-days of any size."""
     loads = data.loads_a()
-    return performance.aggregate_large_loads(performance.load_rows(loads, "date", "report_id", "load_time"))
+    return performance.aggregate_loads(performance.load_rows(loads, "date", "report_id", "load_time"))
 
 
 @query("win_avg_load_7d", uses="performance_a", doubles="avg_load_time_7d", sql="""
@@ -254,8 +267,7 @@ DESCRIBED = ["daily_views", "unique_viewers", "views_per_user", "views_7d", "vie
 @query("agg_describe", uses="ts_b", doubles="mean std min p25 p50 p75 max", sql=_describe("ts_b", DESCRIBED))
 def agg_describe(data: Data) -> DataFrame:
     """The mart is kept as a reliable checkpoint first: describing reads its input three times."""
-    shared_dir(data.spark)
-    return quality.describe(data.ts_b().select(*DESCRIBED).checkpoint(), DESCRIBED)
+    return quality.describe(staged(data.ts_b().select(*DESCRIBED), "described"), DESCRIBED)
 
 
 @query("agg_null_counts", uses="ts_b", sql="""

@@ -178,10 +178,11 @@ TABLES |= {
         SELECT *, n_obs - n_train AS n_test, CASE WHEN pos > n_train THEN pos - n_train END AS step,
                CASE WHEN n_train < 30 OR n_obs - n_train < 7 THEN 'Series too short for robust backtest split' END AS error
         FROM numbered_c"""),
-    "tested_c": ("split_c", """
+    "last_week_c": ("split_c", "SELECT * FROM split_c WHERE pos > n_train - 7 AND pos <= n_train"),
+    "tested_c": ("last_week_c", """
         SELECT t.*, l.views AS naive, s.views AS seasonal_naive
-        FROM split_c t JOIN split_c l ON t.report_id = l.report_id AND l.pos = t.n_train
-        JOIN split_c s ON t.report_id = s.report_id AND s.pos = t.n_train - 6 + (t.step - 1) % 7
+        FROM split_c t JOIN last_week_c l ON t.report_id = l.report_id AND l.pos = t.n_train
+        JOIN last_week_c s ON t.report_id = s.report_id AND s.pos = t.n_train - 6 + (t.step - 1) % 7
         WHERE t.step IS NOT NULL AND t.error IS NULL"""),
     "actuals_c": ("usage_c", """
         SELECT "Report Guid" AS report_id, "Report Name" AS report_name, "Date" AS date,
@@ -198,6 +199,9 @@ TABLES |= {
         FROM history_c h JOIN actuals_c a ON h.report_id = a.report_id AND h.target_date = a.date"""),
 }
 
+#: Tables that are worth computing once, as others read them several times.
+MATERIALIZED = {"usage_c", "split_c"}
+
 
 def with_tables(names: list[str], body: str) -> str:
     """The body preceded by the shared tables it needs, each after those it reads."""
@@ -211,5 +215,6 @@ def with_tables(names: list[str], body: str) -> str:
 
     for name in names:
         add(name)
-    head = ",\n".join(f"{n} AS ({TABLES[n][1].strip()})" for n in ordered)
+    kept = lambda n: "MATERIALIZED " if n in MATERIALIZED else ""
+    head = ",\n".join(f"{n} AS {kept(n)}({TABLES[n][1].strip()})" for n in ordered)
     return f"WITH {head}\n{body}" if head else body

@@ -1,15 +1,9 @@
-"""Exact order statistics of groups of any size.
+"""Exact order statistics of groups of any size and any values, by one path.
 
-``percentile`` keeps all distinct values of a group in one task. That is right for the usual
-report-day, wrong for a group that holds a large part of the table. Here a group is never gathered:
-
-1. values are counted per (keys, value) - map-side combine, hot groups spread over all tasks;
-2. the counts are rolled up into value ranges whose number per group is bounded by the number format
-   (64 ranges per power of two), and the range holding each wanted rank is found on those few rows;
-3. only the cells of the found ranges go on, cut once more into 1024 linear parts, and the rank is
-   read off inside one part.
-
-Every step is a monotone split of the values, so the result is exact, whatever the distribution.
+``percentile`` keeps all distinct values of a group in one task. That is wrong for a group that holds a large part of the
+table. Here the rows are range-partitioned by group, value and a number of their own, so that even equal values of one
+group spread over tasks of even size, and stored in that order. Ranks then follow from one count per group and partition;
+the wanted rows are read off by their place. NaN is the largest value, as in Spark's own order.
 """
 
 from __future__ import annotations
@@ -19,21 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viewtide.functions import columns as C
+from viewtide.session import staged
 
-RANGES_PER_OCTAVE = 64
-PARTS = 1024
-
-
-def magnitude_range(value: Column) -> Column:
-    """Monotone map of finite doubles on at most ~270,000 integers."""
-    scaled = F.floor(F.log2(F.abs(value)) * RANGES_PER_OCTAVE) + 1080 * RANGES_PER_OCTAVE
-    return F.coalesce(F.when(value > 0, scaled).when(value < 0, -scaled), F.lit(0).cast("bigint"))
-
-
-def linear_part(value: Column, low: Column, high: Column) -> Column:
-    """Monotone map of ``low..high`` on 0..PARTS."""
-    span = high / 2 - low / 2
-    return F.coalesce(F.when(span > 0, F.floor((value / 2 - low / 2) / span * PARTS)), F.lit(0).cast("bigint"))
+PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
 
 
 def running(keys: Sequence[str], order: Column, amount: str) -> Column:
@@ -42,87 +24,47 @@ def running(keys: Sequence[str], order: Column, amount: str) -> Column:
     return F.sum(amount).over(frame)
 
 
-def _pick(cells: DataFrame, keys: list[str], split: str, wanted: DataFrame | None, probs: Mapping[str, float]) -> DataFrame:
-    """Find, per key, the value range that holds each wanted rank.
+def in_order(rows: DataFrame, keys: Sequence[str], value: str, descending: bool = False) -> DataFrame:
+    """``rows`` sorted by keys and value over evenly filled partitions, stored, with their place ``_id`` and ``_chunk``."""
+    order = [*keys, F.col(value).desc() if descending else F.col(value), "_tie"]
+    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())
+    placed = (numbered.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+              .withColumn("_id", F.monotonically_increasing_id()))
+    return staged(placed, "in-order").withColumn("_chunk", F.shiftright("_id", PLACE_BITS))
 
-    Returns keys, split, low, high, _prob, _side, _rank (now relative to the range), _frac.
-    """
-    carried = ["_prob", "_side", "_frac"] if wanted is None else []
-    ranges = (cells.groupBy(*keys, split)
-              .agg(F.sum("_n").alias("_m"), F.min("_v").alias("_low"), F.max("_v").alias("_high"),
-                   *([] if wanted is None else [F.first("_rank").alias("_rank"), F.first("_frac").alias("_frac")]))
-              .withColumn("_upto", running(keys, F.col(split), "_m")))
-    if wanted is None:
-        whole = Window.partitionBy(*keys)
-        ranges = ranges.withColumn("_all", F.sum("_m").over(whole))
-        asks = []
-        for name, prob in probs.items():
-            position = F.lit(float(prob)) * (F.col("_all") - 1)
-            for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
-                asks.append(F.struct(F.lit(name).alias("_prob"), F.lit(side).alias("_side"),
-                                     rank.cast("bigint").alias("_rank"),
-                                     (position - F.floor(position)).alias("_frac")))
-        ranges = ranges.withColumn("_ask", F.explode(F.array(*asks))).select("*", "_ask.*")
-    before = F.col("_upto") - F.col("_m")
-    return (ranges.where((before <= F.col("_rank")) & (F.col("_rank") < F.col("_upto")))
-            .select(*keys, split, "_low", "_high", (F.col("_rank") - before).alias("_rank"), *carried,
-                    *([] if wanted is None else ["_frac"])))
-
-
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float],
-                      few_groups: bool = False) -> DataFrame:
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated percentiles, one row per key: ``keys`` plus one column per entry of ``probs``.
 
-    Rows without key or value are ignored; values must be finite. ``few_groups`` says that the caller
-    has counted the groups: the wanted ranges (two per group and percentile) are then broadcast and the
-    rows, which are not shuffled at all, are read twice instead. Otherwise rows are counted per value
-    first, so that neither a hot key nor a hot value meets the join row by row.
+    Rows without key or value are ignored. The rows are shuffled once; a group has one count per partition it lies in.
     """
     keys = list(keys)
-    # All branches below must filter alike, or Spark could not share their exchanges. Hence NULLs are ruled
-    # out first, and the computed join keys are never NULL by their type.
-    rows = C.filled(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias("_v"))
-    cells = rows.withColumn("_n", F.lit(1).cast("bigint")) if few_groups else (
-        rows.groupBy(*keys, "_v").agg(F.count("*").alias("_n")))
-    cells = cells.withColumn("_range", magnitude_range(F.col("_v")))
-    coarse = _pick(cells, keys, "_range", None, probs)
-    ask = [*keys, "_prob", "_side"]
-    inside = (cells.join(F.broadcast(coarse) if few_groups else coarse, [*keys, "_range"])
-              .withColumn("_part", linear_part(F.col("_v"), F.col("_low"), F.col("_high")))
-              .groupBy(*ask, "_rank", "_frac", "_part", "_v").agg(F.sum("_n").alias("_n")))
-    fine = _pick(inside, ask, "_part", coarse, probs).drop("_low", "_high")
-    hits = (inside.drop("_rank", "_frac").join(F.broadcast(fine) if few_groups else fine, [*ask, "_part"])
-            .withColumn("_upto", running(ask, F.col("_v"), "_n"))
-            .where((F.col("_upto") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))))
-    aggs = []
+    rows = in_order(C.filled(df, [*keys, value]).select(*keys, F.col(value).cast("double").alias("_v")), keys, "_v")
+    whole = Window.partitionBy(*keys)
+    chunks = (rows.groupBy(*keys, "_chunk").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+              .withColumn("_all", F.sum("_n").over(whole))
+              .withColumn("_before", running(keys, F.col("_chunk"), "_n") - F.col("_n")))
+    asks = []
+    for name, prob in probs.items():
+        position = F.lit(float(prob)) * (F.col("_all") - 1)
+        for side, rank in (("low", F.floor(position)), ("high", F.ceil(position))):
+            asks.append(F.struct(F.lit(name).alias("_prob"), F.lit(side).alias("_side"), rank.cast("bigint").alias("_rank"),
+                                 (position - F.floor(position)).alias("_frac")))
+    inside = F.filter(F.array(*asks), lambda x: (F.col("_before") <= x["_rank"]) & (x["_rank"] < F.col("_before") + F.col("_n")))
+    wanted = (chunks.withColumn("_ask", F.explode(inside))
+              .select((F.col("_first") + F.col("_ask._rank") - F.col("_before")).alias("_id"),
+                      "_ask._prob", "_ask._side", "_ask._frac"))
+    hits, aggs = rows.join(wanted, "_id"), []
     for name in probs:
         of = F.col("_prob") == name
         low = F.max(F.when(of & (F.col("_side") == "low"), F.col("_v")))
         high = F.max(F.when(of & (F.col("_side") == "high"), F.col("_v")))
         frac = F.max(F.when(of, F.col("_frac")))
-        aggs.append((low + (high - low) * frac).alias(name))
+        # between equal values, infinite ones too, there is nothing to interpolate
+        aggs.append(F.when((frac == 0) | (low == high), low).otherwise(low + (high - low) * frac).alias(name))
     return hits.groupBy(*keys).agg(*aggs)
 
 
-def _cut_ranges(cells: DataFrame, keys: list[str], split: str, value: str, users: str, size) -> tuple[DataFrame, DataFrame]:
-    """Sums of the value ranges above a group's cut, and the range the cut runs through with the room left in it.
-
-    The cut is ``size`` of the group's users, or ``_room`` where an earlier split has set it.
-    """
-    given = [] if size else [F.max("_room").alias("_cut")]
-    ranges = (cells.groupBy(*keys, split)
-              .agg(F.sum(users).alias("_users"), F.sum(F.col(users) * F.col(value)).alias("_views"),
-                   F.min(value).alias("_low"), F.max(value).alias("_high"), *given)
-              .withColumn("_upto", running(keys, F.col(split).desc(), "_users")))
-    if size:
-        ranges = ranges.withColumn("_cut", size(F.sum("_users").over(Window.partitionBy(*keys))))
-    ranges = ranges.withColumn("_room", F.col("_cut") - (F.col("_upto") - F.col("_users")))
-    clear = ranges.where(F.col("_room") >= F.col("_users")).select(*keys, F.col("_views").alias("_part"))
-    crossed = (ranges.where((F.col("_room") > 0) & (F.col("_room") < F.col("_users")))
-               .select(*keys, split, "_low", "_high", "_room"))
-    return clear, crossed
-
-
 def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, size, integral: bool,
               also: Sequence[Column] = ()) -> DataFrame:
     """Sum of the ``size(users)`` largest values per key, from a histogram of values.
@@ -130,29 +72,22 @@ def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, siz
     ``cells`` has one row per (keys, value) with the number of users at that value. Sorting the
     histogram instead of the users keeps a hot key small: whole-numbered values of sum S have fewer
     than ``sqrt(2 S)`` distinct values. Fractional values have no such bound, so their histogram is
-    first rolled up into value ranges, the range crossed by the cut is split into linear parts, and
-    only the part crossed by the cut is looked at value by value.
+    put in order over evenly filled partitions, and running sums start anew in each.
 
     Returns keys, ``_top`` (sum over the top users) and the aggregates ``also`` of the histogram. Ties
     do not matter: equal values add equally.
     """
     keys = list(keys)
-    whole = Window.partitionBy(*keys)
     if integral:
-        cut = size(F.sum(users).over(whole))
-        taken = F.least(F.col(users), F.greatest(F.lit(0), F.col("_cut") - (F.col("_upto") - F.col(users))))
-        return (cells.withColumn("_upto", running(keys, F.col(value).desc(), users)).withColumn("_cut", cut)
-                .groupBy(*keys).agg(F.sum(taken * F.col(value)).alias("_top"), *also))
-    rolled_up = cells.groupBy(*keys).agg(*also) if also else None
-    cells = cells.withColumn("_range", magnitude_range(F.col(value)))
-    clear, crossed = _cut_ranges(cells, keys, "_range", value, users, size)
-    inside = (cells.join(crossed, [*keys, "_range"])
-              .withColumn("_linear", linear_part(F.col(value), F.col("_low"), F.col("_high"))).drop("_low", "_high"))
-    finer, crossed = _cut_ranges(inside, keys, "_linear", value, users, None)
-    close = (inside.drop("_room").join(crossed.drop("_low", "_high"), [*keys, "_linear"])
-             .withColumn("_seen", running([*keys, "_linear"], F.col(value).desc(), users) - F.col(users))
-             .where(F.col("_seen") < F.col("_room"))
-             .select(*keys, (F.least(F.col(users), F.col("_room") - F.col("_seen")) * F.col(value)).alias("_part")))
-    clear = clear.unionByName(finer)
-    top = clear.unionByName(close).groupBy(*keys).agg(F.sum("_part").alias("_top"))
-    return top if rolled_up is None else rolled_up.join(top, keys, "left")
+        cut = size(F.sum(users).over(Window.partitionBy(*keys)))
+        upto = running(keys, F.col(value).desc(), users)
+        placed = cells.withColumn("_cut", cut).withColumn("_upto", upto)
+    else:
+        cells = in_order(cells, keys, value, descending=True)
+        chunks = (cells.groupBy(*keys, "_chunk").agg(F.sum(users).alias("_n"))
+                  .withColumn("_cut", size(F.sum("_n").over(Window.partitionBy(*keys))))
+                  .withColumn("_before", running(keys, F.col("_chunk"), "_n") - F.col("_n")))
+        upto = F.col("_before") + running([*keys, "_chunk"], F.col("_id"), users)
+        placed = cells.join(chunks.drop("_n"), [*keys, "_chunk"]).withColumn("_upto", upto)
+    taken = F.least(F.col(users), F.greatest(F.lit(0), F.col("_cut") - (F.col("_upto") - F.col(users))))
+    return placed.groupBy(*keys).agg(F.sum(taken * F.col(value)).alias("_top"), *also)

@@ -11,7 +11,7 @@ MART = ("date", "report_id", "daily_views", "unique_viewers", "views_per_user")
 
 def build_report_daily_adoption(fact_report_views: DataFrame, date_col: str = "date", report_col: str = "report_id",
                                 user_col: str = "user_id", views_col: str | None = None,
-                                validate: str = "eager") -> DataFrame:
+                                validate: str = "inline") -> DataFrame:
     """Views, distinct viewers and views per viewer for each (date, report_id).
 
     ``daily_views`` sums ``views_col`` if named, else counts rows. Spark plans the distinct count over
@@ -80,7 +80,7 @@ def fill_report_days(daily: DataFrame, until: Column | None = None) -> DataFrame
 
 
 def add_time_series_usage_features(df: DataFrame, date_col: str = "date", report_col: str = "report_id",
-                                   validate: str = "eager") -> DataFrame:
+                                   validate: str = "inline") -> DataFrame:
     """Rolling 7/28-row sums and week-over-week change per report; input columns are kept.
 
     All frames and the lag share one partitioning and order, hence one Window operator. Frames count
@@ -93,8 +93,10 @@ def add_time_series_usage_features(df: DataFrame, date_col: str = "date", report
     df = df.withColumn(date_col, C.to_moment(df, date_col))
     df = G.enforce(df, {f"Unable to parse all values in '{date_col}' into valid datetimes.":
                         (date_col, C.quoted(date_col).isNull())}, validate)
-    by_report = Window.partitionBy(report_col).orderBy(date_col)
     known = C.quoted(report_col).isNotNull()
+    # rows without a report get no features; dealt by their content they do not meet in one task
+    apart = F.when(~known, F.hash(date_col, "daily_views", "unique_viewers"))
+    by_report = Window.partitionBy(report_col, apart).orderBy(date_col)
 
     def rolling(measure: str, days: int) -> Column:
         return F.when(known, F.sum(measure).over(by_report.rowsBetween(1 - days, 0))).cast("double")

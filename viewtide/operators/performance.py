@@ -6,16 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from viewtide.functions import columns as C, guards as G
 from viewtide.functions.order_stats import exact_percentiles
-from viewtide.session import shared_dir
 
 DAY = ["date", "report_id"]
 MART = ("date", "report_id", "avg_load_time", "p90_load_time", "avg_load_time_7d", "load_time_wow_change", "load_events")
 
-# Up to this many events (8 MB of doubles) a report-day's values may meet in one task.
-LARGE_GROUP_ROWS = 1_000_000
-# A list of report-days is broadcast only if counted and not longer than this (about 4 MB).
-BROADCAST_GROUPS = 100_000
-
 
 def load_rows(loads: DataFrame, date_col: str, report_col: str, load_time_col: str) -> DataFrame:
     return loads.select(C.to_day(loads, date_col).alias("date"), C.quoted(report_col).alias("report_id"),
@@ -23,6 +17,7 @@ def load_rows(loads: DataFrame, date_col: str, report_col: str, load_time_col: s
 
 
 def load_rules(date_col: str, load_time_col: str) -> dict:
+    """Value rules; the messages are fixed values."""
     return {
         f"Unable to parse all values in '{date_col}' into valid datetimes.": ("date", F.col("date").isNull()),
         f"Unable to convert all values in '{load_time_col}' to numeric load times.":
@@ -31,59 +26,13 @@ def load_rules(date_col: str, load_time_col: str) -> dict:
     }
 
 
-def inspect_loads(rows: DataFrame, rules: dict, large: int) -> tuple[DataFrame, int]:
-    """One pass over the loads: raise on bad values, return the large report-days and their number.
-
-    The totals per report-day are kept as a reliable checkpoint, so finding the large ones costs no
-    second pass.
-    """
-    shared_dir(rows.sparkSession)
-    bad = [F.count_if(cond).alias(f"r{i}") for i, (_, cond) in enumerate(rules.values())]
-    by_day = rows.groupBy(*DAY).agg(F.count("*").alias("load_events"), F.avg("load_time").alias("avg_load_time"),
-                                    *bad).checkpoint()
-    # groups without a report take no part in the mart, hence are never large
-    is_large = (F.col("load_events") > large) & F.col("report_id").isNotNull()
-    found = by_day.agg(F.count_if(is_large), *[F.sum(f"r{i}") for i in range(len(bad))]).first()
-    for i, message in enumerate(rules):
-        if found[i + 1]:
-            raise ValueError(message)
-    return by_day.where(is_large).select(*DAY, "avg_load_time", "load_events"), found[0]
-
-
 def aggregate_loads(rows: DataFrame) -> DataFrame:
-    """Mean, p90 and count per report-day, for report-days known not to be large.
-
-    The values of a report-day (at most LARGE_GROUP_ROWS doubles) are sorted in an array and the two
-    ranks around the percentile looked up, which takes about half the time of ``percentile``.
-    """
-    daily = rows.groupBy(*DAY).agg(
-        F.avg("load_time").alias("avg_load_time"), F.sort_array(F.collect_list("load_time")).alias("_sorted"),
-        F.count("*").alias("load_events"))
-    position = F.lit(0.9) * (F.col("load_events") - 1)
-    low = F.get("_sorted", F.floor(position).cast("int"))
-    high = F.get("_sorted", F.ceil(position).cast("int"))
-    return daily.select(*DAY, "avg_load_time", (low + (high - low) * (position - F.floor(position))).alias("p90_load_time"),
-                        "load_events")
-
-
-def aggregate_large_loads(rows: DataFrame, means: DataFrame | None = None, few_groups: bool = False) -> DataFrame:
-    """The same figures for report-days of any size: no group is gathered in one task."""
-    if means is None:
-        means = rows.groupBy(*DAY).agg(F.avg("load_time").alias("avg_load_time"), F.count("*").alias("load_events"))
-    p90 = exact_percentiles(rows, DAY, "load_time", {"p90_load_time": 0.9}, few_groups)
+    """Mean, p90 and count per report-day, of any size."""
+    means = rows.groupBy(*DAY).agg(F.avg("load_time").alias("avg_load_time"), F.count("*").alias("load_events"))
+    p90 = exact_percentiles(rows, DAY, "load_time", {"p90_load_time": 0.9})
     return means.join(p90, DAY, "left").select(*DAY, "avg_load_time", "p90_load_time", "load_events")
 
 
-def split_loads(rows: DataFrame, large: DataFrame, n_large: int) -> DataFrame:
-    """Ordinary report-days the short way, large ones the way that holds for any size."""
-    if n_large == 0:
-        return aggregate_loads(rows)
-    few = n_large <= BROADCAST_GROUPS
-    keys = F.broadcast(large.select(*DAY)) if few else large.select(*DAY)
-    return (aggregate_loads(rows.join(keys, DAY, "left_anti"))
-            .unionByName(aggregate_large_loads(rows.join(keys, DAY, "left_semi"), large, few)))
-
-
 def add_load_trends(daily: DataFrame) -> DataFrame:
     """Mean over the last 7 active days and change against 7 active days before."""
     by_report = Window.partitionBy("report_id").orderBy("date")
@@ -97,18 +46,9 @@ def add_load_trends(daily: DataFrame) -> DataFrame:
 
 def build_report_performance_features(fact_report_loads: DataFrame, date_col: str = "date",
                                       report_col: str = "report_id", load_time_col: str = "load_time",
-                                      validate: str = "eager", large_group_rows: int = LARGE_GROUP_ROWS) -> DataFrame:
-    """Daily load-time features per report.
-
-    ``eager`` takes one look at the loads first, which both checks the values and tells whether any
-    report-day is too large to gather. The other modes know no sizes and take the split that holds
-    for any.
-    """
+                                      validate: str = "inline") -> DataFrame:
+    """Daily load-time features per report."""
     G.require_dataframe(fact_report_loads, "fact_report_loads")
     G.require_columns(fact_report_loads, [date_col, report_col, load_time_col])
-    G.require_mode(validate)
     rows, rules = load_rows(fact_report_loads, date_col, report_col, load_time_col), load_rules(date_col, load_time_col)
-    if validate != "eager":
-        return add_load_trends(aggregate_large_loads(C.filled(G.enforce(rows, rules, validate), DAY)))
-    large, n_large = inspect_loads(rows, rules, large_group_rows)
-    return add_load_trends(split_loads(C.filled(rows, DAY), large, n_large))
+    return add_load_trends(aggregate_loads(C.filled(G.enforce(rows, rules, validate), DAY)))

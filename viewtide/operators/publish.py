@@ -187,7 +187,7 @@ def unseen(rows: DataFrame, existing: DataFrame) -> DataFrame:
 def realized_errors(history: DataFrame, actuals: DataFrame, existing: DataFrame, realized_at: datetime) -> DataFrame:
     """Errors of forecasts whose day has come, each reported once."""
     error = F.col("actual_views") - F.col("forecast_views")
-    return (unseen(matched_actuals(history, actuals), existing)
+    return (matched_actuals(unseen(history, existing), actuals)
             .withColumn("error", error).withColumn("abs_error", F.abs("error"))
             .withColumn("pct_error", C.percent_error(F.col("error"), F.col("actual_views")))
             .withColumn("realized_at", F.lit(realized_at.isoformat(sep=" ")).cast("timestamp_ntz"))

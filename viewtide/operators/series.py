@@ -30,12 +30,9 @@ class Sufficiency:
     min_total_views: int = 120
 
 
-def daily_totals(usage: DataFrame, report_id_col: str = "Report Guid", date_col: str = "Date",
+def named_totals(usage: DataFrame, report_id_col: str = "Report Guid", date_col: str = "Date",
                  name_col: str = "Report Name", views_col: str = "Occurrences", validate: str = "inline") -> DataFrame:
-    """Views per report and day with usage: report_id, report_name, date, views.
-
-    A report has one name; if its rows disagree the smallest is taken.
-    """
+    """Views per report, name and day: report_id, _name, date, views. Totals and actuals both follow from it."""
     G.require_dataframe(usage, "usage")
     G.require_measure(usage, views_col)
     G.require_columns(usage, [report_id_col, date_col, name_col])
@@ -45,10 +42,18 @@ def daily_totals(usage: DataFrame, report_id_col: str = "Report Guid", date_col:
                         C.to_number_or_zero(usage, views_col).alias("views"))
     rows = G.enforce(rows, {f"Unable to parse all values in '{date_col}' into valid datetimes.":
                             ("date", F.col("_dated") & F.col("date").isNull())}, validate)
+    return C.filled(rows, ["report_id", "date"]).groupBy("report_id", "_name", "date").agg(F.sum("views").alias("views"))
+
+
+def daily_totals(usage: DataFrame, **columns) -> DataFrame:
+    """Views per report and day with usage: report_id, report_name, date, views. ``columns`` as in named_totals."""
+    return totals_of(named_totals(usage, **columns))
+
+
+def totals_of(named: DataFrame) -> DataFrame:
+    """Daily totals from sums per name. A report has one name; if its rows disagree the smallest is taken."""
     # the name is a grouping key first, not a minimum of strings, which Spark could only take by sorting
-    named = (C.filled(rows, ["report_id", "date"]).groupBy("report_id", "_name", "date")
-             .agg(F.sum("views").alias("views"))
-             .withColumn("report_name", F.min("_name").over(Window.partitionBy("report_id"))))
+    named = named.withColumn("report_name", F.min("_name").over(Window.partitionBy("report_id")))
     return named.groupBy("report_id", "report_name", "date").agg(F.sum("views").alias("views"))
 
 
@@ -148,13 +153,15 @@ def baseline_errors(tested: DataFrame) -> DataFrame:
         F.avg("views").alias("avg_level_test"))
 
 
-def daily_actuals(usage: DataFrame, report_id_col: str = "Report Guid", date_col: str = "Date",
-                  name_col: str = "Report Name", views_col: str = "Occurrences") -> DataFrame:
-    """Views per report id, report name and day (a renamed report has a row per name)."""
-    rows = usage.select(C.quoted(report_id_col).alias("report_id"), C.quoted(name_col).alias("report_name"),
-                        C.to_day(usage, date_col).alias("date"), C.to_number_or_zero(usage, views_col).alias("views"))
-    return (C.filled(rows, ["report_id", "report_name", "date"])
-            .groupBy("report_id", "report_name", "date").agg(F.sum("views").alias("actual_views")))
+def daily_actuals(usage: DataFrame, **columns) -> DataFrame:
+    """Views per report id, report name and day (a renamed report has a row per name). ``columns`` as in named_totals."""
+    return actuals_of(named_totals(usage, **columns))
+
+
+def actuals_of(named: DataFrame) -> DataFrame:
+    """Daily actuals from sums per name; rows without a name take no part."""
+    return C.filled(named, ["_name"]).select("report_id", F.col("_name").alias("report_name"), "date",
+                                             F.col("views").alias("actual_views"))
 
 
 def usage_summary(usage: DataFrame, name_col: str = "Report Name", views_col: str = "Occurrences") -> DataFrame:

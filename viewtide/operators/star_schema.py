@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from viewtide.functions import columns as C
-from viewtide.session import shared_dir
+from viewtide.session import staged
 
 DIM_DATE = ["date_key", "date", "day_of_week", "week_start_date", "month", "is_weekend"]
 DIM_PAGE = ["page_key", "report_id", "section_id", "section_name"]
@@ -46,13 +46,12 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Dense 1..n in the given (unique) order, without sorting all rows in one task.
 
     Rows are range-partitioned and numbered inside their partition; the partitions' offsets are a
-    running sum over one row per partition. The ranges come from a sample, so they are fixed by a
-    reliable checkpoint before two branches read them.
+    running sum over one row per partition. The ranges come from a sample, so the rows are staged
+    before two branches read them.
     """
-    shared_dir(df.sparkSession)
     inside = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
-    placed = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    placed = (staged(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                     .withColumn("_id", F.monotonically_increasing_id()), "numbered")
               .withColumn("_part", F.shiftright("_id", inside))
               .withColumn("_row", F.col("_id").bitwiseAND(F.lit((1 << inside) - 1))))
     earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

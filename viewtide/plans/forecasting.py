@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from viewtide import schemas
 from viewtide.operators import ar_search as A, publish as P, series as S
-from viewtide.session import shared_dir
+from viewtide.session import staged
 from viewtide.sources import files
 
 
@@ -19,6 +19,7 @@ class ForecastTables:
     forecasts: DataFrame
     metrics: DataFrame
     diagnostics: DataFrame
+    actuals: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -48,22 +49,23 @@ def run_forecasts_for_reports(usage: DataFrame, run: P.Run, horizon: int = P.HOR
                               names: Collection[str] = (), **columns) -> ForecastTables:
     """Backtest and forecast every report with enough data; publish the accepted ones only.
 
-    What several branches read - the daily totals, the numbered series, the fitted models - is written
-    once as a reliable checkpoint: the usage is scanned a single time.
+    What several branches read - the sums per report, name and day, the numbered series, the fitted models, the published
+    rows - is staged once: the usage is scanned a single time, and a forecast is computed a single time.
     """
-    shared_dir(usage.sparkSession)
-    totals = S.daily_totals(usage, **columns).checkpoint()
+    named = staged(S.named_totals(usage, **columns), "named-totals")
+    totals = S.totals_of(named)
     diagnostics = S.sufficiency(totals, rule)
-    split = candidate_series(totals, rule, names).checkpoint()
-    models = A.fit_models(split).checkpoint()
+    split = staged(candidate_series(totals, rule, names), "series")
+    models = staged(A.fit_models(split), "models")
     tested = S.with_baselines(split.where(F.col("error").isNull()))
-    backtest = P.backtest_rows(A.backtest_path(models), tested).checkpoint()
+    backtest = staged(P.backtest_rows(A.backtest_path(models), tested), "backtest")
     fitted = P.metrics_rows(models, backtest, acceptance)
-    metrics = P.with_diagnostics(
-        fitted.unionByName(P.failure_rows(split, fitted, A.DIVERGED), allowMissingColumns=True), diagnostics).checkpoint()
+    metrics = staged(P.with_diagnostics(
+        fitted.unionByName(P.failure_rows(split, fitted, A.DIVERGED), allowMissingColumns=True), diagnostics), "metrics")
     accepted = metrics.where("passes_model_criteria").select("report_id")
     published = P.combine(backtest, P.future_rows(A.future_path(models, horizon))).join(accepted, "report_id", "left_semi")
-    return ForecastTables(P.forecast_rows(published, run), metrics, diagnostics)
+    forecasts = staged(P.forecast_rows(published, run), "forecasts")
+    return ForecastTables(forecasts, metrics, diagnostics, S.actuals_of(named))
 
 
 def save_latest_outputs(tables: ForecastTables, run: P.Run, paths: ForecastPaths) -> None:
@@ -81,28 +83,37 @@ def append_metrics_history(metrics: DataFrame, run: P.Run, path: str) -> None:
 
 
 def update_realized_errors(usage: DataFrame, paths: ForecastPaths, realized_at: datetime, **columns) -> DataFrame:
-    """Append the errors of forecasts whose day has come since the last call; returns the new rows.
+    """Append the errors of forecasts whose day has come since the last call; returns the new rows."""
+    return append_realized_errors(staged(S.daily_actuals(usage, **columns), "actuals"), paths, realized_at)
 
-    The new rows are fixed by a checkpoint before they are appended: the plan reads the table it
-    appends to.
+
+def append_realized_errors(actuals: DataFrame, paths: ForecastPaths, realized_at: datetime) -> DataFrame:
+    """The same from stored daily actuals.
+
+    Forecasts realised before and days that have not come are left out before anything is joined. The new rows are staged
+    before they are appended: the plan reads the table it appends to.
     """
-    spark = usage.sparkSession
-    shared_dir(spark)
+    spark = actuals.sparkSession
     history = files.read_history(spark, paths.forecasts_history, schemas.FORECAST_HISTORY)
     existing = files.read_history(spark, paths.realized_errors_history, schemas.REALIZED_ERRORS)
-    new = P.realized_errors(history, S.daily_actuals(usage, **columns), existing, realized_at).checkpoint()
+    until = actuals.agg(F.max("date")).scalar()
+    new = staged(P.realized_errors(history.where(F.col("target_date") <= until), actuals, existing, realized_at), "realized")
     files.append_rows(new, paths.realized_errors_history)
     return new
 
 
 def run_forecasts(usage: DataFrame, run: P.Run, root: str, realized_at: datetime | None = None, **options) -> ForecastTables:
-    """A whole run: forecast, overwrite the latest tables, extend the histories, backfill errors."""
+    """A whole run: forecast, overwrite the latest tables, extend the histories, backfill errors.
+
+    ``options`` are those of ``run_forecasts_for_reports``, the names of the usage's columns among them. A missing column
+    raises before anything is written.
+    """
     paths = ForecastPaths(root)
     tables = run_forecasts_for_reports(usage, run, **options)
     save_latest_outputs(tables, run, paths)
     append_forecasts_history(tables.forecasts, run, paths.forecasts_history)
     append_metrics_history(tables.metrics, run, paths.metrics_history)
-    update_realized_errors(usage, paths, realized_at or run.run_timestamp)
+    append_realized_errors(tables.actuals, paths, realized_at or run.run_timestamp)
     return tables
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from viewtide.operators import adoption, engagement, performance
-from viewtide.session import shared_dir
+from viewtide.session import staged
 
 
 def user_day_views(fact: DataFrame, measure: tuple[str, ...], name: str, validate: str) -> DataFrame:
@@ -21,11 +21,9 @@ def build_marts(tables: Mapping[str, DataFrame], validate: str = "inline") -> di
     """Adoption (plain and with rolling features), engagement and performance.
 
     Adoption and engagement both start from views per user-day. That sum is the one large shuffle of
-    the view fact, so it is done once and kept as a reliable checkpoint. Load times are inspected
-    first: whether a report-day is too large for one task decides how its percentile is taken.
+    the view fact, so it is done once and staged. ``validate`` holds for every fact.
     """
-    shared_dir(tables["fact_report_views"].sparkSession)
-    user_days = user_day_views(tables["fact_report_views"], ("view_count", "views"), "user_views", validate).checkpoint()
+    user_days = staged(user_day_views(tables["fact_report_views"], ("view_count", "views"), "user_views", validate), "user-days")
     user_pages = user_day_views(tables["fact_page_views"], ("page_view_count",), "page_views", validate)
     last = user_days.where(F.col("report_id").isNotNull()).agg(F.max("date")).scalar()
     mart = adoption.fill_report_days(adoption.adoption_from_user_days(user_days), last)
@@ -34,7 +32,7 @@ def build_marts(tables: Mapping[str, DataFrame], validate: str = "inline") -> di
         "mart_report_daily_adoption_ts_features": adoption.add_time_series_usage_features(mart, validate="off"),
         "mart_user_engagement": engagement.engagement_from_user_days(user_days, user_pages),
         "mart_report_performance": performance.build_report_performance_features(
-            tables["fact_report_loads"], "date_key", "report_id", "load_time_ms"),
+            tables["fact_report_loads"], "date_key", "report_id", "load_time_ms", validate),
     }
 
 
