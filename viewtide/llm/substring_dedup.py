@@ -217,24 +217,57 @@ def smallest(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return least, least < most
 
 
-def answers(row: np.ndarray, columns: dict[str, np.ndarray], fixed: dict) -> pa.Table:
-    """Entries as one row per document: its row number and arrays of the columns."""
-    order = np.argsort(row, kind="stable")
-    row = row[order]
-    cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[:len(row)])
-    ends = np.append(cuts[1:], len(row))
-    out = {"row": pa.array(row[cuts], pa.int64())}
-    out |= {k: pa.array(np.repeat(v, len(cuts)), type=t) for k, (v, t) in fixed.items()}
-    for k, v in columns.items():
-        v = v[order]
-        out[k] = pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
-    return pa.table(out)
+ANSWER = ("part", "expand", "rows", "counts")
+
+
+def answers(row: np.ndarray, columns: dict[str, np.ndarray], parts: int, expand: bool = False) -> pa.Table:
+    """Entries by part of the documents: row numbers, entries per document, and arrays of the columns."""
+    with np.errstate(over="ignore"):
+        part = (mix(row.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.lexsort((row, part))
+    part, row = part[order], row[order]
+    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[:len(part)])
+    columns = {k: v[order] for k, v in columns.items()}
+    out = {k: [] for k in (*ANSWER, *columns)}
+    for a, b in zip(cuts, np.append(cuts[1:], len(part))):
+        first = np.flatnonzero(np.concatenate([[True], row[a + 1:b] != row[a:b - 1]]))
+        out["part"].append(int(part[a]))
+        out["expand"].append(expand)
+        out["rows"].append(row[a:b][first].tobytes())
+        out["counts"].append(np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())
+        for k, v in columns.items():
+            out[k].append(v[a:b].tobytes())
+    types = {"part": pa.int32(), "expand": pa.bool_()}
+    return pa.table({k: pa.array(v, types.get(k, pa.binary())) for k, v in out.items()})
+
+
+def answer_schema(columns: dict[str, str]) -> str:
+    return "part int, expand boolean, rows binary, counts binary, " + ", ".join(f"{c} binary" for c in columns)
+
+
+def by_document(packed_answers: DataFrame, columns: dict) -> DataFrame:
+    """The answers of all ranges by document: row and one array per column. A part holds those of a bounded text."""
+    def merge(table: pa.Table) -> pa.Table:
+        whole = lambda c, t: np.frombuffer(b"".join(table[c].to_pylist()), dtype=t)
+        row = np.repeat(whole("rows", np.int64), whole("counts", np.uint32))
+        order = np.argsort(row, kind="stable")
+        row = row[order]
+        cuts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])[:len(row)])
+        ends = np.append(cuts[1:], len(row))
+        out = {"row": pa.array(row[cuts], pa.int64())}
+        for c, t in columns.items():
+            v = whole(c, t)[order]
+            out[c] = pa.array([v[a:b].tobytes() for a, b in zip(cuts, ends)], pa.binary())
+        return pa.table(out)
+
+    return packed_answers.groupBy("part").applyInArrow(merge, "row bigint, " + ", ".join(f"{c} binary" for c in columns))
 
 
 FIRST = {"names": np.uint32, "ordinals": np.uint32}
 SECOND = {"names": np.uint32, "contexts": np.uint64, "starts": np.uint32, "sizes": np.uint16, "many": np.uint8}
 THIRD = {"names": np.uint64, "starts": np.uint32}
-PLACES = "row bigint, expand boolean, starts binary, sizes binary"
+LEFT = {"ordinals": np.uint32}
+PLACES = {"starts": np.uint32, "sizes": np.uint16}
 
 
 def entries(texts, choose=None) -> Iterator[tuple]:
@@ -283,12 +316,12 @@ def prefixes(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, packed_schema(FIRST))
 
 
-def shared_prefixes(table: pa.Table) -> pa.Table:
+def shared_prefixes(table: pa.Table, parts: int) -> pa.Table:
     """Step 1, within a range: the samples whose prefix more than one document has."""
     new, known = unpacked(table, False, FIRST), unpacked(table, True, FIRST)
     _, shared = smallest(new["names"], new["id"])
     return answers(np.concatenate([new["row"][shared], known["row"]]),
-                   {"ordinals": np.concatenate([new["ordinals"][shared], known["ordinals"]])}, {})
+                   {"ordinals": np.concatenate([new["ordinals"][shared], known["ordinals"]])}, parts)
 
 
 def several(names: np.ndarray, context: np.ndarray, least: int) -> np.ndarray:
@@ -309,7 +342,7 @@ def contexts(docs: DataFrame, ranges: int) -> DataFrame:
     def run(batches):
         for rows, ids, texts, ordinals in gathered(batches, "ordinals"):
             rows, ids = np.array(rows, dtype=np.int64), np.array(ids, dtype=np.int64)
-            choose = [np.frombuffer(b"".join(x), dtype=np.uint32).astype(np.int64) for x in ordinals]
+            choose = [np.frombuffer(x, dtype=np.uint32).astype(np.int64) for x in ordinals]
             found = [(b.prefix[b.sample[p]], b.context(p), d, at, b.size[p]) for b, p, d, _, at in entries(texts, choose)]
             if not found:
                 continue
@@ -335,22 +368,17 @@ def contexts(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, packed_schema(SECOND))
 
 
-def place(row, starts, sizes, expand: bool) -> pa.Table:
-    return answers(row, {"starts": starts, "sizes": sizes}, {"expand": (expand, pa.bool_())}).select(
-        ["row", "expand", "starts", "sizes"])
-
-
-def repeated_contexts(table: pa.Table) -> pa.Table:
+def repeated_contexts(table: pa.Table, parts: int) -> pa.Table:
     """Step 2, within a range: stretches that a smaller document has, and those whose strings are to be compared."""
     new, known = unpacked(table, False, SECOND), unpacked(table, True, SECOND)
     least, _ = smallest(new["contexts"], new["id"])
     covered, real = new["id"] > least, new["row"] >= 0
     go = (new["many"] > 0) | several(new["names"], new["contexts"], 2)
     gone, left = covered & real, ~covered & go & real
+    whole = lambda c: np.concatenate([new[c][gone], known[c]])
     return pa.concat_tables([
-        place(np.concatenate([new["row"][gone], known["row"]]), np.concatenate([new["starts"][gone], known["starts"]]),
-              np.concatenate([new["sizes"][gone], known["sizes"]]), False),
-        place(new["row"][left], new["starts"][left], new["sizes"][left], True)])
+        answers(whole("row"), {"starts": whole("starts"), "sizes": whole("sizes")}, parts),
+        answers(new["row"][left], {"starts": new["starts"][left], "sizes": new["sizes"][left]}, parts, expand=True)])
 
 
 def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -358,17 +386,16 @@ def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-def places_of(parts) -> tuple[np.ndarray, np.ndarray]:
-    return (np.frombuffer(b"".join(p["starts"] for p in parts), dtype=np.uint32).astype(np.int64),
-            np.frombuffer(b"".join(p["sizes"] for p in parts), dtype=np.uint16).astype(np.int64))
+def places_of(starts: bytes, sizes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(starts, dtype=np.uint32).astype(np.int64), np.frombuffer(sizes, dtype=np.uint16).astype(np.int64)
 
 
 def single_strings(docs: DataFrame, ranges: int) -> DataFrame:
-    """Step 3, before the shuffle: the strings of the stretches in ``places``."""
+    """Step 3, before the shuffle: the strings of the stretches in ``starts`` and ``sizes``."""
     def run(batches):
-        for rows, ids, texts, places in gathered(batches, "places"):
+        for rows, ids, texts, starts, sizes in gathered(batches, "starts", "sizes"):
             rows, ids = np.array(rows, dtype=np.int64), np.array(ids, dtype=np.int64)
-            at = [np.unique(spread(*places_of(p))) for p in places]
+            at = [np.unique(spread(*places_of(*p))) for p in zip(starts, sizes)]
             names = np.concatenate([strings(t, a) for t, a in zip(texts, at)])
             doc, start = np.repeat(np.arange(len(rows)), list(map(len, at))), np.concatenate(at).astype(np.uint32)
             least, _ = smallest(names, ids[doc])
@@ -380,13 +407,14 @@ def single_strings(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.mapInArrow(run, packed_schema(THIRD))
 
 
-def repeated_strings(table: pa.Table) -> pa.Table:
+def repeated_strings(table: pa.Table, parts: int) -> pa.Table:
     """Step 3, within a range: the strings that a smaller document has."""
     new, known = unpacked(table, False, THIRD), unpacked(table, True, THIRD)
     least, _ = smallest(new["names"], new["id"])
     gone = new["id"] > least
     starts = np.concatenate([new["starts"][gone], known["starts"]])
-    return place(np.concatenate([new["row"][gone], known["row"]]), starts, np.ones(len(starts), dtype=np.uint16), False)
+    return answers(np.concatenate([new["row"][gone], known["row"]]),
+                   {"starts": starts, "sizes": np.ones(len(starts), dtype=np.uint16)}, parts)
 
 
 def covered(size: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -396,12 +424,12 @@ def covered(size: int, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
-    """row, n_removed, n_spans, kept_sha256 (and the kept bytes) of the rows of ``docs`` with their ``places``."""
+    """row, n_removed, n_spans, kept_sha256 (and the kept bytes) of the rows of ``docs`` with their stretches."""
     def run(batch):
         out = {"row": batch["row"], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for text, parts in zip(batch["text"], batch["places"]):
+        for text, starts, sizes in zip(batch["text"], batch["starts"], batch["sizes"]):
             text = text.as_py()
-            gone = covered(len(text), *places_of(parts.as_py()))
+            gone = covered(len(text), *places_of(starts.as_py(), sizes.as_py()))
             kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
             out["n_removed"].append(int(np.count_nonzero(gone)))
             out["n_spans"].append(int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0]))
@@ -409,7 +437,7 @@ def cut(docs: DataFrame, keep_text: bool) -> DataFrame:
             out["kept"].append(kept if keep_text else None)
         return out
 
-    return common.arrow_map(docs.select("row", "text", "places"), run,
+    return common.arrow_map(docs.select("row", "text", "starts", "sizes"), run,
                             "row bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
 
 
@@ -429,12 +457,12 @@ def deduplicated(docs: DataFrame, keep_text: bool = True) -> DataFrame:
     try:
         (flat.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", scratch_path(spark, "texts"))
          .saveAsTable(table, format="parquet"))
-        return results(spark.table(table), ranges, keep_text)
+        return results(spark.table(table), ranges, max(1, -(-total // BUCKET_BYTES)), keep_text)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def results(texts: DataFrame, ranges: int, keep_text: bool) -> DataFrame:
+def results(texts: DataFrame, ranges: int, parts: int, keep_text: bool) -> DataFrame:
     known = common.stage(texts.select("row", "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"),
                                       F.sha2("text", 256).alias("sha")), "texts")
     least = known.where("doc_id is not null").groupBy("sha", "n_bytes").agg(
@@ -442,16 +470,17 @@ def results(texts: DataFrame, ranges: int, keep_text: bool) -> DataFrame:
     copies = common.stage(known.join(least, ["sha", "n_bytes"]).where(f"doc_id > least and n_bytes >= {LENGTH}").select("row"),
                           "copies")
     first = texts.where("doc_id is not null").join(copies, "row", "left_anti")
-    left = (prefixes(first, ranges).groupBy("range").applyInArrow(shared_prefixes, "row bigint, ordinals binary")
-            .groupBy("row").agg(F.collect_list("ordinals").alias("ordinals")))
-    places = common.stage(contexts(texts.join(left, "row").select("row", "doc_id", "text", "ordinals"), ranges)
-                          .groupBy("range").applyInArrow(repeated_contexts, PLACES), "places")
-    by_row = lambda x: x.groupBy("row").agg(F.collect_list(F.struct("starts", "sizes")).alias("places"))
+    dealt_out = lambda x, step, columns: x.groupBy("range").applyInArrow(
+        lambda table: step(table, parts), answer_schema(columns))
+    left = by_document(dealt_out(prefixes(first, ranges), shared_prefixes, LEFT), LEFT)
+    places = common.stage(dealt_out(contexts(texts.join(left, "row").select("row", "doc_id", "text", "ordinals"), ranges),
+                                    repeated_contexts, PLACES), "places")
     stretches = places.where("expand").agg(F.sum(F.octet_length("starts")).alias("n")).first()["n"] or 0
     narrow = max(1, -(-stretches // 4 * WIDTH // (2 * RANGE_PAIRS)))
-    more = (single_strings(texts.join(by_row(places.where("expand")), "row").select("row", "doc_id", "text", "places"), narrow)
-            .groupBy("range").applyInArrow(repeated_strings, PLACES))
-    gone = by_row(places.where("not expand").unionByName(more))
+    open_places = by_document(places.where("expand"), PLACES)
+    more = dealt_out(single_strings(texts.join(open_places, "row").select("row", "doc_id", "text", "starts", "sizes"), narrow),
+                     repeated_strings, PLACES)
+    gone = by_document(places.where("not expand").unionByName(more), PLACES)
     done = common.stage(cut(texts.join(gone, "row"), keep_text), "kept")
     copied = copies.select("row", F.lit(True).alias("copy"))
     empty = hashlib.sha256(b"").hexdigest()
