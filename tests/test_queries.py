@@ -18,7 +18,8 @@ TYPES = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VA
          "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
-MODEL_SEARCH = {"fc_model", "fc_backtest_rows", "fc_future_rows", "fc_failure_row", "fc_run", "run_forecasts"}
+MODEL_SEARCH = {"fc_model", "fc_backtest_rows", "fc_future_rows", "fc_failure_row", "fc_run", "run_forecasts", "fc_scores",
+                "fc_choice", "fc_backtest_fixed", "fc_future_fixed", "fc_run_fixed"}
 
 
 def check_plan(name, text):

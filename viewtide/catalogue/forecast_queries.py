@@ -395,3 +395,76 @@ def run_forecasts(data: Data) -> DataFrame:
     paths = forecasting.ForecastPaths(scratch_path(data.spark, "run"))
     forecasting.run_forecasts(data.usage_c(), RUN, paths.root, REALIZED_AT)
     return data.spark.read.parquet(paths.metrics_history)
+
+
+# The same code with a single order, which SQL can solve in closed form ----------------------------------
+
+ONE_ORDER = ((1, 0),)
+
+
+def _cents(df: DataFrame) -> DataFrame:
+    """Doubles to two digits: least squares and long recursions differ in the last ones."""
+    return df.select(*[F.round(c, 2).alias(c) if t == "double" else c for c, t in df.dtypes])
+
+
+def _rounded(names: str) -> str:
+    return ", ".join(f"round({c}, 2) AS {c}" for c in names.split())
+
+
+@query("fc_product_sums", uses="moments_c", sql="""
+    SELECT report_id, d, sd, round(n, 2) AS n, round(sx, 2) AS sx, round(sxy, 2) AS sxy
+    FROM moments_c WHERE scope = 'hold'""")
+def fc_product_sums(data: Data) -> DataFrame:
+    """Sums of products over the held-out days, by differencing."""
+    sums = ar_search.product_sums(ar_search.with_lags(_candidates(data)))
+    at = {pair: i for i, pair in enumerate(ar_search._PAIRS, start=1)}
+    last = len(ar_search._TERMS) - 1
+    return _cents(sums.select("report_id", "d", "sd", F.col("hold")[0].alias("n"), F.col("hold")[at[0, 1]].alias("sx"),
+                              F.col("hold")[at[1, last]].alias("sxy")))
+
+
+@query("fc_scores", uses="scores_c", sql=f"""
+    SELECT report_id, d, sd, {_rounded("hold_mse aic sigma sigma_full")} FROM scores_c""")
+def fc_scores(data: Data) -> DataFrame:
+    """Scores of one order for the four differencings."""
+    sums = ar_search.product_sums(ar_search.with_lags(_candidates(data)))
+    return _cents(ar_search.score_candidates(sums, ONE_ORDER).select("report_id", "d", "sd", "hold_mse", "aic", "sigma", "sigma_full"))
+
+
+@query("fc_choice", uses="chosen_c", sql=f"""
+    SELECT report_id, n_obs, n_train, n_test, d, sd AS seasonal_d, {_rounded("aic sigma centre")} FROM chosen_c""")
+def fc_choice(data: Data) -> DataFrame:
+    """The chosen differencing."""
+    models = ar_search.fit_models(_candidates(data), ONE_ORDER)
+    return _cents(models.select("report_id", "n_obs", "n_train", "n_test", "d", "seasonal_d", "aic", "sigma", "centre"))
+
+
+@query("fc_backtest_fixed", uses="backtest_one_c", sql=f"""
+    SELECT report_id, report_name, CAST(step AS INTEGER) AS step, date, {_rounded("forecast lower_ci upper_ci actual error pct_error")} FROM backtest_one_c""")
+def fc_backtest_fixed(data: Data) -> DataFrame:
+    split = _candidates(data)
+    tested = series.with_baselines(split.where(F.col("error").isNull()))
+    rows = publish.backtest_rows(ar_search.backtest_path(ar_search.fit_models(split, ONE_ORDER)), tested)
+    return _cents(rows.select("report_id", "report_name", "step", "date", "forecast", "lower_ci", "upper_ci", "actual",
+                              "error", "pct_error"))
+
+
+@query("fc_future_fixed", uses="future_one_c", sql=f"""
+    SELECT report_id, report_name, date, {_rounded("forecast lower_ci upper_ci")} FROM future_one_c""")
+def fc_future_fixed(data: Data) -> DataFrame:
+    rows = publish.future_rows(ar_search.future_path(ar_search.fit_models(_candidates(data), ONE_ORDER), publish.HORIZON))
+    return _cents(rows.select("report_id", "report_name", "date", "forecast", "lower_ci", "upper_ci"))
+
+
+@query("fc_run_fixed", uses="accepted_one_c future_one_c", sql=f"""
+    SELECT report_id, date, is_forecast, {_rounded("forecast lower_ci upper_ci actual")} FROM (
+        SELECT report_id, date, 0 AS is_forecast, forecast, lower_ci, upper_ci, actual FROM backtest_one_c
+        UNION ALL SELECT report_id, date, 1, forecast, lower_ci, upper_ci, NULL::DOUBLE FROM future_one_c)
+    WHERE report_id IN (SELECT report_id FROM accepted_one_c)""")
+def fc_run_fixed(data: Data) -> DataFrame:
+    """Published rows of a whole run with a usage table of other column names."""
+    usage = data.usage_c().withColumnsRenamed({"Report Guid": "rid", "Report Name": "rname", "Date": "d", "Occurrences": "n"})
+    tables = forecasting.run_forecasts_for_reports(usage, RUN, orders=ONE_ORDER, report_id_col="rid", name_col="rname",
+                                                   date_col="d", views_col="n")
+    return _cents(tables.forecasts.select(F.col("ReportId").alias("report_id"), F.col("Date").alias("date"),
+                                          F.col("IsForecast").alias("is_forecast"), "forecast", "lower_ci", "upper_ci", "actual"))

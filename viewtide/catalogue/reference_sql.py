@@ -199,8 +199,96 @@ TABLES |= {
         FROM history_c h JOIN actuals_c a ON h.report_id = a.report_id AND h.target_date = a.date"""),
 }
 
+# the model search with a single order (one lag and a constant), solved in closed form ---------------------
+_STEP = "{c1} * {x}[1] + {c2} * {x}[2] + sd * {x}[7] - sd * {c1} * {x}[8] - sd * {c2} * {x}[9]"
+
+
+def _next(x: str) -> str:
+    return _STEP.format(c1="(b1 + d)", c2="(-d * b1)", x=x)
+
+
+def _path(name: str, choice: str, last: str, steps: str) -> str:
+    """Recursion over the days after ``last``: the latest nine values and the response to one shock as lists."""
+    return f"""
+        SELECT report_id, 0 AS step, centre, d, sd, b0{name} AS b0, b1{name} AS b1, sigma{name} AS sigma, {steps} AS steps,
+               0.0::DOUBLE AS forecast, 0.0::DOUBLE AS variance, {last} AS past, [1.0::DOUBLE, 0, 0, 0, 0, 0, 0, 0, 0] AS echo
+        FROM {choice}
+        UNION ALL
+        SELECT report_id, step + 1, centre, d, sd, b0, b1, sigma, steps, value, variance + echo[1] * echo[1],
+               list_prepend(value, past[1:8]), list_prepend({_next("echo")}, echo[1:8])
+        FROM (SELECT *, b0 + {_next("past")} AS value FROM path{name}_c WHERE step < steps)"""
+
+
+TABLES |= {
+    "centred_c": ("split_c sufficiency_c", """
+        SELECT *, views - centre AS y0 FROM (
+            SELECT s.*, avg(s.views) FILTER (WHERE s.step IS NULL) OVER (PARTITION BY s.report_id) AS centre
+            FROM split_c s JOIN sufficiency_c q ON s.report_id = q.report_id WHERE passes_data_criteria AND error IS NULL)"""),
+    "variants_c": ("centred_c", """
+        SELECT report_id, d, sd, CASE WHEN d + sd <= 1 THEN 1.0 ELSE 0.0 END AS level,
+               CASE WHEN pos <= floor(n_train * 0.8::DOUBLE) THEN 'fit' WHEN pos <= n_train THEN 'hold' ELSE 'test' END AS part,
+               y0 - d * y1 - sd * (y7 - d * y8) AS w, y1 - d * y2 - sd * (y8 - d * y9) AS w1
+        FROM (SELECT *, lag(y0, 1) OVER w AS y1, lag(y0, 2) OVER w AS y2, lag(y0, 7) OVER w AS y7, lag(y0, 8) OVER w AS y8,
+                     lag(y0, 9) OVER w AS y9 FROM centred_c WINDOW w AS (PARTITION BY report_id ORDER BY date)),
+             (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(d, sd)
+        WHERE pos > 15"""),
+    "moments_c": ("variants_c", """
+        SELECT v.report_id, v.d, v.sd, v.level, scope, CAST(count(*) AS DOUBLE) AS n, sum(v.level * w1) AS sx, sum(v.level * w) AS sy,
+               sum(w1 * w1) AS sxx, sum(w1 * w) AS sxy, sum(w * w) AS syy
+        FROM variants_c v JOIN (VALUES ('fit', 'early'), ('hold', 'hold'), ('fit', 'train'), ('hold', 'train'), ('fit', 'full'),
+                                       ('hold', 'full'), ('test', 'full')) AS s(part, scope) ON v.part = s.part
+        GROUP BY ALL"""),
+    "fits_c": ("moments_c", """
+        SELECT *, CASE WHEN level = 1 THEN (sy - b1 * sx) / n ELSE 0.0 END AS b0 FROM (
+            SELECT *, CASE WHEN level = 1 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) ELSE sxy / sxx END AS b1 FROM moments_c)"""),
+    "scores_c": ("fits_c", """
+        SELECT t.report_id, t.d, t.sd, rss_hold / n_hold AS hold_mse, n * ln(greatest(rss / n, 1e-12)) + 6 AS aic, b0, b1,
+               sqrt(rss / greatest(n - 3, 1)) AS sigma, b0_full, b1_full, sqrt(rss_full / greatest(n_full - 3, 1)) AS sigma_full
+        FROM (SELECT *, syy - 2 * b0 * sy - 2 * b1 * sxy + level * b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx AS rss
+              FROM fits_c WHERE scope = 'train') t
+        JOIN (SELECT report_id, d, sd, b0 AS b0_full, b1 AS b1_full, n AS n_full,
+                     syy - 2 * b0 * sy - 2 * b1 * sxy + level * b0 * b0 * n + 2 * b0 * b1 * sx + b1 * b1 * sxx AS rss_full
+              FROM fits_c WHERE scope = 'full') f ON t.report_id = f.report_id AND t.d = f.d AND t.sd = f.sd
+        JOIN (SELECT h.report_id, h.d, h.sd, h.n AS n_hold, h.syy - 2 * e.b0 * h.sy - 2 * e.b1 * h.sxy
+                     + h.level * e.b0 * e.b0 * h.n + 2 * e.b0 * e.b1 * h.sx + e.b1 * e.b1 * h.sxx AS rss_hold
+              FROM fits_c h JOIN fits_c e ON h.report_id = e.report_id AND h.d = e.d AND h.sd = e.sd
+              WHERE h.scope = 'hold' AND e.scope = 'early') h
+          ON t.report_id = h.report_id AND t.d = h.d AND t.sd = h.sd"""),
+    "chosen_c": ("scores_c centred_c", """
+        SELECT s.*, e.* EXCLUDE (report_id) FROM scores_c s JOIN (
+            SELECT report_id, max(n_obs) AS n_obs, max(n_train) AS n_train, max(n_test) AS n_test, max(date) AS last_date,
+                   max(centre) AS centre, min(report_name) AS report_name,
+                   list(y0 ORDER BY pos DESC) FILTER (WHERE pos <= n_train AND pos > n_train - 9) AS train_tail,
+                   list(y0 ORDER BY pos DESC) FILTER (WHERE pos > n_obs - 9) AS full_tail
+            FROM centred_c GROUP BY report_id) e ON s.report_id = e.report_id
+        QUALIFY row_number() OVER (PARTITION BY s.report_id ORDER BY hold_mse, d + sd, d) = 1"""),
+    "path_c": ("chosen_c", _path("", "chosen_c", "train_tail", "n_test")),
+    "path_full_c": ("chosen_c", _path("_full", "chosen_c", "full_tail", "30")),
+    "backtest_one_c": ("path_c tested_c", """
+        SELECT report_id, report_name, date, step, forecast, lower_ci, upper_ci, actual, actual - forecast AS error,
+               abs(actual - forecast) AS abs_error, abs(actual - forecast) / nullif(actual, 0) * 100 AS pct_error,
+               naive, seasonal_naive
+        FROM (SELECT t.report_id, t.report_name, t.date, t.step, t.views AS actual, naive, seasonal_naive,
+                     greatest(centre + forecast, 0) AS forecast,
+                     greatest(centre + forecast - 1.959963984540054 * sigma * sqrt(variance), 0) AS lower_ci,
+                     greatest(centre + forecast + 1.959963984540054 * sigma * sqrt(variance), 0) AS upper_ci
+              FROM path_c p JOIN tested_c t ON p.report_id = t.report_id AND p.step = t.step)"""),
+    "future_one_c": ("path_full_c chosen_c", """
+        SELECT p.report_id, c.report_name, CAST(c.last_date + INTERVAL 1 DAY * p.step AS DATE) AS date,
+               greatest(p.centre + forecast, 0) AS forecast,
+               greatest(p.centre + forecast - 1.959963984540054 * p.sigma * sqrt(variance), 0) AS lower_ci,
+               greatest(p.centre + forecast + 1.959963984540054 * p.sigma * sqrt(variance), 0) AS upper_ci
+        FROM path_full_c p JOIN chosen_c c ON p.report_id = c.report_id WHERE p.step > 0"""),
+    "accepted_one_c": ("backtest_one_c", """
+        SELECT report_id FROM backtest_one_c GROUP BY report_id
+        HAVING avg(abs_error) <= 0.6 * avg(actual) AND (avg(abs_error) <= 0.9 * avg(abs(actual - naive))
+               OR avg(abs_error) <= 0.9 * avg(abs(actual - seasonal_naive)))"""),
+}
+
+#: Tables that refer to themselves.
+RECURSIVE = {"path_c", "path_full_c"}
 #: Tables that are worth computing once, as others read them several times.
-MATERIALIZED = {"usage_c", "split_c"}
+MATERIALIZED = {"usage_c", "split_c", "centred_c", "chosen_c", "backtest_one_c"}
 
 
 def with_tables(names: list[str], body: str) -> str:
@@ -217,4 +305,4 @@ def with_tables(names: list[str], body: str) -> str:
         add(name)
     kept = lambda n: "MATERIALIZED " if n in MATERIALIZED else ""
     head = ",\n".join(f"{n} AS {kept(n)}({TABLES[n][1].strip()})" for n in ordered)
-    return f"WITH {head}\n{body}" if head else body
+    return f"WITH {'RECURSIVE ' if RECURSIVE & set(ordered) else ''}{head}\n{body}" if head else body

@@ -28,7 +28,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SEASON = 7
 MAX_LAG = 15                 # 7 seasonal + 7 differenced season + 1 difference
 LAGS = (1, 2, 3, SEASON)     # lags a candidate may use
-ORDERS = [(p, sp) for p in range(4) for sp in range(2)]
+#: The full search: orders (p, P) and differencings (d, D).
+ORDERS = tuple((p, sp) for p in range(4) for sp in range(2))
+DIFFERENCINGS = tuple((d, sd) for d in (0, 1) for sd in (0, 1))
 Z95 = 1.959963984540054      # 97.5 % point of the normal distribution
 HOLDOUT_SHARE = 0.2          # part of the training days used to choose the differencing
 DIVERGED = "Model forecast is not finite"
@@ -57,7 +59,7 @@ def with_lags(split: DataFrame) -> DataFrame:
             .select("*", *[F.lag("y0", k).over(ordered).alias(f"y{k}") for k in range(1, MAX_LAG + 1)]))
 
 
-def product_sums(lagged: DataFrame) -> DataFrame:
+def product_sums(lagged: DataFrame, differencings=DIFFERENCINGS) -> DataFrame:
     """Sums of products per report, differencing and part of the series (fit, hold, test).
 
     Only days that have all 15 lags count, so all candidates see the same sample.
@@ -70,7 +72,7 @@ def product_sums(lagged: DataFrame) -> DataFrame:
     fit_days = F.floor(F.col("n_train") * F.lit(1 - HOLDOUT_SHARE))
     part = (F.when(F.col("pos") <= fit_days, "fit").when(F.col("pos") <= F.col("n_train"), "hold").otherwise("test"))
     rows = (lagged.where(F.col("pos") > MAX_LAG).withColumn("part", part)
-            .select("report_id", "part", F.inline(F.array(*[variant(d, sd) for d in (0, 1) for sd in (0, 1)]))))
+            .select("report_id", "part", F.inline(F.array(*[variant(d, sd) for d, sd in differencings]))))
     sums = rows.groupBy("report_id", "d", "sd", "part").agg(
         F.count("*").cast("double").alias("n"),
         *[F.sum(F.col(_TERMS[i]) * F.col(_TERMS[j])).alias(f"s{i}{j}") for i, j in _PAIRS])
@@ -109,37 +111,40 @@ _SCORE = T.ArrayType(schema("p int, sp int, hold_mse double, aic double, beta do
 _PATH = T.ArrayType(schema("step int, forecast double, half_width double"))
 
 
-@F.pandas_udf(_SCORE)
-def score_orders(fit: pd.Series, hold: pd.Series, test: pd.Series) -> pd.Series:
-    """Fit and score all orders for each row of product sums."""
-    (n_fit, s_fit), (n_hold, s_hold), (n_test, s_test) = _square(fit), _square(hold), _square(test)
-    n_train, s_train, n_full, s_full = n_fit + n_hold, s_fit + s_hold, n_fit + n_hold + n_test, s_fit + s_hold + s_test
-    scores: list[list[dict]] = [[] for _ in range(len(fit))]
-    for p, sp in ORDERS:
-        used = np.array([1.0, *[float(k <= p) for k in LAGS[:-1]], float(sp)])
-        terms = used.sum() + 1
-        early, beta, beta_full = _solve(s_fit, used), _solve(s_train, used), _solve(s_full, used)
-        hold_mse = _squares(s_hold, early) / np.maximum(n_hold, 1)
-        rss = _squares(s_train, beta)
-        aic = n_train * np.log(np.maximum(rss / np.maximum(n_train, 1), 1e-12)) + 2 * terms
-        sigma = np.sqrt(rss / np.maximum(n_train - terms, 1))
-        sigma_full = np.sqrt(_squares(s_full, beta_full) / np.maximum(n_full - terms, 1))
-        for i, mine in enumerate(scores):
-            mine.append({"p": p, "sp": sp, "hold_mse": hold_mse[i], "aic": aic[i], "beta": beta[i].tolist(),
-                         "sigma": sigma[i], "beta_full": beta_full[i].tolist(), "sigma_full": sigma_full[i]})
-    return pd.Series(scores)
-
-
-def score_candidates(sums: DataFrame) -> DataFrame:
+def score_orders(orders):
+    """Function that fits and scores all orders for each row of product sums."""
+    def score(fit: pd.Series, hold: pd.Series, test: pd.Series) -> pd.Series:
+        (n_fit, s_fit), (n_hold, s_hold), (n_test, s_test) = _square(fit), _square(hold), _square(test)
+        n_train, s_train, n_full, s_full = n_fit + n_hold, s_fit + s_hold, n_fit + n_hold + n_test, s_fit + s_hold + s_test
+        scores: list[list[dict]] = [[] for _ in range(len(fit))]
+        for p, sp in orders:
+            used = np.array([1.0, *[float(k <= p) for k in LAGS[:-1]], float(sp)])
+            terms = used.sum() + 1
+            early, beta, beta_full = _solve(s_fit, used), _solve(s_train, used), _solve(s_full, used)
+            hold_mse = _squares(s_hold, early) / np.maximum(n_hold, 1)
+            rss = _squares(s_train, beta)
+            aic = n_train * np.log(np.maximum(rss / np.maximum(n_train, 1), 1e-12)) + 2 * terms
+            sigma = np.sqrt(rss / np.maximum(n_train - terms, 1))
+            sigma_full = np.sqrt(_squares(s_full, beta_full) / np.maximum(n_full - terms, 1))
+            for i, mine in enumerate(scores):
+                mine.append({"p": p, "sp": sp, "hold_mse": hold_mse[i], "aic": aic[i], "beta": beta[i].tolist(),
+                             "sigma": sigma[i], "beta_full": beta_full[i].tolist(), "sigma_full": sigma_full[i]})
+        return pd.Series(scores)
+
+    return F.pandas_udf(score, _SCORE)
+
+
+def score_candidates(sums: DataFrame, orders=ORDERS) -> DataFrame:
     """One row per report and candidate model."""
-    return sums.select("report_id", "d", "sd", F.inline(score_orders("fit", "hold", "test")))
+    return sums.select("report_id", "d", "sd", F.inline(score_orders(orders)("fit", "hold", "test")))
 
 
-def choose_model(candidates: DataFrame) -> DataFrame:
+def choose_model(candidates: DataFrame, orders=ORDERS) -> DataFrame:
     """Differencing by one-step error of the fullest order on the held-out training days, then the
     order by AIC (which compares only models of the same differencing)."""
     by_report = Window.partitionBy("report_id")
-    fullest = (F.col("p") == 3) & (F.col("sp") == 1)
+    p, sp = max(orders, key=lambda order: (sum(order), order[0]))
+    fullest = (F.col("p") == p) & (F.col("sp") == sp)
     best = F.min(F.when(fullest, F.struct("hold_mse", (F.col("d") + F.col("sd")).alias("k"), "d", "sd"))).over(by_report)
     rank = F.row_number().over(by_report.orderBy("aic", F.col("p") + F.col("sp"), "p"))
     return (candidates.withColumn("_best", best)
@@ -198,10 +203,10 @@ def forecast_path(beta: pd.Series, d: pd.Series, sd: pd.Series, sigma: pd.Series
                       for i, n in enumerate(steps)])
 
 
-def fit_models(split: DataFrame) -> DataFrame:
+def fit_models(split: DataFrame, orders=ORDERS, differencings=DIFFERENCINGS) -> DataFrame:
     """Chosen model per backtestable report, with everything needed to forecast from it."""
     lagged = with_lags(split)
-    chosen = choose_model(score_candidates(product_sums(lagged)))
+    chosen = choose_model(score_candidates(product_sums(lagged, differencings), orders), orders)
     # days before the sixteenth lack lags; the ends carry none of these, as training has 30 days
     return chosen.join(series_ends(lagged), "report_id").select(
         "report_id", "report_name", "n_obs", "n_train", "n_test", "last_date", "centre", "p", "d",
