@@ -231,6 +231,17 @@ def test_packing(spark, sample):
     assert packing.packed_documents(empty(spark), path).collect() == []
 
 
+def test_ids_equal_the_library():
+    """Words of odd characters: control characters, marks, letters with and without plain lower case."""
+    encoder = packing.Encoder(queries.tokenizer_path(), most=300)
+    rng = random.Random(1)
+    letters = "\x0b\x0c\x1d\x1e\x1f\x85\x01abcXYZ019'!.,-_ \x00\x7f\x1c\xa0éÉßÿÀÖíàÑøÆ×÷\u0301ΣİŒ中😀\n\t"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["x's I'LL don't we've", "<|endoftext|> <|startoftext|>x"]
+    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(encoder.ids(t.encode()), "<u4").tolist() for t in texts] == [e.ids for e in want]
+
+
 def test_bound_is_a_bound():
     rng = random.Random(7)
     for _ in range(200):

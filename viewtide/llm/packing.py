@@ -27,8 +27,17 @@ from viewtide.llm import common
 CAPACITY, END_ID, PART_ROWS = 4096, 1, 100_000
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = ("item bigint, length bigint, bin bigint, `offset` bigint, filled bigint, bins bigint, bound double, part bigint")
-#: Lower-case ASCII parts as the vocabulary's own pre-tokenizer gives them.
-PARTS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+#: Characters whose lower-casing, composition and class are plain: ASCII and the letters of Latin-1.
+PLAIN = re.compile(r"[\x00-\x7F\xC0-\xD6\xD8-\xF6\xF8-\xFF]*")
+#: Parts of a lower-case text of such characters as the vocabulary's own pre-tokenizer gives them.
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^ \t-\ra-z0-9\xDF-\xF6\xF8-\xFF]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if visible, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
@@ -43,11 +52,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.most, self.words, self.parts = most, {}, {}
         self.model = self.tokenizer.model
+        self.letters = byte_letters()
 
-    def part(self, x: bytes) -> bytes:
+    def part(self, x: str) -> bytes:
         ids = self.parts.get(x)
         if ids is None:
-            ids = np.array([t.id for t in self.model.tokenize(x.decode())], dtype="<u4").tobytes()
+            shown = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
             self.parts[x] = ids
         return ids
 
@@ -58,8 +69,9 @@ class Encoder:
             self.parts.clear()
         other = []
         for w in words:
-            if w.isascii():
-                self.words[w] = b"".join(map(self.part, PARTS.findall(w.lower())))
+            text = w.decode()
+            if PLAIN.fullmatch(text):
+                self.words[w] = b"".join(map(self.part, PARTS.findall(text.lower())))
             else:
                 other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
