@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 MODES = ("eager", "inline", "off")
 
 
+# The error texts below are fixed values.
+
 def require_dataframe(value: object, label: str) -> None:
     if not isinstance(value, DataFrame):
         raise TypeError(f"{label} must be a Spark DataFrame.")

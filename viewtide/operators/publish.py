@@ -62,7 +62,7 @@ def combine(backtest: DataFrame, future: DataFrame) -> DataFrame:
 
 
 def model_errors(backtest: DataFrame) -> DataFrame:
-    """Errors of the model and both baselines per report."""
+    """Errors of the model and both baselines per report. Names of figures, here and below, are fixed values."""
     actual = F.col("actual")
     return backtest.groupBy("report_id").agg(
         *S.error_figures(actual, F.col("forecast"), "arima"), *S.error_figures(actual, F.col("naive"), "naive"),
@@ -195,7 +195,7 @@ def realized_errors(history: DataFrame, actuals: DataFrame, existing: DataFrame,
 
 
 def acceptance_view(metrics: DataFrame, rows: int = 15) -> DataFrame:
-    """Accepted reports first, then by error: the top of the list."""
+    """Accepted reports first, then by error: the top of the list. The columns are fixed values."""
     return (metrics.select(
         "report_name", "passes_data_criteria", "passes_model_criteria", "mae_arima", "mae_naive", "mae_seasonal_naive",
         "mae_improvement_vs_naive", "mae_improvement_vs_seasonal_naive", "wape_arima", "model_str")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from viewtide.functions import columns as C, guards as G
 from viewtide.operators.adoption import fill_days
 
+# Season, share of training days, text of the failure.
 SEASON = 7
 TRAIN_SHARE = 0.8
 TOO_SHORT = "Series too short for robust backtest split"
