@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viewtide.llm import common
@@ -181,7 +182,8 @@ def kept_documents(docs: DataFrame, spread: float = 6.0, least: int = 50) -> Dat
 
 
 def counted(texts):
-    import pyarrow as pa
-    rows = list(zip(*map(measure, common.text_bytes(texts))))
+    """The counts of SCHEMA for a batch of texts, as a struct."""
+    rows = [measure(t) for at in range(0, len(texts), 500) for t in common.text_bytes(texts.slice(at, 500))]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pa.StructArray.from_arrays([pa.array(r, type=pa.int64()) for r in rows], names=names)
+    columns = list(zip(*rows)) or [[]] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=names)
