@@ -3,8 +3,9 @@
 Documents are tokenized whole, closed by ``end_id`` and cut only where longer than ``capacity``. Pieces are dealt over
 parts of about ``part_rows`` pieces and packed best-fit decreasing within each. For every part a lower bound on its
 bins follows from dual feasible functions over the histogram of its lengths. A part whose bins meet its bound is certified
-and final, and so is every full bin. The pieces in the unfilled bins of the other parts are exchanged: dealt anew over
-fewer parts and packed again, until a single part remains or an exchange brings nothing.
+and final, and so is every bin that is filled well: what a part can still gain lies in its poorly filled bins. Their
+pieces are exchanged between the parts that miss their bound: dealt anew over fewer parts and packed again, until a single
+part remains or an exchange brings nothing.
 
 Parts have a bounded size whatever the input, as their number follows the number of pieces. Only counts reach the driver.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -24,7 +26,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from viewtide.llm import common
 
-CAPACITY, END_ID, PART_ROWS = 4096, 1, 100_000
+CAPACITY, END_ID, PART_ROWS, WORDS_AT_ONCE = 4096, 1, 100_000, 50_000
+#: A bin is poorly filled if more than one part in so many is free.
+POOR = 8
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PACKED = ("item bigint, length bigint, bin bigint, `offset` bigint, filled bigint, bins bigint, bound double, part bigint")
 #: Characters whose lower-casing, composition and class are plain: ASCII and the letters of Latin-1.
@@ -46,7 +50,7 @@ class Encoder:
     Words that are not known are tokenized by the library; the tables of known words have a bounded size.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -55,44 +59,39 @@ class Encoder:
         self.letters = byte_letters()
 
     def part(self, x: str) -> bytes:
-        ids = self.parts.get(x)
-        if ids is None:
-            shown = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
-            self.parts[x] = ids
+        shown = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
+        found = [t.id for t in self.model.tokenize(shown)]
+        ids = self.parts[x] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.most:
-            self.words.clear()
         if len(self.parts) > self.most:
             self.parts.clear()
-        other = []
+        parts, other = self.parts, []
         for w in words:
             text = w.decode()
-            if PLAIN.fullmatch(text):
-                self.words[w] = b"".join(map(self.part, PARTS.findall(text.lower())))
+            if text.isascii() or PLAIN.fullmatch(text):
+                low = text.lower()
+                if low.isalpha():
+                    self.words[w] = parts.get(low) or self.part(low)
+                else:
+                    self.words[w] = b"".join([parts.get(x) or self.part(x) for x in PARTS.findall(low)])
             else:
                 other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)):
-            self.words[w] = np.array(e.ids, dtype="<u4").tobytes()
+            self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.words
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            out = []
-            for at in range(0, len(words), self.most // 4):
-                some = words[at:at + self.most // 4]
-                missing = set(some).difference(self.words)
-                if missing:
-                    self.learn(missing)
-                    if not self.words.keys() >= set(some):  # the table was cleared in between
-                        self.learn(set(some).difference(self.words))
-                out.extend([self.words[w] for w in some])
-            return b"".join(out)
+        words, known, out = text.split(), self.words, []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at:at + WORDS_AT_ONCE]
+            if len(known) > self.most:
+                known.clear()
+            missing = set(some).difference(known)
+            if missing:
+                self.learn(missing)
+            out.append(b"".join([known[w] for w in some]))
+        return b"".join(out)
 
 
 @functools.cache
@@ -184,7 +183,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY, part_rows: int = PART_ROWS,
         parts = -(-n // part_rows)
         packed = common.stage(pack_parts(left, parts, capacity, turn), "packed")
         final = parts == 1 or turn == turns - 1 or (last is not None and n > 0.9 * last)
-        open_bin = (F.col("filled") < capacity) & (F.col("bins") > F.col("bound"))
+        open_bin = (POOR * (capacity - F.col("filled")) > capacity) & (F.col("bins") > F.col("bound"))
         done.append(packed if final else packed.where(~open_bin))
         if final:
             break
