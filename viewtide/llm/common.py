@@ -52,22 +52,30 @@ def whole_text(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """Apply ``function(dict of column name -> pyarrow array) -> dict of columns`` to every batch, some MB at a time."""
+def arrow_map(df: DataFrame, function, schema: str, after=None) -> DataFrame:
+    """Apply ``function(dict of column name -> pyarrow array) -> dict of columns`` to every batch, some MB at a time.
+
+    ``after`` is called at the end of a task: workers outlive their tasks, and so would what they remember.
+    """
     wanted = T.StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
     target = to_arrow_schema(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            step = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                columns = function({n: part.column(i) for i, n in enumerate(part.schema.names)})
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays(
-                        [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type)
-                         for f, c in ((f, columns[f.name]) for f in target)], schema=target)
+        try:
+            for batch in batches:
+                step = max(1, batch.num_rows * SLICE_BYTES // max(SLICE_BYTES, batch.nbytes))
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    columns = function({n: part.column(i) for i, n in enumerate(part.schema.names)})
+                    if columns is not None:
+                        yield pa.RecordBatch.from_arrays(
+                            [c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, type=f.type)
+                             for f, c in ((f, columns[f.name]) for f in target)], schema=target)
+        finally:
+            if after is not None:
+                after()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, wanted)
 

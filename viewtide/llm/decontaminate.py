@@ -93,7 +93,8 @@ def document_seeds(docs: DataFrame, bits: np.ndarray, seed: int) -> DataFrame:
                 out["doc_id"] += [doc] * len(at)
         return out or None
 
-    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "seed bigint, doc_id bigint, dpos int")
+    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, "seed bigint, doc_id bigint, dpos int",
+                            lambda: hasher().known.clear())
 
 
 def matches(hits: list[tuple[int, int]], seed: int) -> list[tuple[int, int, int]]:

@@ -87,7 +87,7 @@ def described(docs: DataFrame, size: int) -> DataFrame:
         rows = [describe(shingle_set(t.as_py(), size)) for t in batch["text"].cast("binary")]
         return {"doc_id": batch["doc_id"]} | dict(zip(("n", "set_hash", "lanes", "bands"), zip(*rows)))
 
-    return common.arrow_map(docs, run, "doc_id bigint, " + SCHEMA)
+    return common.arrow_map(docs, run, "doc_id bigint, " + SCHEMA, lambda: hasher().known.clear())
 
 
 def sets_of(docs: DataFrame, size: int) -> DataFrame:
@@ -96,7 +96,7 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
         return {"node": batch["doc_id"],
                 "shingles": [shingle_set(t.as_py(), size).view(np.int64) for t in batch["text"].cast("binary")]}
 
-    return common.arrow_map(docs, run, "node bigint, shingles array<bigint>")
+    return common.arrow_map(docs, run, "node bigint, shingles array<bigint>", lambda: hasher().known.clear())
 
 
 def components(edges: DataFrame) -> DataFrame:

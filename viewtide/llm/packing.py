@@ -50,7 +50,7 @@ class Encoder:
     Words that are not known are tokenized by the library; the tables of known words have a bounded size.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -64,6 +64,10 @@ class Encoder:
         ids = self.parts[x] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.parts.clear()
+
     def learn(self, words: set[bytes]) -> None:
         if len(self.parts) > self.most:
             self.parts.clear()
@@ -96,7 +100,7 @@ class Encoder:
 
 @functools.cache
 def encoder(path: str) -> Encoder:
-    """One per worker, for all its tasks."""
+    """One per worker, as the vocabulary takes a while to load; its tables of words last for a task."""
     return Encoder(path)
 
 
@@ -113,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 rows.append((doc_id, n, at // 4, len(part) // 4, zlib.crc32(part)))
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows)))
 
-    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, PIECES)
+    return common.arrow_map(common.pick(docs, "doc_id", "text"), run, PIECES, lambda: encoder(tokenizer).forget())
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
