@@ -145,6 +145,31 @@ def test_secret_links_need_to_be_near(spark):
     assert got == {1: 2, 2: 0}
 
 
+def test_secret_links_of_long_parts(spark):
+    """Every pair within reach, against a search over all pairs of spans of any length."""
+    rng, rows = random.Random(9), []
+    kinds = {"opaque": "secret", "short": "secret", "assign": "secret", "user": "identifier", "endpoint": "endpoint"}
+    for row in range(200):
+        at = rng.randint(0, 900)
+        for kind in rng.choices(list(kinds), k=rng.randint(2, 6)):
+            end = at + rng.choice([1, 3, 40, 199, 200, 201, 450, 2000, rng.randint(1, 900)])
+            rows.append((row, kind, secret_scan.KINDS.index(kind), at, end, kind == "assign", kinds[kind]))
+            at = max(0, end + rng.choice([-30, 0, 1, 180, 199, 200, 201, rng.randint(0, 500)]))
+    found = spark.createDataFrame(
+        rows, "row bigint, kind string, rank int, start bigint, end bigint, base boolean, part string")
+    want = sorted({(a[0], a[1], a[3], a[4], b[1], b[3], b[4]) for a in rows for b in rows if a[0] == b[0] and a[6] == "secret"
+                   and b[6] != "secret" and 0 <= max(a[3], b[3]) - min(a[4], b[4]) <= secret_scan.REACH})
+    got = [(r.row, r.a.kind, r.a.start, r.a.end, r.b.kind, r.b.start, r.b.end) for r in secret_scan.links(found).collect()]
+    assert sorted(set(got)) == want
+
+
+def test_secrets_with_long_parts_are_linked(spark):
+    token = "aB3" * 13 + "x"
+    texts = ["password=" + "x" * 450 + " user=bob", "x " * 99 + " " + token + " " + "x " * 89 + " https://x.example.com/a"]
+    got = {r.doc_id: r.spans for r in secret_scan.secrets(plain.documents(spark, list(enumerate(texts)))).collect()}
+    assert got == {0: "assign:0:459,user:460:468", 1: "opaque:199:239,endpoint:419:442"}
+
+
 def test_redaction(spark):
     rows = [(1, "a password=b7db7aa4a5fcc78305aaaabbbb é token=abcdefgh z"), (2, None), (None, "AKIA" + "Q" * 16), (1, "clean")]
     docs = plain.documents(spark, rows)

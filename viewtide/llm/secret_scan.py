@@ -2,9 +2,11 @@
 
 Strong findings (kinds ``assign``, ``access``, ``hex``) stand for themselves. Weak candidates (a short assigned value, an
 opaque token, a user name, an endpoint) mean little alone. Secrets are interval-joined with identifiers and endpoints
-of the same text that lie within ``reach`` code points: every secret looks into its own and the two neighbouring cells of
-``reach`` code points, so the join is on equal cells and a cell holds a bounded number of parts. A weak candidate is
-reported if such a link holds it, and not if it overlaps a strong finding.
+of the same text that lie within ``reach`` code points: a part that follows starts at most ``reach`` after the secret's
+end, one that precedes ends at most ``reach`` before its start. So a secret looks for starts in the two cells of ``reach``
+code points from its end on and for ends in the two up to its start; the join is on equal cells, a cell holds a bounded
+number of starts and ends, and lengths do not matter. A weak candidate is reported if such a link holds it, and not if it
+overlaps a strong finding.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned one by one; a null doc_id stays null; empty
 tables give no rows; other columns are ignored.
@@ -50,13 +52,18 @@ def candidates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def links(found: DataFrame, reach: int = REACH) -> DataFrame:
     """Pairs of a secret with an identifier or endpoint of its text within ``reach`` code points."""
-    cell = F.floor(F.col("start") / reach)
+    cell = lambda place: F.floor(place / reach)
+    at = lambda edge, place: F.struct(F.lit(edge).alias("edge"), cell(place).alias("cell"))
     side = lambda p: F.struct("kind", "rank", "start", "end", "base").alias(p)
-    secrets = found.where(F.col("part") == "secret").select(
-        "row", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), side("a"))
-    others = found.where(F.col("part") != "secret").select("row", cell.alias("cell"), side("b"))
-    between = F.greatest("a.start", "b.start") - F.least("a.end", "b.end")
-    return secrets.join(others, ["row", "cell"]).where(between.between(0, reach)).select("row", "a", "b")
+    start, end = F.col("start"), F.col("end")
+    secrets = found.where(F.col("part") == "secret").select("row", F.explode(F.array(
+        at("start", end), at("start", end + reach), at("end", start - reach), at("end", start))).alias("at"), side("a"))
+    others = found.where(F.col("part") != "secret").select(
+        "row", F.explode(F.array(at("start", start), at("end", end))).alias("at"), side("b"))
+    secrets, others = (x.select("row", "at.edge", "at.cell", p) for x, p in ((secrets, "a"), (others, "b")))
+    after = (F.col("edge") == "start") & (F.col("b.start") - F.col("a.end")).between(0, reach)
+    before = (F.col("edge") == "end") & (F.col("a.start") - F.col("b.end")).between(0, reach)
+    return secrets.join(others, ["row", "edge", "cell"]).where(after | before).select("row", "a", "b")
 
 
 def reported(found: DataFrame, reach: int = REACH) -> DataFrame:
