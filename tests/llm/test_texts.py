@@ -170,6 +170,23 @@ def test_secrets_with_long_parts_are_linked(spark):
     assert got == {0: "assign:0:459,user:460:468", 1: "opaque:199:239,endpoint:419:442"}
 
 
+def test_weak_parts_of_any_length(spark):
+    """Whole spans, however long; hostile runs of a million characters take no more than linear time."""
+    token, url = "aB3" * 400, "https://x.example.com/a?sig=" + "q/" * 300
+    parts = {"opaque": [token, token + "==", "z" * 500 + "B" + "9" * 20], "endpoint": [url, "jdbc:" + "a" * 20 + "://host"],
+             "user": ["user=" + "b." * 100, "login" + " " * 30 + ":" + " " * 30 + "bob"]}
+    other = {"opaque": "user=bob", "endpoint": "token=abc", "user": "token=abc"}
+    rows = [(kind, t, f"{t} {other[kind]}") for kind, some in parts.items() for t in some]
+    docs = plain.documents(spark, [(i, t) for i, (_, _, t) in enumerate(rows)])
+    got = {r.doc_id: r.spans.split(",")[0] for r in secret_scan.secrets(docs).collect()}
+    assert got == {i: f"{kind}:0:{len(t)}" for i, (kind, t, _) in enumerate(rows)}
+    assert not any(x in r.text for r in secret_scan.redacted(docs).collect() for x in ("q/", "b.b", "aB3", "bob"))
+    hostile = ["aB3" * 400_000 + "===", "user" + " " * 10**6, "a" * 10**6, "+" * 10**6, "user=a " * 200_000, "https://" * 100_000,
+               "jdbc:" * 200_000, "=" * 10**6]
+    got = secret_scan.secrets(plain.documents(spark, list(enumerate(hostile)))).collect()
+    assert [r.n_weak for r in got] == [0] * len(hostile)
+
+
 def test_redaction(spark):
     rows = [(1, "a password=b7db7aa4a5fcc78305aaaabbbb é token=abcdefgh z"), (2, None), (None, "AKIA" + "Q" * 16), (1, "clean")]
     docs = plain.documents(spark, rows)

@@ -23,13 +23,13 @@ REACH = 200
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 BASE = {"assign": ASSIGN, "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 ASSIGNED_LENGTH = 6
-#: Weak kinds. Lengths are bounded, and a token is entered at its begin only, so a scan takes linear time.
+#: Weak kinds, of any length. Runs are possessive and entered at their begin only, so a scan takes linear time.
 WEAK = {
-    "user": r"""(?<![A-Za-z0-9_])(?i:client_?id|user(?:_?name)?|login|account)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9@._+-]{3,64}""",
-    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]{0,128}[0-9])(?=[a-z0-9+/_-]{0,128}[A-Z])(?=[A-Z0-9+/_-]{0,128}[a-z])"
-               r"[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])"),
-    "endpoint": (r"(?<![A-Za-z])(?i:https?|ftps?|jdbc:[a-z]{2,12}|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)"
-                 r"""://[^\s"'<>|]{3,256}"""),
+    "user": r"""(?<![A-Za-z0-9_])(?i:client_?id|user(?:_?name)?|login|account)["']?\x20*+[:=]\x20*+["']?[A-Za-z0-9@._+-]{3,}+""",
+    "opaque": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])"
+               r"[A-Za-z0-9+/_-]{20,}+={0,2}(?![A-Za-z0-9+/_=-])"),
+    "endpoint": (r"(?<![A-Za-z])(?i:https?|ftps?|jdbc:[a-z]{2,}+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)"
+                 r"""://[^\s"'<>|]{3,}+"""),
 }
 PARTS = {"assign": "secret", "hex": "secret", "short": "secret", "opaque": "secret", "access": "identifier",
          "user": "identifier", "endpoint": "endpoint"}
