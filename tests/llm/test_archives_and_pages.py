@@ -98,6 +98,25 @@ def test_long_page():
     assert (found, kept) == (10000, 5000) and text.count("\n") == 4999
 
 
+BODY = "<article><p>A sentence that is long enough to be text.</p><p>And another one, also long enough.</p></article>"
+
+
+@pytest.mark.parametrize("before, after", [
+    ("<svg viewBox='0 0 1 1'/>", ""), ("<math/>", ""), ("<SVG class='share' />", "<svg><text>x</text></svg>"),
+    ("<button class='share'>", ""), ("<button>Share", "<button>Menu</button>"), ("<div><button></div>", "<p></button>"),
+    ("<svg><path>", "<svg></svg>"), ("<div><video src=x></div>", "</video>"), ("<div><object></div>", ""), ("<canvas>", ""),
+    ("<select><option>one</option>", ""), ("<svg><svg/><text>x</text></svg>", ""), ("<div><audio><audio></div>", "</audio>"),
+    ("<svg><foreignObject><p>label</p></foreignObject></svg>", ""), ("<button><p>Share</p></button>", "<select>x</select>")])
+def test_elements_that_are_not_closed_take_no_article(before, after):
+    alone = html_main.main_text(BODY)[0]
+    got = html_main.main_text(f"<body>{before}{BODY}{after}</body>")[0]
+    assert alone.count("\n") == 1 and got == alone
+
+
+def test_many_elements_that_are_not_closed():
+    assert html_main.main_text("<video><button><svg>" * 50_000 + BODY)[0] == html_main.main_text(BODY)[0]
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], PAGES).withColumn("text", F.lit("x"))
     rows = html_main.extract(df).collect()

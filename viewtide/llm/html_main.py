@@ -8,7 +8,8 @@ smoothness edges. The minimum cut, found by maximum flow, separates content from
 A page is handled by itself, in one pass over its whole html, so pages are a map over batches.
 
 Edge cases: a null or empty html has no text; unclosed and stray tags, comments and raw elements are taken as browsers
-do; a tag cut off by the page's end is dropped; repeated rows give repeated results; a page without any content block
+do; controls, media and drawings are dropped from their begin to their own end tag, and if they have none (an ancestor ends,
+a button opens in a button, a paragraph opens in a drawing), only their tag is; a tag cut off by the page's end is dropped; repeated rows give repeated results; a page without any content block
 has an empty text; empty tables give no rows; other columns are ignored.
 """
 
@@ -32,8 +33,16 @@ BLOCK = frozenset(
 #: Elements that hold other blocks.
 HOLDERS = BLOCK - frozenset("p h1 h2 h3 h4 h5 h6 hr li dt dd td th tr caption summary legend option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-SKIPPED = "script style noscript template textarea select button svg math iframe object canvas audio video title".split()
+#: Elements whose content is raw and no text of the page; without an end tag they reach to the page's end.
+SKIPPED = "script style noscript template textarea iframe title".split()
+#: Elements that are dropped with their content if they are closed.
+DROPPED = frozenset("select button svg math object canvas audio video".split())
+#: Elements that close an open one of their name.
+ALONE = frozenset("select button".split())
+DRAWINGS = ("svg", "math")
+#: HTML elements that end a drawing, unless inside of one of INTEGRATION.
+BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
+INTEGRATION = frozenset("foreignobject desc annotation-xml mtext".split())
 PIECE = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
@@ -90,6 +99,40 @@ def holder_score(tag: str, attributes: str, outer: float) -> float:
     return score
 
 
+def closed(tags: list[re.Match]) -> dict[int, int]:
+    """Begin and end of the elements of DROPPED that have an end tag of their own."""
+    out: dict[int, int] = {}
+    open_at: dict[str, list[tuple[int, int]]] = {x: [] for x in DROPPED}
+    depth = integrated = 0
+    for m in tags:
+        if m.group(3) is None:
+            continue
+        tag, closing = m.group(3).lower(), m.group(2)
+        if tag in DROPPED:
+            if closing:
+                if open_at[tag]:
+                    out[open_at[tag].pop()[0]] = m.end()
+            elif tag in DRAWINGS and m.group(4).endswith("/"):
+                out[m.start()] = m.end()
+            else:
+                if tag in ALONE:
+                    open_at[tag].clear()
+                open_at[tag].append((m.start(), depth))
+            continue
+        if tag in INTEGRATION:
+            integrated = max(0, integrated + (-1 if closing else 1))
+        elif tag in BREAKOUT and not closing and not integrated:
+            for x in DRAWINGS:
+                open_at[x].clear()
+        if tag in HOLDERS:
+            depth += -1 if closing else 1
+            if closing:
+                for some in open_at.values():
+                    while some and some[-1][1] > depth:
+                        some.pop()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page, scored."""
     out: list[Block] = []
@@ -112,13 +155,16 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(text.strip())
 
-    at = 0
-    for m in PIECE.finditer(page):
+    at, tags = 0, list(PIECE.finditer(page))
+    dropped = closed(tags)
+    for m in tags:
+        if m.start() < at:  # inside of a dropped element
+            continue
         if m.start() > at:
             add(page[at:m.start()])
-        at = m.end()
+        at = dropped.get(m.start(), m.end())
         tag = m.group(3)
-        if tag is None:
+        if tag is None or tag.lower() in DROPPED:
             continue
         tag, closing, attributes = tag.lower(), m.group(2), m.group(4)
         if tag == "br":
