@@ -45,5 +45,15 @@ def test_run_and_edges(spark):
         assert out.count() == {"quality rules": 0, "near dedup": 4}.get(name, 5)
 
 
+def test_different_texts_of_one_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (5, b), (3, a + " more"), (5, c), (5, c + " more"), (7, c + " than"), (8, "d e f"), (8, None), (8, ""), (None, a)]
+    out = minhash.distinct_documents(plain.documents(spark, rows))
+    left = sorted((str(r.doc_id), r.text or "") for r in out.collect())
+    of_c = [x for x in left if x[1][:2] == "c0"]
+    assert len(of_c) == 1 and of_c[0][0] == "5"
+    assert [x for x in left if x not in of_c] == [("3", a + " more"), ("5", b), ("8", ""), ("8", "d e f"), ("None", a)]
+
+
 def test_minhash_default_is_five_words():
     assert (minhash.SHINGLE, minhash.PERCENT) == (5, 80)

@@ -289,13 +289,24 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 def distinct_documents(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near-duplicates, the one of the smallest doc_id, with all its columns.
 
-    Of rows that repeat a doc_id one stays; documents without doc_id all stay.
+    Of equal texts of one doc_id one stays; different texts of one doc_id are documents of their own. Documents without doc_id
+    all stay.
     """
-    stay = common.stage(near_duplicates(docs, size, percent).where("kept and doc_id is not null")
-                        .select(F.col("doc_id").alias("staying")).distinct(), "staying")
     flat = common.numbered(docs)
     own, text = (f"c{common.position(docs, n)}" for n in ("doc_id", "text"))
-    order = Window.partitionBy(own).orderBy(F.xxhash64(text))
-    one = (flat.join(stay, flat[own] == stay["staying"], "left_semi")
-           .withColumn("repeat", F.row_number().over(order)).where("repeat = 1").drop("repeat"))
+    keyed = flat.where(F.col(own).isNotNull()).withColumn("text_key", F.xxhash64(F.coalesce(text, F.lit(""))))
+    if keyed.groupBy(own).agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").isEmpty():
+        keyed = keyed.withColumn("own", F.col(own))
+    else:
+        # numbers in the order of (doc_id, text_key): ids of sorted partitions only grow
+        numbers = common.stage(
+            keyed.select(F.col(own).alias("number_of"), F.col("text_key").alias("number_key")).distinct()
+            .orderBy("number_of", "number_key").withColumn("own", F.monotonically_increasing_id()), "numbers")
+        keyed = common.stage(keyed.join(numbers, (F.col(own) == F.col("number_of")) & (
+            F.col("text_key") == F.col("number_key"))).drop("number_of", "number_key"), "numbered")
+    stay = near_duplicates(keyed.select(F.col("own").alias("doc_id"), F.col(text).alias("text")), size, percent)
+    stay = common.stage(stay.where("kept").select(F.col("doc_id").alias("staying")).distinct(), "staying")
+    order = Window.partitionBy("own").orderBy("text_key")
+    one = (keyed.join(stay, keyed["own"] == stay["staying"], "left_semi")
+           .withColumn("repeat", F.row_number().over(order)).where("repeat = 1").select(*flat.columns))
     return one.unionByName(flat.where(F.col(own).isNull())).toDF(*docs.columns)
