@@ -47,6 +47,19 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``stage``, with the folder, for a table that is discarded when its last reader is done."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a staged table."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def whole_text(name: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import common, decontaminate, html_main, language_id, minhash, packing, pii, quality, secret_scan, substring_dedup, warc
+from viewtide.llm import collocations, common, decontaminate, html_main, language_id, minhash, packing, pii, quality, reference_sql, secret_scan, substring_dedup, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -52,6 +52,10 @@ def op10_prefix_doubling_dedup(spark, sf_dir):
     return substring_dedup.deduplicated(common.load(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(common.load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_html_main_text, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
-                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup)}
-SQL: dict[str, str] = {}
+                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup, op11_phrase_collocations)}
+SQL: dict[str, str] = {"op11_phrase_collocations": reference_sql.COLLOCATIONS}
