@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import collocations, common, decontaminate, html_main, language_id, minhash, packing, pii, quality, reference_sql, secret_scan, substring_dedup, warc
+from viewtide.llm import ball_search, collocations, common, decontaminate, html_main, language_id, minhash, packing, pii, quality, reference_sql, secret_scan, substring_dedup, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -56,6 +56,11 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations.collocations(common.load(spark, sf_dir, "documents"))
 
 
+def op12_ball_tree_search(spark, sf_dir):
+    return ball_search.search(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_html_main_text, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
-                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup, op11_phrase_collocations)}
-SQL: dict[str, str] = {"op11_phrase_collocations": reference_sql.COLLOCATIONS}
+                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup, op11_phrase_collocations, op12_ball_tree_search)}
+SQL: dict[str, str] = {"op11_phrase_collocations": reference_sql.COLLOCATIONS,
+                       "op12_ball_tree_search": reference_sql.RANKED_SEARCH}

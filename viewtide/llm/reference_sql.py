@@ -31,3 +31,30 @@ ranked AS (
     FROM lowest LEFT JOIN longer USING (lang, phrase) WHERE coalesce(100 * longer.f < 80 * a, true))
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+RANKED_SEARCH = rf"""
+WITH numbered AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+terms AS (
+    SELECT row, doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM numbered),
+counts AS MATERIALIZED (SELECT row, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
+lengths AS (SELECT row, sum(tf)::BIGINT AS n FROM counts GROUP BY row),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), whole),
+items AS (SELECT row_number() OVER () AS item, item_id, text FROM benchmark),
+wanted AS (
+    SELECT DISTINCT item, item_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'),
+                                                             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM items),
+scores AS (
+    SELECT item, item_id, row, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))))::BIGINT AS score
+    FROM wanted JOIN counts USING (term) JOIN weights USING (term) JOIN lengths USING (row), whole
+    GROUP BY item, item_id, row, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) <= 50
+"""
