@@ -2,12 +2,13 @@
 
 The occurrences of words are a stored relation, sorted by piece and position. Phrases of one more word come from a merge
 join of the last relation with itself at adjacent positions (a phrase can only be frequent if what it has without its
-last, and without its first word is), are counted as groups, and occurrences of groups that are not frequent leave the relation by
-a semi-join before the next length. The merge join runs inside the blocks of the relation, as a piece's occurrences are
-adjacent; the group counts are Spark's. The semi-join goes through a bitmap of the frequent phrases of at most
-``MOST_BITS`` bits, whatever their number: what it lets through by accident is counted and found infrequent one length later.
+last, and without its first word is), are counted as groups, and occurrences of groups that are not frequent leave the
+relation by a semi-join before the next length. The merge join runs inside the blocks of the relation, as a piece's
+occurrences are adjacent; the group counts are Spark's.
 
-All counts are exact: groups are the phrases themselves, not hashes of them.
+Most phrases are rare, so groups are first counted by a 64-bit hash, and the semi-join goes through a bitmap of the
+frequent hashes of at most ``MOST_BITS`` bits, whatever their number. Both can only let through too much: what is left is
+counted by the phrases themselves, and these counts, which are exact, are the result.
 
 Edge cases: null texts are empty; a null language is ``und``; empty texts and pieces give nothing; repeated rows
 count as often as they occur; a text longer than a block goes on in the next one, which repeats its last words as context;
@@ -22,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -30,11 +30,11 @@ from viewtide.llm import common
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Words of a block, different words a task holds, rows of a batch of counts.
-BLOCK, WORDS, ROWS = 2_000_000, 500_000, 250_000
+BLOCK, WORDS, ROWS = 1_000_000, 250_000, 100_000
 #: The bitmap of frequent phrases is at most 16 MB.
 MOST_BITS = 1 << 27
 END, CUT = 0, b"\xff"
-RELATION = "lang string, context int, own bigint, words array<string>, ids array<int>, starts array<int>"
+RELATION = "lang string, context int, own bigint, words binary, ids binary, starts binary"
 
 FOLD = bytearray(common.LOWER_ASCII)
 for _b in b".,;:!?\n\x0b\x0c\r":
@@ -114,7 +114,7 @@ class Blocks:
                 break
             tail.append(self.names[i])
         if len(ids) > context:
-            yield block(lang, context, ids, pa.array(self.names, type=pa.binary()))
+            yield block(lang, context, ids, self.names)
         return tail[::-1]
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -122,20 +122,18 @@ class Blocks:
             yield from self.flush(lang)
 
 
-def block(lang: str, context: int, ids: np.ndarray, names: pa.Array, starts: np.ndarray | None = None) -> pa.RecordBatch:
+def block(lang: str, context: int, ids: np.ndarray, names: list[bytes], starts: np.ndarray | None = None) -> pa.RecordBatch:
     """A row of the relation; its words are numbered anew, without those that no longer occur."""
     used, ids = np.unique(np.append(ids, END), return_inverse=True)
     ids = ids[:-1].astype(np.int32)
-    words = names.take(pa.array(used)).to_pylist()
-    words[END] = ""
-    words = pa.array([w.decode() if isinstance(w, bytes) else w for w in words], type=pa.string())
+    words = [names[i] for i in used.tolist()]
+    words[END] = b""
     if starts is None:
         starts = np.flatnonzero(ids != END)
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
+    packed = [b"\n".join(words), ids.tobytes(), starts.astype(np.int32).tobytes()]
     return pa.RecordBatch.from_arrays(
         [pa.array([lang]), pa.array([context], type=pa.int32()), pa.array([int((ids[context:] != END).sum())], type=pa.int64()),
-         one(words), one(pa.array(ids, type=pa.int32())), one(pa.array(starts.astype(np.int32), type=pa.int32()))],
-        names=["lang", "context", "own", "words", "ids", "starts"])
+         *[pa.array([x], type=pa.binary()) for x in packed]], names=["lang", "context", "own", "words", "ids", "starts"])
 
 
 def occurrences(docs: DataFrame, longest: int = LONGEST, block_words: int = BLOCK, most_words: int = WORDS) -> DataFrame:
@@ -156,35 +154,38 @@ class Row:
 
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.lang, self.context = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-        self.words = batch.column(3)[i].values
-        self.ids, self.starts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (4, 5))
+        self.words = batch.column(3)[i].as_py().split(b"\n")
+        self.ids, self.starts = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.int32) for c in (4, 5))
 
     def joined(self, k: int) -> np.ndarray:
         """Sorted positions of k-word phrases whose parts of k - 1 words both are in the relation: the merge join."""
         return self.starts if k == 1 else self.starts[:-1][np.diff(self.starts) == 1]
 
-    def groups(self, starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which group each occurrence belongs to, and the begin of one occurrence of each group."""
+    def hashes(self, starts: np.ndarray, k: int) -> np.ndarray:
+        """A hash of the language and the words of each occurrence."""
+        known = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], dtype=np.uint64)
+        out = np.full(len(starts), xxhash.xxh3_64_intdigest(self.lang), dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(k):
+                out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + known[self.ids[starts + j]])
+        return out
+
+    def groups(self, starts: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray]:
+        """The different phrases of k words at these places, and how often each occurs."""
         group, first = self.ids[starts].astype(np.int64), starts
         for j in range(1, k + 1):
             _, at, group = np.unique(group, return_index=True, return_inverse=True)
             first = starts[at]
             if j < k:
                 group = (group.astype(np.int64) << 32) | self.ids[starts + j]
-        return group, first
-
-    def phrases(self, first: np.ndarray, k: int) -> pa.Array:
-        return pc.binary_join_element_wise(*[self.words.take(pa.array(self.ids[first + j])) for j in range(k)], " ")
-
-    def hashes(self, first: np.ndarray, k: int) -> np.ndarray:
-        known = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], dtype=np.uint64)
-        return phrase_hashes(self.lang, [known[self.ids[first + j]] for j in range(k)])
+        parts = [[self.words[i] for i in self.ids[first + j].tolist()] for j in range(k)]
+        return [b" ".join(p) for p in zip(*parts)], np.bincount(group, minlength=len(first))
 
     def only(self, starts: np.ndarray, k: int) -> pa.RecordBatch:
         """The row with these occurrences of k words; what they do not cover shrinks to single gaps."""
         inside = np.zeros(len(self.ids) + 1, dtype=np.int32)
-        np.add.at(inside, starts, 1)
-        np.add.at(inside, starts + k, -1)
+        inside[starts] += 1
+        inside[starts + k] -= 1
         ids = np.where(np.cumsum(inside[:-1]) > 0, self.ids, END)
         stays = np.ones(len(ids), dtype=bool)
         stays[1:] = (ids[1:] != END) | (ids[:-1] != END)
@@ -192,90 +193,80 @@ class Row:
         return block(self.lang, int(stays[:self.context].sum()), ids[stays], self.words, place[starts])
 
 
-def phrase_hashes(lang: str, word_hashes: list[np.ndarray]) -> np.ndarray:
-    out = np.full(len(word_hashes[0]), xxhash.xxh3_64_intdigest(lang), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for h in word_hashes:
-            out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + h)
-    return out
-
-
 def counted(relation: DataFrame, k: int) -> DataFrame:
-    """lang, phrase, f of all phrases of k words that the merge join gives."""
+    """h, n: how often each hash of a k-word phrase of the merge join occurs; equal phrases have equal hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = Row(batch, i)
                 starts = row.joined(k)
-                starts = starts[starts + k > row.context]
-                if not len(starts):
-                    continue
-                group, first = row.groups(starts, k)
-                n = np.bincount(group)
-                for at in range(0, len(first), ROWS):
-                    phrases = row.phrases(first[at:at + ROWS], k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row.lang] * len(phrases)), phrases, pa.array(n[at:at + ROWS])], names=["lang", "phrase", "f"])
+                h, n = np.unique(row.hashes(starts[starts + k > row.context], k), return_counts=True)
+                for at in range(0, len(h), ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[at:at + ROWS].view(np.int64)), pa.array(n[at:at + ROWS])], names=["h", "n"])
 
-    return relation.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return relation.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def bitmap(frequent: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
-    """Bits of the hashes of the frequent phrases, as bytes; their number grows up to ``most_bits``."""
-    count = frequent.count()
-    bits = 1 << 16
+def bitmap(hashes: DataFrame, most_bits: int = MOST_BITS) -> np.ndarray:
+    """Bits of the low ends of the hashes ``h``, as bytes; their number grows up to ``most_bits``."""
+    count = hashes.count()
+    bits = min(1 << 16, most_bits)
     while bits < min(most_bits, 16 * count):
         bits *= 2
-
-    def run(batch):
-        out = []
-        for lang, phrase in zip(batch["lang"].to_pylist(), batch["phrase"].to_pylist()):
-            words = [np.array([xxhash.xxh3_64_intdigest(w)], dtype=np.uint64) for w in phrase.split(" ")]
-            out.append(int(phrase_hashes(lang, words)[0]) & (bits - 1))
-        return {"bit": out}
-
-    places = common.arrow_map(frequent.select("lang", "phrase"), run, "bit bigint")
-    rows = places.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("part")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
+    place = F.col("h").bitwiseAND(F.lit(bits - 1)) + 1
+    rows = hashes.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in rows:
-        part = np.frombuffer(r["bits"], dtype=np.uint8)
-        out[(r["part"] - 1) * 4096:r["part"] * 4096] = part
+        at = (r["part"] - 1) * 4096
+        out[at:at + 4096] = np.frombuffer(r["bits"], dtype=np.uint8)[:len(out) - at]
     return out
 
 
 def semi_joined(relation: DataFrame, k: int, bits: np.ndarray) -> DataFrame:
-    """The relation of k words: the occurrences whose phrase is frequent."""
+    """The relation of k words: the occurrences whose phrase may be frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = Row(batch, i)
                 starts = row.joined(k)
-                if not len(starts):
-                    continue
-                group, first = row.groups(starts, k)
-                bit = row.hashes(first, k) & np.uint64(8 * len(bits) - 1)
-                frequent = (bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-                starts = starts[frequent[group].astype(bool)]
+                bit = row.hashes(starts, k) & np.uint64(8 * len(bits) - 1)
+                starts = starts[((bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)]
                 if len(starts):
                     yield row.only(starts, k)
 
     return relation.mapInArrow(run, RELATION)
 
 
-def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> tuple[list[DataFrame], DataFrame]:
+def phrases(relation: DataFrame, k: int) -> DataFrame:
+    """lang, phrase, f of the k-word phrases in the relation of that length."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = Row(batch, i)
+                found, n = row.groups(row.starts[row.starts + k > row.context], k)
+                for at in range(0, len(found), ROWS):
+                    some = found[at:at + ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row.lang] * len(some)), pa.array(some, type=pa.binary()).cast(pa.string()), pa.array(n[at:at + ROWS])],
+                        names=["lang", "phrase", "f"])
+
+    return relation.mapInArrow(run, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS) -> tuple[list[DataFrame], DataFrame]:
     """lang, phrase, f of the frequent phrases of each length from 1 on, and the number of words per language."""
     spark = docs.sparkSession
-    relation, path = common.staged_at(occurrences(docs, longest), "occurrences-1")
+    relation, path = common.staged_at(occurrences(docs, longest), "occurrences")
     totals = common.stage(relation.groupBy("lang").agg(F.sum("own").alias("n")), "words")
     found = []
     for k in range(1, longest + 1):
-        frequent = common.stage(counted(relation, k).where(F.col("f") >= least), f"phrases-{k}")
-        found.append(frequent)
-        if k < longest:
-            shorter = path
-            relation, path = common.staged_at(semi_joined(relation, k, bitmap(frequent)), f"occurrences-{k}")
-            common.discard(spark, shorter)
+        frequent, hashes = common.staged_at(counted(relation, k).where(F.col("n") >= least), f"hashes-{k}")
+        shorter = path
+        relation, path = common.staged_at(semi_joined(relation, k, bitmap(frequent, most_bits)), f"occurrences-{k}")
+        common.discard(spark, shorter)
+        common.discard(spark, hashes)
+        found.append(common.stage(phrases(relation, k).where(F.col("f") >= least), f"phrases-{k}"))
     common.discard(spark, path)
     return found, totals
 
@@ -317,11 +308,11 @@ def covering(found: list[DataFrame]) -> DataFrame:
     return union(parts).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
 
 
-def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, top: int = TOP, most_bits: int = MOST_BITS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's ``top`` collocations."""
     if longest < 3:
         raise ValueError("phrases of at least three words are needed")
-    found, totals = mined(docs, longest, least)
+    found, totals = mined(docs, longest, least, most_bits)
     rows = scored(found).join(covering(found), ["lang", "phrase"], "left")
     rows = rows.where("longer is null or cast(longer as decimal(20, 0)) * 100 < cast(a as decimal(20, 0)) * 80")
     best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
