@@ -6,7 +6,7 @@ last, and without its first word is), are counted as groups, and occurrences of
 relation by a semi-join before the next length. The merge join runs inside the blocks of the relation, as a piece's
 occurrences are adjacent; the group counts are Spark's.
 
-Most phrases are rare, so groups are first counted by a 64-bit hash, and the semi-join goes through a bitmap of the
+Most phrases are rare, so groups are first counted by a hash of ``HASH_BITS`` bits, and the semi-join goes through a bitmap of the
 frequent hashes of at most ``MOST_BITS`` bits, whatever their number. Both can only let through too much: what is left is
 counted by the phrases themselves, and these counts, which are exact, are the result.
 
@@ -31,6 +31,8 @@ from viewtide.llm import common
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: Words of a block, different words a task holds, rows of a batch of counts.
 BLOCK, WORDS, ROWS = 1_000_000, 250_000, 100_000
+#: Hashes of groups are short, so that they travel cheaply.
+HASH_BITS = 40
 #: The bitmap of frequent phrases is at most 16 MB.
 MOST_BITS = 1 << 27
 END, CUT = 0, b"\xff"
@@ -130,7 +132,9 @@ def block(lang: str, context: int, ids: np.ndarray, names: list[bytes], starts:
     words[END] = b""
     if starts is None:
         starts = np.flatnonzero(ids != END)
-    packed = [b"\n".join(words), ids.tobytes(), starts.astype(np.int32).tobytes()]
+    begins = np.zeros(len(ids), dtype=bool)
+    begins[starts] = True
+    packed = [b"\n".join(words), ids.tobytes(), np.packbits(begins).tobytes()]
     return pa.RecordBatch.from_arrays(
         [pa.array([lang]), pa.array([context], type=pa.int32()), pa.array([int((ids[context:] != END).sum())], type=pa.int64()),
          *[pa.array([x], type=pa.binary()) for x in packed]], names=["lang", "context", "own", "words", "ids", "starts"])
@@ -155,7 +159,8 @@ class Row:
     def __init__(self, batch: pa.RecordBatch, i: int):
         self.lang, self.context = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
         self.words = batch.column(3)[i].as_py().split(b"\n")
-        self.ids, self.starts = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.int32) for c in (4, 5))
+        self.ids = np.frombuffer(batch.column(4)[i].as_buffer(), dtype=np.int32)
+        self.starts = np.flatnonzero(np.unpackbits(np.frombuffer(batch.column(5)[i].as_buffer(), dtype=np.uint8), count=len(self.ids)))
 
     def joined(self, k: int) -> np.ndarray:
         """Sorted positions of k-word phrases whose parts of k - 1 words both are in the relation: the merge join."""
@@ -168,7 +173,7 @@ class Row:
         with np.errstate(over="ignore"):
             for j in range(k):
                 out = common.mix(out * np.uint64(0x9E3779B97F4A7C15) + known[self.ids[starts + j]])
-        return out
+        return out >> np.uint64(64 - HASH_BITS)
 
     def groups(self, starts: np.ndarray, k: int) -> tuple[list[bytes], np.ndarray]:
         """The different phrases of k words at these places, and how often each occurs."""
@@ -257,13 +262,13 @@ def phrases(relation: DataFrame, k: int) -> DataFrame:
 def mined(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, most_bits: int = MOST_BITS) -> tuple[list[DataFrame], DataFrame]:
     """lang, phrase, f of the frequent phrases of each length from 1 on, and the number of words per language."""
     spark = docs.sparkSession
-    relation, path = common.staged_at(occurrences(docs, longest), "occurrences")
+    relation, path = common.staged_at(occurrences(docs, longest), "occurrences", "zstd")
     totals = common.stage(relation.groupBy("lang").agg(F.sum("own").alias("n")), "words")
     found = []
     for k in range(1, longest + 1):
         frequent, hashes = common.staged_at(counted(relation, k).where(F.col("n") >= least), f"hashes-{k}")
         shorter = path
-        relation, path = common.staged_at(semi_joined(relation, k, bitmap(frequent, most_bits)), f"occurrences-{k}")
+        relation, path = common.staged_at(semi_joined(relation, k, bitmap(frequent, most_bits)), f"occurrences-{k}", "zstd")
         common.discard(spark, shorter)
         common.discard(spark, hashes)
         found.append(common.stage(phrases(relation, k).where(F.col("f") >= least), f"phrases-{k}"))

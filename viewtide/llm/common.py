@@ -47,10 +47,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def staged_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def staged_at(df: DataFrame, label: str, compression: str = "snappy") -> tuple[DataFrame, str]:
     """``stage``, with the folder, for a table that is discarded when its last reader is done."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

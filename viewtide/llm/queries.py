@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from viewtide.llm import ball_search, collocations, common, decontaminate, html_main, language_id, minhash, packing, pii, quality, reference_sql, secret_scan, substring_dedup, warc
+from viewtide.llm import ball_search, collocations, common, decontaminate, html_main, language_id, minhash, packing, pii, quality, reference_sql, secret_scan, substring_dedup, toxicity, warc
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -60,7 +60,11 @@ def op12_ball_tree_search(spark, sf_dir):
     return ball_search.search(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "benchmark"))
 
 
+def op13_toxicity_grammar(spark, sf_dir):
+    return toxicity.toxicity(common.load(spark, sf_dir, "documents"), common.load(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (op1_warc_archive, op2_html_main_text, op3_secret_scan, op4_language_id, op5_personal_data, op6_best_fit_packing, op7_string_tiling,
-                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup, op11_phrase_collocations, op12_ball_tree_search)}
+                                   op8_quality_rules, op9_minhash_near_dedup, op10_prefix_doubling_dedup, op11_phrase_collocations, op12_ball_tree_search, op13_toxicity_grammar)}
 SQL: dict[str, str] = {"op11_phrase_collocations": reference_sql.COLLOCATIONS,
                        "op12_ball_tree_search": reference_sql.RANKED_SEARCH}
