@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from viewtide.catalogue import reference_sql
 from viewtide.catalogue.base import REALIZED_AT, RUN, Data, query
-from viewtide.operators import ar_search, publish, series
+from viewtide.operators import ar_search, publish, series, stationarity
 from viewtide.plans import forecasting
 from viewtide.session import scratch_path
 from viewtide.sources import files
@@ -58,7 +58,7 @@ reference_sql.TABLES |= {
     "published_c": ("backtest_c", """
         SELECT "Date", forecast, lower_ci, upper_ci, actual, error, abs_error, pct_error, "ReportId", "ReportName",
                CAST(actual IS NULL AS INTEGER) AS "IsForecast", TIMESTAMP '2001-10-01 06:30:00' AS "ModelRunTimestamp",
-               'SeasonalAR_m7_daily_report_views' AS "ModelName", 'run_001' AS run_id,
+               'SeasonalARIMA_m7_daily_report_views' AS "ModelName", 'run_001' AS run_id,
                TIMESTAMP '2001-10-01 06:30:00' AS run_timestamp, 0 AS "IsPlaceholderRow"
         FROM (SELECT date AS "Date", forecast, lower_ci, upper_ci, actual, error, abs_error, pct_error,
                      report_id AS "ReportId", report_name AS "ReportName" FROM backtest_c
@@ -268,7 +268,7 @@ def fc_schema(data: Data) -> DataFrame:
 @query("fc_placeholder", uses="published_c", doubles=PUBLISHED, sql="""
     SELECT * FROM (SELECT * FROM published_c WHERE "Date" < DATE '1990-01-01')
     UNION ALL SELECT DATE '1900-01-01', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'NO_FORECAST', 1,
-        TIMESTAMP '2001-10-01 06:30:00', 'SeasonalAR_m7_daily_report_views', 'run_001', TIMESTAMP '2001-10-01 06:30:00', 1""")
+        TIMESTAMP '2001-10-01 06:30:00', 'SeasonalARIMA_m7_daily_report_views', 'run_001', TIMESTAMP '2001-10-01 06:30:00', 1""")
 def fc_placeholder(data: Data) -> DataFrame:
     """No forecast lies before 1990, so the placeholder row takes their place."""
     return publish.with_placeholder(stand_in_published(data).where(F.col("Date") < F.lit("1990-01-01").cast("date")), RUN)
@@ -435,7 +435,7 @@ def fc_scores(data: Data) -> DataFrame:
     SELECT report_id, n_obs, n_train, n_test, d, sd AS seasonal_d, {_rounded("aic sigma centre")} FROM chosen_c""")
 def fc_choice(data: Data) -> DataFrame:
     """The chosen differencing."""
-    models = ar_search.fit_models(_candidates(data), ONE_ORDER)
+    models = ar_search.fit_models(_candidates(data), ONE_ORDER, choice="holdout")
     return _cents(models.select("report_id", "n_obs", "n_train", "n_test", "d", "seasonal_d", "aic", "sigma", "centre"))
 
 
@@ -444,7 +444,7 @@ def fc_choice(data: Data) -> DataFrame:
 def fc_backtest_fixed(data: Data) -> DataFrame:
     split = _candidates(data)
     tested = series.with_baselines(split.where(F.col("error").isNull()))
-    rows = publish.backtest_rows(ar_search.backtest_path(ar_search.fit_models(split, ONE_ORDER)), tested)
+    rows = publish.backtest_rows(ar_search.backtest_path(ar_search.fit_models(split, ONE_ORDER, choice="holdout")), tested)
     return _cents(rows.select("report_id", "report_name", "step", "date", "forecast", "lower_ci", "upper_ci", "actual",
                               "error", "pct_error"))
 
@@ -452,7 +452,7 @@ def fc_backtest_fixed(data: Data) -> DataFrame:
 @query("fc_future_fixed", uses="future_one_c", sql=f"""
     SELECT report_id, report_name, date, {_rounded("forecast lower_ci upper_ci")} FROM future_one_c""")
 def fc_future_fixed(data: Data) -> DataFrame:
-    rows = publish.future_rows(ar_search.future_path(ar_search.fit_models(_candidates(data), ONE_ORDER), publish.HORIZON))
+    rows = publish.future_rows(ar_search.future_path(ar_search.fit_models(_candidates(data), ONE_ORDER, choice="holdout"), publish.HORIZON))
     return _cents(rows.select("report_id", "report_name", "date", "forecast", "lower_ci", "upper_ci"))
 
 
@@ -464,7 +464,64 @@ def fc_future_fixed(data: Data) -> DataFrame:
 def fc_run_fixed(data: Data) -> DataFrame:
     """Published rows of a whole run with a usage table of other column names."""
     usage = data.usage_c().withColumnsRenamed({"Report Guid": "rid", "Report Name": "rname", "Date": "d", "Occurrences": "n"})
-    tables = forecasting.run_forecasts_for_reports(usage, RUN, orders=ONE_ORDER, report_id_col="rid", name_col="rname",
+    tables = forecasting.run_forecasts_for_reports(usage, RUN, orders=ONE_ORDER, choice="holdout", report_id_col="rid", name_col="rname",
                                                    date_col="d", views_col="n")
     return _cents(tables.forecasts.select(F.col("ReportId").alias("report_id"), F.col("Date").alias("date"),
                                           F.col("IsForecast").alias("is_forecast"), "forecast", "lower_ci", "upper_ci", "actual"))
+
+
+# Differencing, innovations, and a series that cannot be modelled --------------------------------------------
+
+@query("fc_level_statistic", uses="level_c", doubles="statistic", sql="SELECT report_id, sd, n, statistic FROM level_c")
+def fc_level_statistic(data: Data) -> DataFrame:
+    """The statistic that decides on ordinary differences, with and without a seasonal one."""
+    return stationarity.level_statistics(_candidates(data))
+
+
+@query("fc_seasonal_statistic", uses="weekday_c", doubles="seasonal_statistic", sql="""
+    SELECT report_id, avg(statistic) AS seasonal_statistic FROM weekday_c GROUP BY report_id""")
+def fc_seasonal_statistic(data: Data) -> DataFrame:
+    return stationarity.seasonal_statistics(_candidates(data))
+
+
+@query("fc_differencing", uses="level_c weekday_c", sql="""
+    SELECT report_id, sd, CAST(coalesce(CASE WHEN sd = 1 THEN level_1 ELSE level_0 END > 0.463, false) AS INTEGER) AS d
+    FROM (SELECT report_id, CAST(coalesce(s > 0.463, false) AS INTEGER) AS sd, level_0, level_1
+          FROM (SELECT report_id, max(statistic) FILTER (WHERE sd = 0) AS level_0, max(statistic) FILTER (WHERE sd = 1) AS level_1
+                FROM level_c GROUP BY report_id)
+          LEFT JOIN (SELECT report_id, avg(statistic) AS s FROM weekday_c GROUP BY report_id) USING (report_id))""")
+def fc_differencing(data: Data) -> DataFrame:
+    """Differencing by both tests."""
+    return stationarity.choose_differencing(_candidates(data))
+
+
+@query("fc_innovations", uses="variants_c scores_c", doubles="spread first seventh", sql="""
+    SELECT report_id, d, sd, count(*) AS n, round(sqrt(avg(e * e)), 3) AS spread, sum(e * e1) / sum(e * e) AS first,
+           sum(e * e7) / sum(e * e) AS seventh
+    FROM (SELECT *, coalesce(lag(e, 1) OVER w, 0) AS e1, coalesce(lag(e, 7) OVER w, 0) AS e7
+          FROM (SELECT v.report_id, v.d, v.sd, pos, w - level * b0 - b1 * w1 AS e FROM variants_c v
+                JOIN scores_c s ON v.report_id = s.report_id AND v.d = s.d AND v.sd = s.sd)
+          WINDOW w AS (PARTITION BY report_id, d, sd ORDER BY pos))
+    GROUP BY report_id, d, sd""")
+def fc_innovations(data: Data) -> DataFrame:
+    """Innovations behind the moving-average terms: spread and correlations of the residuals of an autoregression."""
+    lagged = ar_search.with_lags(_candidates(data))
+    rows = ar_search.innovations(lagged, ar_search.score_candidates(ar_search.product_sums(lagged), ONE_ORDER))
+    own = F.sum(F.col("e") * F.col("e"))
+    return rows.groupBy("report_id", "d", "sd").agg(
+        F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("e") * F.col("e"))), 3).alias("spread"),
+        (F.sum(F.col("e") * F.col("e1")) / own).alias("first"), (F.sum(F.col("e") * F.col("e7")) / own).alias("seventh"))
+
+
+@query("fc_failure_isolated", uses="backtest_one_c accepted_one_c", sql="""
+    SELECT report_id, round(avg(abs_error), 2) AS mae_arima, report_id IN (SELECT report_id FROM accepted_one_c) AS passes_model_criteria,
+           NULL::VARCHAR AS error
+    FROM backtest_one_c WHERE report_id <> 'F_N' GROUP BY report_id
+    UNION ALL SELECT 'F_N', NULL, false, 'Series holds values that are not finite'
+    WHERE EXISTS (SELECT 1 FROM backtest_one_c WHERE report_id = 'F_N')""")
+def fc_failure_isolated(data: Data) -> DataFrame:
+    """One report has an infinite count on a day: it gets an error row, all others their models."""
+    broken = (F.col("Report Guid") == "F_N") & (F.col("Date") == F.lit("1997-03-04").cast("date"))
+    usage = data.usage_c().withColumn("Occurrences", F.when(broken, float("inf")).otherwise(F.col("Occurrences").cast("double")))
+    tables = forecasting.run_forecasts_for_reports(usage, RUN, orders=ONE_ORDER, choice="holdout")
+    return _cents(tables.metrics.select("report_id", "mae_arima", "passes_model_criteria", "error"))

@@ -178,12 +178,14 @@ TABLES |= {
         SELECT *, n_obs - n_train AS n_test, CASE WHEN pos > n_train THEN pos - n_train END AS step,
                CASE WHEN n_train < 30 OR n_obs - n_train < 7 THEN 'Series too short for robust backtest split' END AS error
         FROM numbered_c"""),
-    "last_week_c": ("split_c", "SELECT * FROM split_c WHERE pos > n_train - 7 AND pos <= n_train"),
-    "tested_c": ("last_week_c", """
-        SELECT t.*, l.views AS naive, s.views AS seasonal_naive
-        FROM split_c t JOIN last_week_c l ON t.report_id = l.report_id AND l.pos = t.n_train
-        JOIN last_week_c s ON t.report_id = s.report_id AND s.pos = t.n_train - 6 + (t.step - 1) % 7
-        WHERE t.step IS NOT NULL AND t.error IS NULL"""),
+    "tested_c": ("split_c", """
+        SELECT * EXCLUDE (l0, l1, l2, l3, l4, l5, l6), l6 AS naive,
+               CASE (step - 1) % 7 WHEN 0 THEN l0 WHEN 1 THEN l1 WHEN 2 THEN l2 WHEN 3 THEN l3 WHEN 4 THEN l4 WHEN 5 THEN l5 ELSE l6 END
+                 AS seasonal_naive
+        FROM (SELECT *, """ + ", ".join(f"max(views) FILTER (WHERE pos = n_train - {6 - k}) OVER (PARTITION BY report_id) AS l{k}"
+                                        for k in range(7)) + """
+              FROM split_c)
+        WHERE step IS NOT NULL AND error IS NULL"""),
     "actuals_c": ("usage_c", """
         SELECT "Report Guid" AS report_id, "Report Name" AS report_name, "Date" AS date,
                CAST(sum("Occurrences") AS DOUBLE) AS actual_views FROM usage_c GROUP BY ALL"""),
@@ -219,7 +221,33 @@ def _path(name: str, choice: str, last: str, steps: str) -> str:
         FROM (SELECT *, b0 + {_next("past")} AS value FROM path{name}_c WHERE step < steps)"""
 
 
+def statistic_sql(values: str, keys: str) -> str:
+    """Level statistic per ``keys`` of the (keys, pos, value) rows of ``values``."""
+    return f"""
+        WITH _dev AS MATERIALIZED (
+            SELECT *, sum(e) OVER (PARTITION BY {keys} ORDER BY pos) AS s, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS i,
+                   count(*) OVER (PARTITION BY {keys}) AS n
+            FROM (SELECT {keys}, pos, value - avg(value) OVER (PARTITION BY {keys}) AS e FROM ({values}) WHERE value IS NOT NULL)),
+        _cross AS (
+            SELECT {keys}, sum((1 - (a.i - b.i) / (floor(4 * pow(a.n / 100, 0.25)) + 1)) * a.e * b.e) AS weighted
+            FROM _dev a JOIN _dev b USING ({keys})
+            WHERE a.i - b.i BETWEEN 1 AND floor(4 * pow(a.n / 100, 0.25)) GROUP BY {keys}),
+        _whole AS (SELECT {keys}, count(*) AS n, sum(s * s) AS partial, sum(e * e) AS own FROM _dev GROUP BY {keys})
+        SELECT {keys}, n, CASE WHEN n >= 3 AND own + 2 * coalesce(weighted, 0) > 1e-9 * own
+                               THEN partial / (n * (own + 2 * coalesce(weighted, 0))) END AS statistic
+        FROM _whole LEFT JOIN _cross USING ({keys})"""
+
+
 TABLES |= {
+    "level_c": ("centred_c", statistic_sql("""
+        SELECT report_id, 0 AS sd, pos, views AS value FROM centred_c WHERE step IS NULL
+        UNION ALL SELECT report_id, 1, pos, views - lag(views, 7) OVER (PARTITION BY report_id ORDER BY date)
+        FROM centred_c WHERE step IS NULL""", "report_id, sd")),
+    "weekday_c": ("centred_c", statistic_sql("""
+        SELECT report_id, pos % 7 AS phase, pos, views - mean AS value
+        FROM (SELECT *, avg(views) OVER w AS mean, count(*) OVER w AS days FROM centred_c WHERE step IS NULL
+              WINDOW w AS (PARTITION BY report_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) WHERE days = 7""",
+        "report_id, phase")),
     "centred_c": ("split_c sufficiency_c", """
         SELECT *, views - centre AS y0 FROM (
             SELECT s.*, avg(s.views) FILTER (WHERE s.step IS NULL) OVER (PARTITION BY s.report_id) AS centre
@@ -227,7 +255,7 @@ TABLES |= {
     "variants_c": ("centred_c", """
         SELECT report_id, d, sd, CASE WHEN d + sd <= 1 THEN 1.0 ELSE 0.0 END AS level,
                CASE WHEN pos <= floor(n_train * 0.8::DOUBLE) THEN 'fit' WHEN pos <= n_train THEN 'hold' ELSE 'test' END AS part,
-               y0 - d * y1 - sd * (y7 - d * y8) AS w, y1 - d * y2 - sd * (y8 - d * y9) AS w1
+               pos, y0 - d * y1 - sd * (y7 - d * y8) AS w, y1 - d * y2 - sd * (y8 - d * y9) AS w1
         FROM (SELECT *, lag(y0, 1) OVER w AS y1, lag(y0, 2) OVER w AS y2, lag(y0, 7) OVER w AS y7, lag(y0, 8) OVER w AS y8,
                      lag(y0, 9) OVER w AS y9 FROM centred_c WINDOW w AS (PARTITION BY report_id ORDER BY date)),
              (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS v(d, sd)

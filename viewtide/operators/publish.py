@@ -12,7 +12,7 @@ from viewtide import schemas
 from viewtide.functions import columns as C
 from viewtide.operators import series as S
 
-MODEL_NAME = "SeasonalAR_m7_daily_report_views"
+MODEL_NAME = "SeasonalARIMA_m7_daily_report_views"
 HORIZON = 30
 ORDER_COLUMNS = ("p", "d", "q", "seasonal_p", "seasonal_d", "seasonal_q", "m")
 

@@ -19,6 +19,7 @@ from viewtide.operators.adoption import fill_days
 SEASON = 7
 TRAIN_SHARE = 0.8
 TOO_SHORT = "Series too short for robust backtest split"
+NOT_FINITE = "Series holds values that are not finite"
 
 
 @dataclass(frozen=True)
@@ -66,7 +67,8 @@ def _sufficiency_columns(over: Window | None, rule: Sufficiency) -> dict[str, Co
         # first to last day, so gaps need not be filled in first
         "total_days": (F.datediff(whole(F.max("date")), whole(F.min("date"))) + 1).cast("bigint"),
         "nonzero_days": whole(F.count_if(F.col("views") > 0)),
-        "total_views": whole(F.sum("views")).cast("bigint"),
+        # infinite sums pass and are reported as an error of their report later, they do not stop the others
+        "total_views": F.least(whole(F.sum("views")), F.lit(float(1 << 62))).try_cast("bigint"),
     }
 
 
@@ -114,12 +116,15 @@ def split_series(series: DataFrame, train_share: float = TRAIN_SHARE) -> DataFra
     series cannot be backtested, else NULL).
     """
     by_report = Window.partitionBy("report_id")
+    views = F.col("views").cast("double")
+    finite = F.min(~F.isnan(views) & (F.abs(views) < float("inf"))).over(by_report)
     n_train = F.floor(F.col("n_obs") * F.lit(float(train_share)))
     return (series.withColumn("pos", F.row_number().over(by_report.orderBy("date")).cast("bigint"))
             .withColumn("n_obs", F.count("*").over(by_report))
             .withColumn("n_train", n_train).withColumn("n_test", F.col("n_obs") - F.col("n_train"))
             .withColumn("step", F.when(F.col("pos") > F.col("n_train"), F.col("pos") - F.col("n_train")))
-            .withColumn("error", F.when((F.col("n_train") < 30) | (F.col("n_test") < 7), F.lit(TOO_SHORT))))
+            .withColumn("error", F.when((F.col("n_train") < 30) | (F.col("n_test") < 7), F.lit(TOO_SHORT))
+                        .when(~finite, F.lit(NOT_FINITE))))
 
 
 def with_baselines(split: DataFrame) -> DataFrame:

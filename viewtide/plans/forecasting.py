@@ -47,7 +47,7 @@ def candidate_series(totals: DataFrame, rule: S.Sufficiency = S.Sufficiency(), n
 def run_forecasts_for_reports(usage: DataFrame, run: P.Run, horizon: int = P.HORIZON,
                               rule: S.Sufficiency = S.Sufficiency(), acceptance: P.Acceptance = P.Acceptance(),
                               names: Collection[str] = (), orders=A.ORDERS, differencings=A.DIFFERENCINGS,
-                              **columns) -> ForecastTables:
+                              choice: str = "tests", **columns) -> ForecastTables:
     """Backtest and forecast every report with enough data; publish the accepted ones only.
 
     What several branches read - the sums per report, name and day, the numbered series, the fitted models, the published
@@ -57,7 +57,7 @@ def run_forecasts_for_reports(usage: DataFrame, run: P.Run, horizon: int = P.HOR
     totals = S.totals_of(named)
     diagnostics = S.sufficiency(totals, rule)
     split = staged(candidate_series(totals, rule, names), "series")
-    models = staged(A.fit_models(split, orders, differencings), "models")
+    models = staged(A.fit_models(split, orders, differencings, choice), "models")
     tested = S.with_baselines(split.where(F.col("error").isNull()))
     backtest = staged(P.backtest_rows(A.backtest_path(models), tested), "backtest")
     fitted = P.metrics_rows(models, backtest, acceptance)
