@@ -91,35 +91,58 @@ def _unroll(one_row: DataFrame, records: Sequence[Column]) -> DataFrame:
     return one_row.select(F.inline(F.array(*records)))
 
 
-def _check_in_one_pass(df: DataFrame, table: str, rules: Sequence[Expectation]) -> DataFrame:
-    needed = list(dict.fromkeys(r.column for r in rules if r.column))
-    figures = df.agg(F.count("*").alias("_rows"), *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in needed])
-    records = []
-    for rule in rules:
-        if rule.kind == "not_null":
-            nulls = F.col(f"_null_{rule.column}")
-            records.append(_result(table, rule, nulls == 0, nulls, C.ratio(nulls * 100, F.col("_rows")),
-                                   elements=F.col("_rows")))
-        else:
-            records.append(_result(table, rule, F.col("_rows") >= rule.min_value))
-    return _unroll(figures, records)
+def _figures(df: DataFrame, rules: Sequence[Expectation]) -> DataFrame:
+    """One row with the counts that all rules of a table need, from one scan.
 
-
-def _check_unique(df: DataFrame, table: str, rule: Expectation) -> DataFrame:
-    copies = df.groupBy(F.col(rule.column).alias("_key")).agg(F.count("*").alias("_n"))
+    Without uniqueness rules that is one aggregate. With one, rows are counted per key first and the counts of
+    nulls ride along. With several, the keys of all rules are stacked, each row giving one entry per rule.
+    """
+    needed = list(dict.fromkeys(r.column for r in rules if r.kind == "not_null"))
+    keys = [r.column for r in rules if r.kind == "unique"]
+    nulls = [F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in needed]
+    if not keys:
+        return df.agg(F.count("*").alias("_rows"), *nulls)
+    if len(keys) == 1:
+        # the rule's column is counted as the key: a null key is one group
+        copies = df.groupBy(F.col(keys[0]).alias("_key")).agg(F.count("*").alias("_n"), *nulls).withColumn("_rule", F.lit(0))
+    else:
+        entry = [F.struct(F.lit(i).alias("_rule"), *_typed(df, c), *[(F.col(n).isNull() if i == 0 else F.lit(False)).alias(f"_is_{n}")
+                                                                       for n in needed]) for i, c in enumerate(keys)]
+        stacked = df.select(F.inline(F.array(*entry)))
+        copies = stacked.groupBy("_rule", "_long", "_text").agg(
+            F.count("*").alias("_n"), *[F.count_if(f"_is_{n}").alias(f"_null_{n}") for n in needed])
+        copies = copies.withColumn("_key", F.coalesce(F.col("_long").cast("string"), F.col("_text")))
     null = F.col("_key").isNull()
-    figures = copies.agg(C.total(F.col("_n")).alias("_rows"), C.total(F.when(null, F.col("_n"))).alias("_null"),
-                         C.total(F.when(~null & (F.col("_n") > 1), F.col("_n"))).alias("_twice"))
-    rows, nulls, twice = F.col("_rows"), F.col("_null"), F.col("_twice")
-    return _unroll(figures, [_result(table, rule, twice == 0, twice, C.ratio(twice * 100, rows - nulls), nulls,
-                                     C.ratio(nulls * 100, rows), rows)])
+    mine = [F.col("_rule") == i for i in range(len(keys))]
+    return copies.agg(
+        C.total(F.when(mine[0], F.col("_n"))).alias("_rows"), *[C.total(F.col(f"_null_{c}")).alias(f"_null_{c}") for c in needed],
+        *[C.total(F.when(m & null, F.col("_n"))).alias(f"_empty{i}") for i, m in enumerate(mine)],
+        *[C.total(F.when(m & ~null & (F.col("_n") > 1), F.col("_n"))).alias(f"_twice{i}") for i, m in enumerate(mine)])
+
+
+def _typed(df: DataFrame, column: str, kind: str | None = None) -> list[Column]:
+    """A key as (_long, _text): whole numbers stay numbers, so keys of different types fit into one column pair."""
+    kind = kind or df.schema[column].dataType.simpleString()
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return [F.col(column).cast("bigint").alias("_long"), F.lit(None).cast("string").alias("_text")]
+    return [F.lit(None).cast("bigint").alias("_long"), F.col(column).cast(kind).cast("string").alias("_text")]
 
 
 def run_expectations(df: DataFrame, table: str, rules: Sequence[Expectation]) -> DataFrame:
-    """Result rows of all rules on one table."""
-    flat = [r for r in rules if r.kind != "unique"]
-    parts = [_check_unique(df, table, r) for r in rules if r.kind == "unique"]
-    return union(parts + ([_check_in_one_pass(df, table, flat)] if flat else []))
+    """Result rows of all rules on one table, from one scan of it."""
+    rows, records, unique = F.col("_rows"), [], 0
+    for rule in rules:
+        if rule.kind == "unique":
+            twice, empty = F.col(f"_twice{unique}"), F.col(f"_empty{unique}")
+            records.append(_result(table, rule, twice == 0, twice, C.ratio(twice * 100, rows - empty), empty,
+                                   C.ratio(empty * 100, rows), rows))
+            unique += 1
+        elif rule.kind == "not_null":
+            nulls = F.col(f"_null_{rule.column}")
+            records.append(_result(table, rule, nulls == 0, nulls, C.ratio(nulls * 100, rows), elements=rows))
+        else:
+            records.append(_result(table, rule, rows >= rule.min_value))
+    return _unroll(_figures(df, rules), records)
 
 
 def model_expectations(groups: Iterable[str] = ("unique", "not_null", "row_count")) -> dict[str, list[Expectation]]:
@@ -142,28 +165,70 @@ def run_model_expectations(tables: Mapping[str, DataFrame], groups=("unique", "n
     return union(run_expectations(tables[t], t, rules) for t, rules in model_expectations(groups).items())
 
 
-def membership(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str) -> DataFrame:
-    """Rows of the fact and rows whose key the dimension lacks: (total_rows, invalid_count).
+@dataclass(frozen=True)
+class Reference:
+    """Key ``key`` of table ``fact`` must be among the values of ``dim_key`` in ``dim``."""
+
+    fact: str
+    key: str
+    dim: str
+    dim_key: str
+
+
+def _key_type(tables: Mapping[str, DataFrame], r: Reference) -> str:
+    """Type in which the two sides of a reference are compared."""
+    kinds = [tables[t].schema[c].dataType.simpleString() for t, c in ((r.fact, r.key), (r.dim, r.dim_key))]
+    whole = ("tinyint", "smallint", "int", "bigint")
+    if kinds[0] == kinds[1]:
+        return kinds[0]
+    if all(k in whole for k in kinds):
+        return "bigint"
+    return "double" if all(k in (*whole, "float", "double") for k in kinds) else "string"
 
-    Keys are counted before they meet the dimension, so the join sees each key once however hot it
-    is. NULL counts as a key like any other: invalid unless the dimension holds NULL too.
+
+def memberships(tables: Mapping[str, DataFrame], references: Sequence[Reference]) -> DataFrame:
+    """(check, total_rows, invalid_count) of all references, ``check`` being the place in the list.
+
+    Every table is scanned once: a row gives one entry per key of it, entries are counted per (check, key) before the only
+    shuffle, and the dimension's keys meet them there as entries without a count. So nothing is joined, and a hot key is
+    one row per task. NULL counts as a key like any other: invalid unless the dimension holds NULL too.
     """
-    used = fact.groupBy(F.col(fact_key).alias("_key")).agg(F.count("*").alias("_n"))
-    known = dim.select(F.col(dim_key).alias("_known")).distinct().withColumn("_hit", F.lit(True))
-    return (used.join(known, F.col("_key").eqNullSafe(F.col("_known")), "left")
-            .agg(C.total(F.col("_n")).alias("total_rows"),
-                 C.total(F.when(F.col("_hit").isNull(), F.col("_n"))).alias("invalid_count")))
+    kinds = [_key_type(tables, r) for r in references]
+    entries: dict[str, list[Column]] = {}
+    for i, (r, kind) in enumerate(zip(references, kinds)):
+        for table, column, n in ((r.fact, r.key, 1), (r.dim, r.dim_key, 0)):
+            entries.setdefault(table, []).append(F.struct(
+                F.lit(i).alias("check"), F.lit(n).cast("bigint").alias("_n"), *_typed(tables[table], column, kind)))
+    stacked = union(tables[t].select(F.inline(F.array(*mine))) for t, mine in entries.items())
+    counted = stacked.groupBy("check", "_long", "_text").agg(F.sum("_n").alias("_n"), F.min("_n").alias("_least"))
+    # an entry of the dimension counts 0, so the smallest count tells whether the dimension has the key
+    return counted.groupBy("check").agg(F.sum("_n").alias("total_rows"),
+                                        C.total(F.when(F.col("_least") > 0, F.col("_n"))).alias("invalid_count"))
+
+
+def checked(tables: Mapping[str, DataFrame], references: Sequence[Reference], describe_one) -> DataFrame:
+    """One row per reference; ``describe_one`` names it. References between empty tables have no rows and no fault."""
+    spark = next(iter(tables.values())).sparkSession
+    named = [describe_one(r) for r in references]
+    names = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("check"), *[F.lit(v).alias(k) for k, v in one.items()]) for i, one in enumerate(named)])))
+    found = memberships(tables, references)
+    return names.join(found, "check", "left").drop("check").withColumns(
+        {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total_rows", "invalid_count")})
 
 
 def run_referential_integrity_checks(tables: Mapping[str, DataFrame], references=tuple(REFERENCES)) -> DataFrame:
     """One row per foreign key; dimension keys carry the fact key's name."""
-    def check(fact: str, key: str, dim: str) -> DataFrame:
-        return membership(tables[fact], key, tables[dim], key).select(
-            F.lit(f"{fact}.{key} -> {dim}.{key}").alias("check_name"), F.lit(key).alias("fact_key"),
-            F.lit(key).alias("dimension_key"), "invalid_count", "total_rows",
-            (F.col("invalid_count") == 0).alias("success"))
+    rows = checked(tables, [Reference(fact, key, dim, key) for fact, key, dim in references], lambda r: {
+        "check_name": f"{r.fact}.{r.key} -> {r.dim}.{r.key}", "fact_key": r.key, "dimension_key": r.key})
+    return rows.select("check_name", "fact_key", "dimension_key", "invalid_count", "total_rows",
+                       (F.col("invalid_count") == 0).alias("success"))
 
-    return union(check(*r) for r in references)
+
+def membership(fact: DataFrame, fact_key: str, dim: DataFrame, dim_key: str) -> DataFrame:
+    """Rows of the fact and rows whose key the dimension lacks: (total_rows, invalid_count)."""
+    return checked({"fact": fact, "dim": dim}, [Reference("fact", fact_key, "dim", dim_key)],
+                   lambda r: {"name": ""}).select("total_rows", "invalid_count")
 
 
 def run_row_count_reconciliation(raw: Mapping[str, DataFrame], processed: Mapping[str, DataFrame]) -> DataFrame:
@@ -209,10 +274,10 @@ def run_lightweight_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
         copies = tables[dim].groupBy(key).agg(F.count("*").alias("_n"))
         extra = copies.agg(C.total(F.col("_n") - 1).alias("_extra"))
         parts.append(_flag(extra, "uniqueness", f"{dim}.{key}", F.col("_extra") == 0, F.col("_extra")))
-    for fact, key, dim in REFERENCES:
-        if key != "date_key":
-            parts.append(_flag(membership(tables[fact], key, tables[dim], key), "referential_integrity",
-                               f"{fact}.{key} in {dim}", F.col("invalid_count") == 0, F.col("invalid_count")))
+    keys = [Reference(fact, key, dim, key) for fact, key, dim in REFERENCES if key != "date_key"]
+    integrity = checked(tables, keys, lambda r: {"check_name": f"{r.fact}.{r.key} in {r.dim}"})
+    parts.append(integrity.select(F.lit("referential_integrity").alias("check_group"), "check_name",
+                                  (F.col("invalid_count") == 0).alias("success"), F.col("invalid_count").alias("value")))
     for fact in ("fact_report_views", "fact_page_views", "fact_report_loads"):
         keys = [c for c in REQUIRED[fact] if c.endswith(("_key", "_id"))]
         nulls = null_counts(tables[fact], keys)
@@ -224,9 +289,9 @@ def run_lightweight_checks(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 def run_raw_key_checks(raw: Mapping[str, DataFrame]) -> DataFrame:
     """Whether the keys of the raw event tables exist in the raw master tables."""
-    return union(membership(raw[t], key, raw[master], key).select(
-        F.lit(f"{t}.{key} in {master}").alias("check_name"), (F.col("invalid_count") == 0).alias("success"),
-        "invalid_count") for t, key, master in RAW_REFERENCES)
+    rows = checked(raw, [Reference(t, key, master, key) for t, key, master in RAW_REFERENCES],
+                   lambda r: {"check_name": f"{r.fact}.{r.key} in {r.dim}"})
+    return rows.select("check_name", (F.col("invalid_count") == 0).alias("success"), "invalid_count")
 
 
 def null_counts(df: DataFrame, names: Sequence[str]) -> DataFrame:
