@@ -75,7 +75,7 @@ def test_known_innovations_improve_the_first_day(spark):
 def kpss(x):
     x = np.asarray(x, float) - np.mean(x)
     n = len(x)
-    used = min(N.MOST_LAGS, int(4 * (n / 100) ** 0.25))
+    used = int(4 * (n / 100) ** 0.25)
     own = (x ** 2).sum() + 2 * sum((1 - k / (used + 1)) * (x[k:] * x[:-k]).sum() for k in range(1, used + 1))
     return (np.cumsum(x) ** 2).sum() / (n * own)
 
@@ -84,11 +84,11 @@ def test_level_statistic(spark):
     rng = np.random.default_rng(0)
     for x in (rng.normal(size=200), rng.normal(size=333).cumsum(), np.arange(40.0)):
         rows = spark.createDataFrame([("r", i, float(v)) for i, v in enumerate(x)], "report_id string, pos int, value double")
-        got = N.level_statistic(rows, ["report_id"], "value", "pos").first()
+        got = N.level_statistic(rows, ["report_id"], "value", "pos", 9).first()
         assert got.n == len(x) and got.statistic == pytest.approx(kpss(x), rel=1e-9)
     flat = rows.withColumn("value", F.lit(3.0))
-    assert N.level_statistic(flat, ["report_id"], "value", "pos").first().statistic is None
-    assert N.level_statistic(rows.limit(2), ["report_id"], "value", "pos").first().statistic is None
+    assert N.level_statistic(flat, ["report_id"], "value", "pos", 9).first().statistic is None
+    assert N.level_statistic(rows.limit(2), ["report_id"], "value", "pos", 9).first().statistic is None
 
 
 def test_choice_of_differencing(spark):

@@ -12,7 +12,7 @@ from viewtide.catalogue import reference_sql
 from viewtide.catalogue.base import REALIZED_AT, RUN, Data, query
 from viewtide.operators import ar_search, publish, series, stationarity
 from viewtide.plans import forecasting
-from viewtide.session import scratch_path
+from viewtide.session import scratch_path, staged
 from viewtide.sources import files
 from viewtide import schemas
 
@@ -350,7 +350,7 @@ def fc_realized(data: Data) -> DataFrame:
 # The searched model (no SQL form) -------------------------------------------------------------------
 
 def _candidates(data: Data) -> DataFrame:
-    return forecasting.candidate_series(data.totals_c())
+    return staged(forecasting.candidate_series(data.totals_c()), "series")
 
 
 @query("fc_model")

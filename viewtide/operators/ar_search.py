@@ -64,50 +64,47 @@ _SHOCK_TERMS = [*_TERMS[:-1], *[f"e{k}" for k in SHOCKS], "w"]
 _PAIRS = _pairs(len(_TERMS))
 
 
-def _differenced(k: int, d: int, sd: int) -> Column:
-    """Value k days back after d ordinary and sd seasonal differences."""
-    value = F.col(f"y{k}")
-    if d:
-        value = value - F.col(f"y{k + 1}")
-    if sd:
-        value = value - (F.col(f"y{k + SEASON}") - F.col(f"y{k + SEASON + 1}") if d else F.col(f"y{k + SEASON}"))
-    return value
+def _differenced(k: int, d: int | str, sd: int | str) -> str:
+    """SQL of the value k days back after d ordinary and sd seasonal differences."""
+    if (d, sd) == (0, 0):
+        return f"y{k}"
+    once = lambda i: f"(y{i} - {d} * y{i + 1})" if d != 0 else f"y{i}"
+    return f"{once(k)} - {sd} * {once(k + SEASON)}" if sd != 0 else once(k)
 
 
+# The many columns below are SQL text: building each as a Column object costs the driver a round trip per operation.
+
 def with_lags(split: DataFrame) -> DataFrame:
     """Centre each backtestable series on its training mean and add y0..y15 (days back)."""
-    by_report = Window.partitionBy("report_id")
-    centre = F.avg(F.when(F.col("step").isNull(), F.col("views"))).over(by_report)
-    ordered = by_report.orderBy("date")
-    return (split.where(F.col("error").isNull()).withColumn("centre", centre)
-            .withColumn("y0", F.col("views") - F.col("centre"))
-            .select("*", *[F.lag("y0", k).over(ordered).alias(f"y{k}") for k in range(1, MAX_LAG + 1)]))
+    centred = split.where("error is null").selectExpr(
+        "*", "avg(case when step is null then views end) over (partition by report_id) as centre").selectExpr(
+        "*", "views - centre as y0")
+    return centred.selectExpr("*", *[f"lag(y0, {k}) over (partition by report_id order by date) as y{k}" for k in range(1, MAX_LAG + 1)])
+
+
+_PART = (f"case when pos <= floor(n_train * {1 - HOLDOUT_SHARE}D) then 'fit' when pos <= n_train then 'hold' else 'test' end as part")
 
 
 def _variant_rows(lagged: DataFrame, differencings) -> DataFrame:
-    """report_id, pos, n_train, n_obs, part and, per differencing, the columns of the regression.
+    """report_id, part and, per differencing, the columns of the regression.
 
     Only days that have all 15 lags count, so all candidates see the same sample.
     """
-    def variant(d: int, sd: int) -> Column:
-        level = 1.0 if d + sd <= 1 else 0.0
-        return F.struct(F.lit(d).alias("d"), F.lit(sd).alias("sd"), F.lit(level).alias("one"),
-                        *[_differenced(k, d, sd).alias(f"w{k}") for k in LAGS], _differenced(0, d, sd).alias("w"))
+    def variant(d: int, sd: int) -> str:
+        lags = "".join(f"{_differenced(k, d, sd)} as w{k}, " for k in LAGS)
+        return f"struct({d} as d, {sd} as sd, {1.0 if d + sd <= 1 else 0.0}D as one, {lags}{_differenced(0, d, sd)} as w)"
 
-    fit_days = F.floor(F.col("n_train") * F.lit(1 - HOLDOUT_SHARE))
-    part = (F.when(F.col("pos") <= fit_days, "fit").when(F.col("pos") <= F.col("n_train"), "hold").otherwise("test"))
-    return (lagged.where(F.col("pos") > MAX_LAG).withColumn("part", part)
-            .select("report_id", "pos", "n_train", "n_obs", "part", F.inline(F.array(*[variant(d, sd) for d, sd in differencings]))))
+    return lagged.where(F.col("pos") > MAX_LAG).selectExpr(
+        "report_id", _PART, f"inline(array({', '.join(variant(d, sd) for d, sd in differencings)}))")
 
 
 def _sums_of(rows: DataFrame, terms: list[str]) -> DataFrame:
     pairs = _pairs(len(terms))
     sums = rows.groupBy("report_id", "d", "sd", "part").agg(
-        F.count("*").cast("double").alias("n"),
-        *[F.sum(F.col(terms[i]) * F.col(terms[j])).alias(f"s{i}{j}") for i, j in pairs])
-    packed = F.array("n", *[f"s{i}{j}" for i, j in pairs])
+        F.expr("cast(count(*) as double) as n"), *[F.expr(f"sum({terms[i]} * {terms[j]}) as s{i}_{j}") for i, j in pairs])
+    packed = f"array(n, {', '.join(f's{i}_{j}' for i, j in pairs)})"
     return sums.groupBy("report_id", "d", "sd").agg(
-        *[F.max(F.when(F.col("part") == p, packed)).alias(p) for p in ("fit", "hold", "test")])
+        *[F.expr(f"max(case when part = '{p}' then {packed} end) as {p}") for p in ("fit", "hold", "test")])
 
 
 def product_sums(lagged: DataFrame, differencings=DIFFERENCINGS) -> DataFrame:
@@ -115,14 +112,18 @@ def product_sums(lagged: DataFrame, differencings=DIFFERENCINGS) -> DataFrame:
     return _sums_of(_variant_rows(lagged, differencings), _TERMS)
 
 
-def innovations(lagged: DataFrame, long: DataFrame, differencings=DIFFERENCINGS) -> DataFrame:
-    """The regression's rows with ``e``, the residual of the autoregression ``long`` (report_id, d, sd, beta), and its lags."""
-    fitted = sum((F.col("beta")[i] * F.col(t) for i, t in enumerate(_TERMS[:-1])), F.lit(0.0))
-    rows = (_variant_rows(lagged, differencings).join(long.select("report_id", "d", "sd", "beta"), ["report_id", "d", "sd"])
-            .withColumn("e", F.col("w") - fitted))
-    ordered = Window.partitionBy("report_id", "d", "sd").orderBy("pos")
-    return rows.select("*", *[F.coalesce(F.lag("e", k).over(ordered), F.lit(0.0)).alias(f"e{k}") for k in range(1, SEASON)],
-                       F.coalesce(F.lag("e", SEASON).over(ordered), F.lit(0.0)).alias(f"e{SEASON}")).drop("beta")
+def innovations(lagged: DataFrame, long: DataFrame) -> DataFrame:
+    """The regression's rows with ``e``, the residual of the autoregressions ``long`` (report_id, d, sd, beta), and its lags.
+
+    ``long`` holds a row per differencing wanted, usually one per report.
+    """
+    rows = lagged.where(F.col("pos") > MAX_LAG).join(long.select("report_id", "d", "sd", "beta"), "report_id").selectExpr(
+        "report_id", "d", "sd", "pos", "n_train", "n_obs", _PART, "beta", "case when d + sd <= 1 then 1.0D else 0.0D end as one",
+        *[f"{_differenced(k, 'd', 'sd')} as w{k}" for k in LAGS], f"{_differenced(0, 'd', 'sd')} as w")
+    fitted = " + ".join(f"beta[{i}] * {t}" for i, t in enumerate(_TERMS[:-1]))
+    order = "over (partition by report_id, d, sd order by pos)"
+    return (rows.selectExpr("*", f"w - ({fitted}) as e")
+            .selectExpr("*", *[f"coalesce(lag(e, {k}) {order}, 0D) as e{k}" for k in range(1, SEASON + 1)]).drop("beta"))
 
 
 def shock_sums(rows: DataFrame) -> DataFrame:
@@ -132,10 +133,10 @@ def shock_sums(rows: DataFrame) -> DataFrame:
 
 def last_shocks(rows: DataFrame) -> DataFrame:
     """report_id, d, sd and the last seven innovations of the training days and of the whole series, latest first."""
-    tail = F.array("e", *[f"e{k}" for k in range(1, SEASON)])
+    tail = f"array(e, {', '.join(f'e{k}' for k in range(1, SEASON))})"
     return rows.groupBy("report_id", "d", "sd").agg(
-        F.max(F.when(F.col("pos") == F.col("n_train"), tail)).alias("train_shocks"),
-        F.max(F.when(F.col("pos") == F.col("n_obs"), tail)).alias("full_shocks"))
+        F.expr(f"max(case when pos = n_train then {tail} end) as train_shocks"),
+        F.expr(f"max(case when pos = n_obs then {tail} end) as full_shocks"))
 
 
 def _square(packed: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -241,12 +242,11 @@ def choose_model(candidates: DataFrame, orders=AR_ORDERS) -> DataFrame:
 
 def series_ends(lagged: DataFrame) -> DataFrame:
     """Per report: what forecasting starts from. Latest value first in the two tails."""
-    tail = F.array(*[f"y{k}" for k in range(MAX_LAG)])
-    return lagged.groupBy("report_id").agg(
-        F.min("report_name").alias("report_name"), F.max("n_obs").alias("n_obs"), F.max("n_train").alias("n_train"),
-        F.max("n_test").alias("n_test"), F.max("date").alias("last_date"), F.max("centre").alias("centre"),
-        F.max(F.when(F.col("pos") == F.col("n_train"), tail)).alias("train_tail"),
-        F.max(F.when(F.col("pos") == F.col("n_obs"), tail)).alias("full_tail"))
+    tail = f"array({', '.join(f'y{k}' for k in range(MAX_LAG))})"
+    return lagged.groupBy("report_id").agg(*[F.expr(f"{how}({c}) as {name}") for how, c, name in (
+        ("min", "report_name", "report_name"), ("max", "n_obs", "n_obs"), ("max", "n_train", "n_train"), ("max", "n_test", "n_test"),
+        ("max", "date", "last_date"), ("max", "centre", "centre"), ("max", f"case when pos = n_train then {tail} end", "train_tail"),
+        ("max", f"case when pos = n_obs then {tail} end", "full_tail"))])
 
 
 def _level_weights(beta: np.ndarray, d: int, sd: int) -> np.ndarray:
@@ -331,7 +331,7 @@ def _models(split: DataFrame, lagged: DataFrame, orders, differencings, choice:
         none = F.array_repeat(F.lit(0.0), SEASON)
         return best_order(candidates).withColumns({"train_shocks": none, "full_shocks": none})
     p, _, sp, _ = max(map(full_order, long), key=lambda order: (sum(order), order[0]))
-    rows = staged(innovations(lagged, candidates.where((F.col("p") == p) & (F.col("sp") == sp)), differencings), "innovations")
+    rows = staged(innovations(lagged, candidates.where((F.col("p") == p) & (F.col("sp") == sp))), "innovations")
     return best_order(score_candidates(shock_sums(rows), orders)).join(last_shocks(rows), ["report_id", "d", "sd"])
 
 
