@@ -1,6 +1,9 @@
 import base64
 import collections
 import hashlib
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -140,3 +143,28 @@ def test_minimum_cut_against_all_labellings():
 
         best = min(map(cost, itertools.product([False, True], repeat=n)))
         assert cost(html_main.minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+RAW = "script|style|noscript|template|textarea|iframe|title"
+MARKUP = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
+
+
+def test_markup_is_that_of_the_plain_pattern():
+    rng = random.Random(8)
+    bits = ["<a ", '<a href="x">', "</a>", '<div class="ad">', "</div>", "text & more", '"', "'", ">", "<", "<!--", "-->", "<script>", "</script>",
+            '<script src="a>b">', "<svg/>", "</svg >", "<!doctype", "<?x", "</", "</p", "</title  >", "<title>", "<1", "<b\n", "<textarea", "<a-b:c d='>'>"]
+    for _ in range(5000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randint(0, 30)))
+        want = [(m.start(), m.end(), m.group(2) or "", m.group(3), m.group(4) or "") for m in MARKUP.finditer(page)]
+        assert [tuple(m) for m in html_main.markup(page)] == want
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 350_000 + '"' + ">x", "<div>" * 95_000 + "</nav>" * 95_000, "<a '" * 260_000 + "<p>x", "<a \"'<b '" * 116_000, "<a " * 350_000,
+    "<!--" * 260_000, "</" * 500_000, "<" * 1_000_000, "<svg><p>" * 130_000, "<script>" + "</script " * 116_000, "<p " + "a=b " * 260_000 + ">x"])
+def test_unbalanced_pages_take_linear_time(page):
+    begin = time.perf_counter()
+    html_main.blocks(page)
+    assert time.perf_counter() - begin < 8      # one or two seconds of a free machine

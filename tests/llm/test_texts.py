@@ -225,6 +225,21 @@ def test_personal_data(spark, sample):
     assert sorted((str(r.doc_id), r.base_sha256, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in got) == want
 
 
+def test_spans_of_hostile_texts(spark):
+    """Long repeats of every form: the matcher's stack and time stay bounded."""
+    n, labels = 30_000, 1_500_000
+    texts = ["x@" + "b." * labels + "c", "a." * n + "@b.c", "x@" + "b-" * n, "1." * n, "1 " * n, "+1" + " (" * n + "1", "a@b.c" * (n // 3),
+             "aa(at)bb" + " dot cc" * (n // 5), "DE89" + " 3704" * (n // 3), "Mr A" + " Bc" * n, "123-45-6789" * (n // 8), "\"' :=" * (n // 4),
+             "password=" * (n // 6), "token" + " " * n + "= abcdef", "AKIA" + "A1" * n, "0f" * n, "user_name=" + "a." * n, "https://" + "a/" * n,
+             "aB3" * n, "jdbc:" * (n // 4)]
+    rows = list(enumerate(texts))
+    found = {r.doc_id: r for r in pii.personal_data(plain.documents(spark, rows)).collect()}
+    assert len(found) == len(rows) and found[0].n_email == 1 and found[0].spans.startswith(f"email:0:{2 * labels + 3}")
+    assert found[6].base_sha256 == plain.digest(plain.personal_spans(texts[6]))
+    secrets = {r.doc_id: r for r in secret_scan.secrets(plain.documents(spark, rows)).collect()}
+    assert len(secrets) == len(rows) and secrets[14].n_access == 1 and secrets[15].n_hex == 1 and secrets[13].n_assign == 1
+
+
 def test_personal_data_adds_candidates_with_context(spark, sample):
     rows = sample + [(10**6 + i, f"ssn 123-45-67{i:02d}, please") for i in range(30)] + [(10**7, "build 123-45-6789, please")]
     got = {r.doc_id: r.spans for r in pii.personal_data(plain.documents(spark, rows)).where("doc_id >= 1000000").collect()}
@@ -255,8 +270,7 @@ def test_packing(spark, sample):
     from tokenizers import Tokenizer
     path = queries.tokenizer_path()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    odd = ["", "<|endoftext|> it's I'LL x'd A1b2 ΑΣΣ İstanbul éa  x y ...!!'s 中文字 😀", None, LONG]
+    odd = ["", "a<|endoftext|>b <|startoftext|> x<|endoftext|><|endoftext|>é <|ENDOFTEXT|> <|endoftext", "<|endoftext|> it's I'LL x'd A1b2 ΑΣΣ İstanbul éa  x y ...!!'s 中文字 😀", None, LONG]
     rows = sample + [(10**6 + i, t) for i, t in enumerate(odd)] + sample[:3]
     got = packing.packed_documents(plain.documents(spark, rows), path, part_rows=40).collect()
     ids = {i: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in rows}
@@ -280,7 +294,10 @@ def test_ids_equal_the_library():
     letters = "\x0b\x0c\x1d\x1e\x1f\x85\x01abcXYZ019'!.,-_ \x00\x7f\x1c\xa0éÉßÿÀÖíàÑøÆ×÷\u0301ΣİŒ中😀\n\t"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     texts += ["x's I'LL don't we've", "<|endoftext|> <|startoftext|>x"]
-    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "x", "é", " ", "\u0301", "'s", "<|ENDOFTEXT|>"]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randint(1, 9))) for _ in range(2000)]
+    from tokenizers import Tokenizer
+    want = Tokenizer.from_file(queries.tokenizer_path()).encode_batch(texts, add_special_tokens=False)
     assert [np.frombuffer(encoder.ids(t.encode()), "<u4").tolist() for t in texts] == [e.ids for e in want]
 
 

@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -43,9 +45,10 @@ DRAWINGS = ("svg", "math")
 #: HTML elements that end a drawing, unless inside of one of INTEGRATION.
 BREAKOUT = frozenset("blockquote body center dd div dl dt h1 h2 h3 h4 h5 h6 head hr li menu ol p pre table ul".split())
 INTEGRATION = frozenset("foreignobject desc annotation-xml mtext".split())
-PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SKIPPED) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][a-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*\Z", re.I | re.S)
+RAW = re.compile("(" + "|".join(SKIPPED) + r")\b", re.I)
+RAW_END = {x: re.compile(rf"</{x}\s*>", re.I) for x in SKIPPED}
+NAME = re.compile("(/?)([a-z][a-z0-9:-]*)", re.I)
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Words of class names and roles.
@@ -99,25 +102,96 @@ def holder_score(tag: str, attributes: str, outer: float) -> float:
     return score
 
 
-def closed(tags: list[re.Match]) -> dict[int, int]:
+class Markup(NamedTuple):
+    """A comment, declaration or raw element (no tag), or a tag with its slash and attributes."""
+
+    begin: int
+    end: int
+    slash: str = ""
+    tag: str | None = None
+    attributes: str = ""
+
+
+class TagEnds:
+    """Where tags end: at the first > outside of quotation marks. Asked for growing places, it reads a page once."""
+
+    def __init__(self, page: str):
+        self.page, self.known = page, {}
+        self.last = {mark: page.rfind(mark) for mark in ">\"'"}
+        self.asked = self.found = -1
+
+    def stop(self, at: int) -> int:
+        """The first >, \" or ' from ``at`` on; -1 if none is left."""
+        if not self.asked <= at <= self.found:
+            hit = STOP.search(self.page, at) if at <= max(self.last.values()) else None
+            self.asked, self.found = at, hit.start() if hit else len(self.page)
+        return self.found if self.found < len(self.page) else -1
+
+    def end(self, at: int) -> int:
+        """The place after the tag whose attributes begin at ``at``; -1 if it has no end."""
+        place, passed, result = self.stop(at), [], -1
+        while place >= 0:
+            if place in self.known:
+                result = self.known[place]
+                break
+            passed.append(place)
+            mark = self.page[place]
+            if mark == ">":
+                result = place + 1
+                break
+            if place >= self.last[mark]:      # a quotation that never ends
+                break
+            after = STOP.search(self.page, self.page.find(mark, place + 1) + 1)
+            place = after.start() if after else -1
+        self.known.update(dict.fromkeys(passed, result))
+        return result
+
+
+def markup(page: str) -> Iterator[Markup]:
+    """Comments, raw elements and tags of a page in order; what is none of these is text."""
+    ends, at = TagEnds(page), page.find("<")
+    while at >= 0:
+        piece = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            piece = Markup(at, end + 3 if end >= 0 else len(page))
+        elif name := NAME.match(page, at + 1):
+            end = ends.end(name.end())
+            raw = RAW.match(page, at + 1) if end >= 0 else None
+            if raw:
+                close = RAW_END[raw.group(1).lower()].search(page, end)
+                piece = Markup(at, close.end() if close else len(page))
+            elif end >= 0:
+                piece = Markup(at, end, name.group(1), name.group(2), page[name.end():end - 1])
+        if piece is None and page[at + 1:at + 2] in ("!", "?", "/"):
+            end = page.find(">", at + 2) + 1
+            piece = Markup(at, end or len(page))
+        elif piece is None and at > ends.last[">"] and page[at + 1:at + 2].isascii() and page[at + 1:at + 2].isalpha():
+            piece = Markup(at, len(page))
+        if piece:
+            yield piece
+        at = page.find("<", piece.end if piece else at + 1)
+
+
+def closed(tags: list[Markup]) -> dict[int, int]:
     """Begin and end of the elements of DROPPED that have an end tag of their own."""
     out: dict[int, int] = {}
     open_at: dict[str, list[tuple[int, int]]] = {x: [] for x in DROPPED}
     depth = integrated = 0
     for m in tags:
-        if m.group(3) is None:
+        if m.tag is None:
             continue
-        tag, closing = m.group(3).lower(), m.group(2)
+        tag, closing = m.tag.lower(), m.slash
         if tag in DROPPED:
             if closing:
                 if open_at[tag]:
-                    out[open_at[tag].pop()[0]] = m.end()
-            elif tag in DRAWINGS and m.group(4).endswith("/"):
-                out[m.start()] = m.end()
+                    out[open_at[tag].pop()[0]] = m.end
+            elif tag in DRAWINGS and m.attributes.endswith("/"):
+                out[m.begin] = m.end
             else:
                 if tag in ALONE:
                     open_at[tag].clear()
-                open_at[tag].append((m.start(), depth))
+                open_at[tag].append((m.begin, depth))
             continue
         if tag in INTEGRATION:
             integrated = max(0, integrated + (-1 if closing else 1))
@@ -137,6 +211,7 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page, scored."""
     out: list[Block] = []
     stack: list[tuple[str, float, int]] = [("", 0.0, 0)]
+    opened: Counter[str] = Counter()      # how many of each tag the stack holds
     held, linked, in_link, own, tag_of_block, count = [], 0, 0, 0.0, "", 0
     marked_content = False
 
@@ -155,18 +230,18 @@ def blocks(page: str) -> list[Block]:
         if in_link:
             linked += len(text.strip())
 
-    at, tags = 0, list(PIECE.finditer(page))
+    at, tags = 0, list(markup(page))
     dropped = closed(tags)
     for m in tags:
-        if m.start() < at:  # inside of a dropped element
+        if m.begin < at:  # inside of a dropped element
             continue
-        if m.start() > at:
-            add(page[at:m.start()])
-        at = dropped.get(m.start(), m.end())
-        tag = m.group(3)
+        if m.begin > at:
+            add(page[at:m.begin])
+        at = dropped.get(m.begin, m.end)
+        tag = m.tag
         if tag is None or tag.lower() in DROPPED:
             continue
-        tag, closing, attributes = tag.lower(), m.group(2), m.group(4)
+        tag, closing, attributes = tag.lower(), m.slash, m.attributes
         if tag == "br":
             held.append(" ")
         elif tag == "a":
@@ -177,12 +252,12 @@ def blocks(page: str) -> list[Block]:
         elif closing:
             if tag in BLOCK:
                 close()
-            if any(x[0] == tag for x in reversed(stack)):
+            if opened[tag]:
                 if tag not in BLOCK:
                     close()
                 while stack[-1][0] != tag:
-                    stack.pop()
-                stack.pop()
+                    opened[stack.pop()[0]] -= 1
+                opened[stack.pop()[0]] -= 1
         else:
             marked = attributes and "=" in attributes and tag not in HOLDERS and BOILERPLATE.search(names(attributes))
             if tag in BLOCK or marked:
@@ -191,6 +266,7 @@ def blocks(page: str) -> list[Block]:
                 count += 1
                 marked_content = marked_content or tag in CONTENT_TAGS
                 stack.append((tag, holder_score(tag, attributes, stack[-1][1]), count))
+                opened[tag] += 1
             elif tag in BLOCK:
                 tag_of_block = tag
                 if attributes:

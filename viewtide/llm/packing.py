@@ -53,7 +53,7 @@ class Encoder:
     def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.words, self.parts = most, {}, {}
         self.model = self.tokenizer.model
         self.letters = byte_letters()
@@ -74,7 +74,9 @@ class Encoder:
         parts, other = self.parts, []
         for w in words:
             text = w.decode()
-            if text.isascii() or PLAIN.fullmatch(text):
+            if any(x in text for x in self.special):      # such a token may stand inside a word
+                other.append(w)
+            elif text.isascii() or PLAIN.fullmatch(text):
                 low = text.lower()
                 if low.isalpha():
                     self.words[w] = parts.get(low) or self.part(low)

@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from viewtide.llm import common, spans
 
 #: The strict kinds. A run of letters or digits is entered at its begin or where the last match ended, and
-#: taken whole, which gives the matches of the plain patterns in linear time.
+#: taken whole, which gives the matches of the plain patterns in linear time. Repeated groups are possessive or of bounded
+#: number, so that the matcher runs them as loops: its stack does not grow with the text.
 BASE = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
