@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from viewtide import schemas
 from viewtide.operators import ar_search as A, publish as P, series as S
 from viewtide.session import staged
-from viewtide.sources import files
+from viewtide.sources import files, publication
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,9 @@ def run_forecasts_for_reports(usage: DataFrame, run: P.Run, horizon: int = P.HOR
 
 
 def save_latest_outputs(tables: ForecastTables, run: P.Run, paths: ForecastPaths) -> None:
-    """Overwrite the latest forecasts (placeholder row if none) and metrics."""
-    P.with_placeholder(tables.forecasts, run).write.mode("overwrite").parquet(paths.forecasts_latest)
-    tables.metrics.write.mode("overwrite").parquet(paths.metrics_latest)
+    """Replace the latest forecasts (placeholder row if none) and metrics; a run that dies leaves the tables before or after."""
+    publication.publish(P.with_placeholder(tables.forecasts, run), paths.forecasts_latest)
+    publication.publish(tables.metrics, paths.metrics_latest)
 
 
 def append_forecasts_history(forecasts: DataFrame, run: P.Run, path: str) -> None:
@@ -124,13 +124,13 @@ def silver_daily_views(bronze: DataFrame) -> DataFrame:
 
 
 def refresh_layers(bronze: DataFrame, root: str, run: P.Run, **options) -> ForecastTables:
-    """Bronze events to the silver table to the gold tables, each overwritten; all of it on executors."""
+    """Bronze events to the silver table to the gold tables, each replaced as a whole; all of it on executors."""
     paths = ForecastPaths(root)
     spark = bronze.sparkSession
-    silver_daily_views(bronze).write.mode("overwrite").parquet(paths.silver_report_daily_views)
+    publication.publish(silver_daily_views(bronze), paths.silver_report_daily_views)
     silver = spark.read.parquet(paths.silver_report_daily_views)
     tables = run_forecasts_for_reports(silver, run, report_id_col="report_id", name_col="report_name",
                                        date_col="date", views_col="actual_views", **options)
-    tables.forecasts.write.mode("overwrite").parquet(paths.gold_report_forecasts_latest)
-    tables.metrics.write.mode("overwrite").parquet(paths.gold_report_metrics_latest)
+    publication.publish(tables.forecasts, paths.gold_report_forecasts_latest)
+    publication.publish(tables.metrics, paths.gold_report_metrics_latest)
     return tables

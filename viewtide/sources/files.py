@@ -9,6 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from viewtide import schemas
+from viewtide.sources import publication
 
 TABLE_ORDER = {
     "dim_date": ["date"],
@@ -79,7 +80,7 @@ def replace_run(df: DataFrame, path: str, run_id: str) -> None:
     """
     if not re.fullmatch(r"[\w.-]+", run_id):
         raise ValueError(f"run id {run_id!r} may hold letters, digits, '_', '.' and '-' only")
-    df.drop("run_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id}")
+    publication.publish(df.drop("run_id"), f"{path.rstrip('/')}/run_id={run_id}")
 
 
 def append_rows(df: DataFrame, path: str) -> None:
