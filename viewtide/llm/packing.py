@@ -53,7 +53,7 @@ class Encoder:
     def __init__(self, path: str, most: int = 250_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most, self.words, self.parts = most, {}, {}
         self.model = self.tokenizer.model
         self.letters = byte_letters()
@@ -68,13 +68,14 @@ class Encoder:
         self.words.clear()
         self.parts.clear()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes], special: bool = True) -> None:
+        """Take up words; ``special`` says whether the text they come from holds a special token."""
         if len(self.parts) > self.most:
             self.parts.clear()
         parts, other = self.parts, []
         for w in words:
             text = w.decode()
-            if any(x in text for x in self.special):      # such a token may stand inside a word
+            if special and any(x in w for x in self.special):      # such a token may stand inside a word
                 other.append(w)
             elif text.isascii() or PLAIN.fullmatch(text):
                 low = text.lower()
@@ -89,13 +90,14 @@ class Encoder:
 
     def ids(self, text: bytes) -> bytes:
         words, known, out = text.split(), self.words, []
+        special = any(x in text for x in self.special)
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at:at + WORDS_AT_ONCE]
             if len(known) > self.most:
                 known.clear()
             missing = set(some).difference(known)
             if missing:
-                self.learn(missing)
+                self.learn(missing, special)
             out.append(b"".join([known[w] for w in some]))
         return b"".join(out)
 
