@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from viewtide import schemas
 from viewtide.operators import ar_search as A, publish as P, series as S
 from viewtide.session import staged
-from viewtide.sources import files, publication
+from viewtide.sources import files, histories, publication
 
 
 @dataclass(frozen=True)
@@ -91,15 +91,24 @@ def update_realized_errors(usage: DataFrame, paths: ForecastPaths, realized_at:
 def append_realized_errors(actuals: DataFrame, paths: ForecastPaths, realized_at: datetime) -> DataFrame:
     """The same from stored daily actuals.
 
-    Forecasts realised before and days that have not come are left out before anything is joined. The new rows are staged
-    before they are appended: the plan reads the table it appends to.
+    Only the parts of both histories (run and month) that changed since the last call are read; forecasts realised before
+    and days that have not come are left out before anything is joined. The new rows are staged before they are appended:
+    the plan reads the table it appends to. Marks follow the rows: a call that dies in between is repeated by the next one,
+    which adds nothing twice.
     """
     spark = actuals.sparkSession
-    history = files.read_history(spark, paths.forecasts_history, schemas.FORECAST_HISTORY)
-    existing = files.read_history(spark, paths.realized_errors_history, schemas.REALIZED_ERRORS)
+    written = publication.Folder(spark, paths.realized_errors_history).exists()
+    before = histories.stored_marks(spark, paths.realized_errors_marks) if written else {}
+    marks = histories.current_marks(actuals, paths.forecasts_history, schemas.FORECAST_HISTORY)
+    parts = [name for name, mark in marks.items() if before.get(name) != mark]
+    if not parts:
+        return spark.createDataFrame([], schemas.REALIZED_ERRORS)
+    history = histories.read_parts(spark, paths.forecasts_history, schemas.FORECAST_HISTORY, parts)
+    existing = histories.read_parts(spark, paths.realized_errors_history, schemas.REALIZED_ERRORS, parts)
     until = actuals.agg(F.max("date")).scalar()
     new = staged(P.realized_errors(history.where(F.col("target_date") <= until), actuals, existing, realized_at), "realized")
     files.append_rows(new, paths.realized_errors_history)
+    histories.store_marks(spark, before | marks, paths.realized_errors_marks)
     return new
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,13 +63,15 @@ def recover(spark: SparkSession, path: str) -> None:
         folder.remove(left)
 
 
-def publish(df: DataFrame, path: str) -> None:
-    """Replace the table at ``path`` by ``df``, which may read the table it replaces. One writer at a time."""
+def publish(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """Replace the table at ``path`` by ``df``, which may read the table it replaces. One writer at a time.
+
+    ``by`` names partition columns below the path."""
     spark = df.sparkSession
     recover(spark, path)
     folder, mark = Folder(spark, path), uuid.uuid4().hex
     new, old = f"{folder.aside(NEW)}-{mark}", f"{folder.aside(OLD)}-{mark}"
-    df.write.parquet(new)
+    df.write.partitionBy(*by).parquet(new)
     swap(folder, new, old)
 
 
