@@ -55,10 +55,54 @@ def test_sketches_merge(spark):
     limits = quality.fences(whole, [], 2.0).first()
     lengths = sorted(r.word_chars / r.n_words for r in docs.where(~quality.base_failed()).collect())
     quarter = lambda q: lengths[int(len(lengths) * q)]
-    width = 2 * max(quarter(.75) - quarter(.25), quality.MEASURES["word_length"][0])
+    width = 2 * (quarter(.75) - quarter(.25))
     assert limits.word_length_high == pytest.approx(quarter(.5) + width, rel=0.04)
 
 
+COUNTS = "lang string, source string, " + quality.SCHEMA
+
+
+def habits(source, length, usual, junk, n=600, every=10):
+    """Counts of documents of 10,000 words and 1,000 lines: ``usual`` to twice as many of everything, or ``junk``."""
+    rng = random.Random(usual)
+    rows = []
+    for i in range(n):
+        some = [junk] * 5 if i % every == 0 else [rng.randint(usual, 2 * usual) for _ in range(5)]
+        symbols, dup, repeated, capitals, exclamations = some
+        rows.append(("en", source, 10_000, int(10_000 * length * rng.uniform(0.98, 1.02)), symbols, dup // 10, repeated, 1000,
+                     capitals, exclamations))
+    return rows
+
+
+def test_groups_of_different_habits_have_different_fences(spark):
+    rows = habits("a", 4.0, 20, 1000) + habits("b", 8.0, 100, 1900) + habits("few", 4.0, 20, 1000, n=40)
+    got = {r.source: r for r in quality.thresholds(spark.createDataFrame(rows, COUNTS)).collect()}
+    assert (got["a"].level, got["b"].level, got["few"].level) == ("source", "source", "lang")
+    for m, size in quality.RATES.items():
+        a, b = got["a"][f"{m}_high"], got["b"][f"{m}_high"]
+        assert 0.004 < a < 0.03 and 0.02 < b < 0.19 and b > 3 * a, m      # above the usual, below the junk of each
+    assert got["a"].word_length_high < got["b"].word_length_low
+
+
+def test_rates_without_a_valley_have_no_fence(spark):
+    rng = random.Random(1)
+    rows = [("en", "s", 1000, 5000, *[int(rng.paretovariate(0.9)) - 1 if rng.random() < 0.3 else 0 for _ in range(2)],
+             0, 1000, 0, 0) for _ in range(3000)]
+    got = quality.thresholds(spark.createDataFrame(rows, COUNTS)).first()
+    assert [got[f"{m}_high"] for m in quality.RATES] == [None] * 5
+
+
+def test_fences_against_plain_counting(spark):
+    """The lowest stretch of factor 8 above three quarters of the values that holds ten times fewer than lie beyond."""
+    rows = habits("a", 4.0, 20, 1000) + habits("a", 5.0, 1, 400, every=25)
+    got = quality.thresholds(spark.createDataFrame(rows, COUNTS)).first()
+    values = sorted(r[4] / r[2] for r in rows)
+    inside = lambda low, high: sum(low < v <= high for v in values)
+    lows = [v for v in values if inside(-1, v) >= 0.75 * len(values)
+            and inside(v * 8, 2) >= quality.DEEP * (inside(v, 8 * v) + 1)]
+    assert got.symbols_per_word_high == pytest.approx(lows[0] * 8 ** 0.5, rel=0.05)
+
+
 def test_quality_empty_and_nulls(spark):
     assert quality.quality(empty(spark)).collect() == []
     rows = spark.createDataFrame([(None, None, None, None, None)] * 2, plain.DOCS)
