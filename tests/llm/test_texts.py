@@ -386,6 +386,27 @@ def test_tiling(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).collect() == []
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    bench = spark.createDataFrame([(1, "Alpha beta, gamma delta"), (2, "東京は日本の首都です"), (3, "solo"), (4, "..."), (5, None),
+                                   (6, "two words")], "item_id bigint, text string")
+    texts = ["alpha BETA gamma delta", "x alpha beta gamma delta y alpha beta gamma delta", "alpha beta gamma", "beta alpha gamma delta",
+             "答え:東京は日本の首都です。", "東京は大きい", "Solo", "solos two-words", "", None, "two " + LONG + "words"]
+    docs = plain.documents(spark, list(enumerate(texts)))
+    got = sorted((r.doc_id, r.item_id, r.matched_tokens, r.n_tiles, r.coverage) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == [(0, 1, 4, 1, 1.0), (1, 1, 4, 1, 1.0), (4, 2, 10, 1, 1.0), (6, 3, 1, 1, 1.0), (7, 6, 2, 1, 1.0)]
+    left = decontaminate.clean_documents(docs, bench)
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 5, 8, 9, 10]
+
+
+def test_short_items_against_plain_search(spark):
+    rng = random.Random(8)
+    words = lambda n: " ".join(rng.choice("abcdef") for _ in range(n))
+    items, texts = [words(rng.randint(1, 4)) for _ in range(30)], [words(rng.randint(0, 12)) for _ in range(200)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(plain.documents(spark, list(enumerate(texts))), bench).collect()}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if f" {x} " in f" {t} "}
+
+
 def test_tiling_against_plain_search():
     """Greedy string tiling by comparing all places."""
     rng = random.Random(6)
