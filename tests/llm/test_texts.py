@@ -290,6 +290,48 @@ def test_personal_data_adds_candidates_with_context(spark, sample):
     assert got == {10**6 + i: "ssn:4:15" for i in range(30)} | {10**7: ""}
 
 
+def iban(rng, country="DE", n=18):
+    body = "".join(rng.choice("0123456789") for _ in range(n))
+    check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    flat = f"{country}{check:02}{body}"
+    return " ".join(flat[i:i + 4] for i in range(0, len(flat), 4))
+
+
+def planted_spans(rng):
+    """(text, kind or None): spans of every wide kind, and what only looks like them."""
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    name = rng.choice(["Maria", "Robert", "Hans", "Xyla"])
+    good = iban(rng)
+    return [(f"My SSN is {number(2)}1-{number(2)}-{number(4)} thanks", "ssn"), (f"please call {number(3)}-{number(3)}-{number(4)} today", "local_phone"),
+            (f"pay to IBAN {good} soon", "iban"), (f"we saw {good} there", "iban"), (f"write to jo{number(2)} (at) example (dot) com ok", "masked_email"),
+            (f"see jo{number(2)}[at]site{number(1)}.org or", "masked_email"), (f"signed, Dr. {name} Lopez of", "person"),
+            (f"build {number(2)}1-{number(2)}-{number(4)} done", None), (f"lot {number(3)}-{number(3)}-{number(4)} stored", None),
+            (f"see code {good[:-1]}{(int(good[-1]) + 1) % 10} there", None), (f"we met at noon. Then {number(2)} left", None)]
+
+
+def test_the_classifier_adds_planted_spans_of_every_kind(spark):
+    """Precision and recall of the added spans beside the given texts, whose wide candidates are all sentences."""
+    rng = random.Random(12)
+    planted = [x for _ in range(40) for x in planted_spans(rng)]
+    given = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    rows = given + [(10**7 + i, t) for i, (t, _) in enumerate(planted)]
+    added = {r.doc_id: [x.split(":")[0] for x in r.spans.split(",") if x.split(":")[0] in pii.WIDE]
+             for r in pii.personal_data(plain.documents(spark, rows)).where("n_added > 0").collect()}
+    assert not [i for i in added if i < 10**7]
+    hits = [(kind, added.get(10**7 + i, [])) for i, (_, kind) in enumerate(planted)]
+    for kind in pii.WIDE:
+        mine = [kind in got for want, got in hits if want == kind]
+        assert sum(mine) >= 0.9 * len(mine), kind
+    wrong = sum(len([k for k in got if k != want]) for want, got in hits)
+    assert wrong <= 0.05 * sum(len(got) for _, got in hits)
+
+
+def test_account_check_digits(spark):
+    rows = [("DE89 3704 0044 0532 0130 00", True), ("GB29NWBK60161331926819", True), ("DE88 3704 0044 0532 0130 00", False), ("FR14 2004 1010 0505 0001 3M02 606", True)]
+    got = spark.createDataFrame(rows, "found string, want boolean").select("want", pii.iban_check(F.col("found")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
 def test_labeler_accuracies(spark):
     """Expectation-maximisation finds which labelers are good."""
     rng = random.Random(2)
@@ -298,8 +340,9 @@ def test_labeler_accuracies(spark):
     for _ in range(6000):
         true = rng.random() < 0.6
         rows.append(tuple((1 if (rng.random() < a) == true else -1) if rng.random() < 0.8 else 0 for a in accuracy.values()))
-    prior, found = pii.estimate(spark.createDataFrame(rows, ", ".join(f"{v} int" for v in pii.LABELERS)))
-    assert prior == pytest.approx(0.6, abs=0.05)
+    votes = spark.createDataFrame(rows, ", ".join(f"{v} int" for v in pii.LABELERS)).withColumn("kind", F.lit("ssn"))
+    priors, found = pii.estimate(votes)
+    assert priors["ssn"] == pytest.approx(0.6, abs=0.05)
     assert all(found[v] == pytest.approx(a, abs=0.05) for v, a in accuracy.items())
 
 
