@@ -70,3 +70,21 @@ def test_forecast_stage_with_other_columns(spark, tmp_path):
     jobs.main(["forecast", "--usage", usage, "--out", out, "--run-id", "r1", "--run-time", "2001-11-05T06:00:00", "--format", "csv",
                "--date-col", "d", "--views-col", "n", "--horizon", "5"])
     assert spark.read.parquet(out + "/metrics_latest").count() > 0
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "csv"])
+def test_layers_stage(spark, tmp_path, fmt):
+    """Two deliveries of events through the command line."""
+    out = str(tmp_path / "out")
+    rows = Telemetry(spark, SF).usage_c().select(F.col("Report Guid").alias("report_id"), F.col("Report Name").alias("report_name"),
+                                                 F.col("Date").alias("date"), F.col("Occurrences").alias("occurrences"))
+    early = F.year("date") < 1996
+    for i, some in enumerate((early, ~early)):
+        events = str(tmp_path / f"events{i}")
+        rows.where(some).write.format(fmt).option("header", True).save(events)
+        jobs.main(["layers", "--events", events, "--out", out, "--run-id", f"r{i}", "--run-time", "2001-11-05T06:00:00",
+                   "--format", fmt, "--unit", "year", "--horizon", "5"])
+    silver = spark.read.parquet(out + "/silver_report_daily_views")
+    assert silver.agg(F.sum("actual_views")).first()[0] == rows.agg(F.sum("occurrences")).first()[0]
+    assert silver.count() == rows.select("report_id", "report_name", "date").distinct().count()
+    assert spark.read.parquet(out + "/gold_report_metrics_latest").count() > 0

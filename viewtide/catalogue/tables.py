@@ -12,7 +12,7 @@ from viewtide.functions import columns as C, guards
 from viewtide.operators import adoption, engagement, performance, quality, series, star_schema
 from viewtide.plans import forecasting, marts
 from viewtide.session import scratch_path
-from viewtide.sources import files
+from viewtide.sources import files, periods
 from viewtide.sources.calendar import calendar_of
 
 # Sources and sinks ----------------------------------------------------------------------------------
@@ -73,6 +73,24 @@ def layers_bronze_silver_gold(data: Data) -> DataFrame:
     return data.spark.read.parquet(path)
 
 
+@query("layers_incremental", uses="usage_c", sql="""
+    SELECT "Report Guid" AS report_id, "Report Name" AS report_name, "Date" AS date, sum("Occurrences")::DOUBLE AS actual_views,
+           date_trunc('quarter', "Date")::DATE AS period, date_trunc('quarter', "Date") >= DATE '1998-01-01' OR date_trunc('quarter', "Date") = DATE '1995-04-01' AS made_anew
+    FROM usage_c GROUP BY ALL""")
+def layers_incremental(data: Data) -> DataFrame:
+    """Silver by quarter in two refreshes: the second one gets the days since 1998 and the late ones of a day of 1995, and
+    makes these quarters anew and no other."""
+    events = data.usage_c().select(F.col("Report Guid").alias("report_id"), F.col("Report Name").alias("report_name"),
+                                   F.col("Date").alias("date"), F.col("Occurrences").alias("occurrences"))
+    later = (F.col("date") >= F.lit(date(1998, 1, 1))) | (F.col("date") == F.lit(date(1995, 5, 17)))
+    root, made = scratch_path(data.spark, "layers"), []
+    for some in (~later, later):
+        forecasting.add_bronze(events.where(some), root, "quarter")
+        made = forecasting.refresh_silver(data.spark, root)
+    silver = periods.read(data.spark, forecasting.ForecastPaths(root).silver_report_daily_views, schemas.SILVER)
+    return silver.withColumn("made_anew", periods.part().isin(made))
+
+
 @query("snk_tables", uses="mart_b", doubles="views_per_user", sql="SELECT * FROM mart_b")
 def snk_tables(data: Data) -> DataFrame:
     """A mart stored twice (the second time over the first) and read back."""

@@ -6,12 +6,12 @@ from collections.abc import Collection
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from viewtide import schemas
 from viewtide.operators import ar_search as A, publish as P, series as S
 from viewtide.session import staged
-from viewtide.sources import files, histories, publication
+from viewtide.sources import files, histories, periods, publication
 
 
 @dataclass(frozen=True)
@@ -127,19 +127,54 @@ def run_forecasts(usage: DataFrame, run: P.Run, root: str, realized_at: datetime
     return tables
 
 
-def silver_daily_views(bronze: DataFrame) -> DataFrame:
-    """Raw usage events (report_id, report_name, date, occurrences) to daily views."""
-    return bronze.groupBy("report_id", "report_name", "date").agg(F.sum("occurrences").alias("actual_views"))
+def silver_daily_views(bronze: DataFrame, *also: str) -> DataFrame:
+    """Raw usage events (report_id, report_name, date, occurrences) to daily views; ``also`` are columns that follow from the date."""
+    return bronze.groupBy("report_id", "report_name", "date", *also).agg(F.sum("occurrences").alias("actual_views"))
 
 
-def refresh_layers(bronze: DataFrame, root: str, run: P.Run, **options) -> ForecastTables:
-    """Bronze events to the silver table to the gold tables, each replaced as a whole; all of it on executors."""
+def add_bronze(events: DataFrame, root: str, unit: str = "day") -> None:
+    """Append raw usage events to the bronze table, which is stored by ``unit`` of the event's day. Days may come late."""
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.BRONZE]
+    periods.append(events.select(*columns), ForecastPaths(root).bronze_report_usage, "date", "report_id", unit)
+
+
+def refresh_silver(spark: SparkSession, root: str) -> list[str]:
+    """Bring the silver table up to date with the bronze one; returns the periods made anew.
+
+    Only the bronze files of periods that have changed since the last call are read, and only their parts are written.
+    """
+    paths = ForecastPaths(root)
+    return periods.refresh(spark, paths.bronze_report_usage, schemas.BRONZE, paths.silver_report_daily_views, paths.silver_marks,
+                           lambda rows: silver_daily_views(rows, periods.PERIOD), "report_id")
+
+
+def refresh_gold(silver: DataFrame, root: str, run: P.Run, **options) -> ForecastTables:
+    """Silver daily views to the gold tables, each replaced as a whole."""
     paths = ForecastPaths(root)
-    spark = bronze.sparkSession
-    publication.publish(silver_daily_views(bronze), paths.silver_report_daily_views)
-    silver = spark.read.parquet(paths.silver_report_daily_views)
     tables = run_forecasts_for_reports(silver, run, report_id_col="report_id", name_col="report_name",
                                        date_col="date", views_col="actual_views", **options)
     publication.publish(tables.forecasts, paths.gold_report_forecasts_latest)
     publication.publish(tables.metrics, paths.gold_report_metrics_latest)
     return tables
+
+
+def update_layers(events: DataFrame, root: str, run: P.Run, unit: str = "day", **options) -> ForecastTables:
+    """New events to bronze, their periods to silver, gold anew: the work below gold grows with the new events' periods.
+
+    A call that dies after the events were appended is not repeated with the same events; ``refresh_silver`` goes on from there.
+    """
+    spark = events.sparkSession
+    add_bronze(events, root, unit)
+    refresh_silver(spark, root)
+    silver = periods.read(spark, ForecastPaths(root).silver_report_daily_views, schemas.SILVER)
+    return refresh_gold(silver.drop(periods.PERIOD), root, run, **options)
+
+
+def refresh_layers(bronze: DataFrame, root: str, run: P.Run, **options) -> ForecastTables:
+    """Bronze events to the silver table to the gold tables, each replaced as a whole; all of it on executors.
+
+    For events that are not kept as the bronze table of ``update_layers``; the two are not mixed below one root.
+    """
+    paths = ForecastPaths(root)
+    publication.publish(silver_daily_views(bronze), paths.silver_report_daily_views)
+    return refresh_gold(bronze.sparkSession.read.parquet(paths.silver_report_daily_views), root, run, **options)

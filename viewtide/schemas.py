@@ -60,3 +60,7 @@ REALIZED_ERRORS = schema(
     "run_id string, report_id string, report_name string, target_date date, horizon_days int, forecast_views double, "
     "actual_views double, error double, abs_error double, pct_error double, run_timestamp timestamp_ntz, "
     "realized_at timestamp_ntz, model_name string")
+
+#: Raw usage events and the daily views made of them.
+BRONZE = schema("report_id string, report_name string, date date, occurrences double")
+SILVER = schema("report_id string, report_name string, date date, actual_views double")
