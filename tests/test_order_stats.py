@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from viewtide.functions import columns as C
+from viewtide.functions import order_stats
 from viewtide.functions.order_stats import exact_percentiles, in_order, top_share
 
 
@@ -77,3 +78,67 @@ def test_top_share(spark, kind):
         size = max(1, math.ceil(len(values) * 0.10))
         assert got[key]["users"] == len(values)
         assert got[key]["_top"] == pytest.approx(sum(sorted(values)[-size:]))
+
+
+PROBS = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p100": 1.0}
+
+
+def columns_of(spark, n):
+    """Columns of several kinds: spread out, nearly all equal, heavy-tailed, few values with gaps, mostly missing, none."""
+    draw = np.random.default_rng(n)
+    return {"flat": draw.random(n), "ties": np.where(draw.random(n) < 0.9, 7.0, draw.random(n)), "tail": np.exp(draw.normal(0, 20, n)),
+            "few": draw.integers(0, 3, n).astype(float), "ends": np.where(draw.random(n) < 0.3, np.inf, draw.normal(size=n)),
+            "sparse": [float(x) if x < 50 else None for x in draw.integers(0, 1000, n)], "none": [None] * n}
+
+
+def table(spark, columns):
+    rows = zip(*[[None if x is None else float(x) for x in c] for c in columns.values()])
+    return spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in columns)).repartition(5)
+
+
+@pytest.mark.parametrize("n", [1, 2, 37, 30_000])
+def test_column_percentiles(spark, n):
+    columns = columns_of(spark, n)
+    got, also = order_stats.column_percentiles(table(spark, columns), list(columns), PROBS, {"few": [F.max("few"), F.count("few")]})
+    got = {r["column"]: r for r in got.collect()}
+    assert also["few"] == [max(columns["few"]), n] and also["flat"] == []
+    for name, values in columns.items():
+        values = sorted(x for x in values if x is not None)
+        assert (name in got) == bool(values)
+        for prob, at in PROBS.items() if values else ():
+            place = at * (len(values) - 1)
+            low, high = values[math.floor(place)], values[math.ceil(place)]
+            want = low if low == high else low + (high - low) * (place - math.floor(place))
+            assert got[name][prob] == pytest.approx(want, rel=1e-12), (name, prob)
+
+
+def test_column_percentiles_shuffle_little(spark, monkeypatch):
+    """Of a long column only the neighbourhood of the wanted ranks is put in order, and equal values as one row."""
+    sizes, whole = [], order_stats.in_order
+
+    def counted(rows, *args, **kwargs):
+        sizes.append(rows.count())
+        return whole(rows, *args, **kwargs)
+
+    monkeypatch.setattr(order_stats, "in_order", counted)
+    n = 60_000
+    columns = {k: v for k, v in columns_of(spark, n).items() if k in ("flat", "ties", "tail")}
+    order_stats.column_percentiles(table(spark, columns), list(columns), {"p25": 0.25, "p50": 0.5, "p75": 0.75})[0].collect()
+    assert sizes[0] < 0.02 * n * len(columns)
+
+
+@pytest.mark.parametrize("low, high", [(0.0, 0.0), (1.0, 1.0), (0.5, 0.2)])
+def test_column_percentiles_with_bad_sketches(spark, monkeypatch, low, high):
+    """Ranges that miss their ranks are found out, and the whole column is taken."""
+    monkeypatch.setattr(F, "percentile_approx", lambda value, shares, accuracy: F.array(*[F.lit(x) for _ in shares[::2] for x in (low, high)]))
+    values = np.random.default_rng(1).random(20_000)
+    got = order_stats.column_percentiles(table(spark, {"v": values}), ["v"], PROBS)[0].first()
+    assert [got[p] for p in PROBS] == pytest.approx(np.quantile(values, list(PROBS.values())), rel=1e-12)
+
+
+def test_column_percentiles_not_a_number_is_largest(spark):
+    values = [1.0] * 6_000 + [float("nan")] * 6_000 + [2.0] * 6_000
+    got = order_stats.column_percentiles(table(spark, {"a b": values}), ["a b"], {"low": 0.1, "mid": 0.5, "top": 0.9})[0].first()
+    assert (got.low, got.mid) == (1.0, 2.0) and math.isnan(got.top)
+    empty = order_stats.column_percentiles(table(spark, {"v": [1.0]}).where("false"), ["v"], PROBS)[0]
+    assert empty.columns == ["column", *PROBS] and empty.count() == 0

@@ -8,13 +8,20 @@ the wanted rows are read off by their place. NaN is the largest value, as in Spa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from viewtide.functions import columns as C
 from viewtide.session import staged
 
+#: Sketches that narrow a column down miss a rank by at most this share of the rows; shorter columns are taken whole.
+SKETCH_ACCURACY = 1000
+LEAST_ROWS = 10 * SKETCH_ACCURACY
+
 PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
 
 
@@ -60,11 +67,111 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         low = F.max(F.when(of & (F.col("_side") == "low"), F.col("_v")))
         high = F.max(F.when(of & (F.col("_side") == "high"), F.col("_v")))
         frac = F.max(F.when(of, F.col("_frac")))
-        # between equal values, infinite ones too, there is nothing to interpolate
-        aggs.append(F.when((frac == 0) | (low == high), low).otherwise(low + (high - low) * frac).alias(name))
+        aggs.append(interpolated(low, high, frac).alias(name))
     return hits.groupBy(*keys).agg(*aggs)
 
 
+def interpolated(low: Column, high: Column, share: Column) -> Column:
+    """Value between two neighbours; between equal values, infinite ones too, there is nothing to interpolate."""
+    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
+
+
+@dataclass
+class Range:
+    """Where the wanted ranks of one column lie: all values from ``low`` to ``high`` (None: no bound), ``below`` being smaller."""
+
+    column: str
+    prob: str
+    at: float
+    rows: int
+    low: float | None
+    high: float | None
+    below: int = 0
+
+    @property
+    def position(self) -> float:
+        return self.at * (self.rows - 1)
+
+    @property
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
+
+    def value(self) -> Column:
+        return C.quoted(self.column).cast("double")
+
+    def beneath(self) -> Column:
+        return F.lit(False) if self.low is None else self.value() < F.lit(self.low)
+
+    def inside(self) -> Column:
+        bounds = ([] if self.low is None else [self.value() >= F.lit(self.low)]) + (
+            [] if self.high is None else [self.value() <= F.lit(self.high)])
+        return reduce(Column.__and__, bounds, self.value().isNotNull())
+
+
+def narrow_ranges(df: DataFrame, names: Sequence[str], probs: Mapping[str, float], also: Mapping[str, Sequence[Column]],
+                  accuracy: int = SKETCH_ACCURACY) -> tuple[list[Range], dict[str, list]]:
+    """Short ranges that hold the wanted ranks, from mergeable sketches, and the aggregates ``also`` of each column: one scan.
+
+    A second scan counts what lies below and inside; a range that misses its ranks is given up for the whole column.
+    """
+    slack = 2 / accuracy
+    shares = [share for at in probs.values() for share in (max(0.0, at - slack), min(1.0, at + slack))]
+    aggregates = []
+    for name in names:
+        value = C.quoted(name).cast("double")
+        aggregates += [F.count(value), F.percentile_approx(value, shares, accuracy), *also.get(name, ())]
+    row, found, extra, at = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first(), [], {}, 0
+    for name in names:
+        rows, bounds, more = row[at], row[at + 1], len(also.get(name, ()))
+        extra[name], at = list(row[at + 2:at + 2 + more]), at + 2 + more
+        for i, (prob, share) in enumerate(probs.items()):
+            low, high = (None, None) if rows < LEAST_ROWS else bounds[2 * i:2 * i + 2]
+            if rows:
+                found.append(Range(name, prob, float(share), rows, low if share > slack else None,
+                                   high if share < 1 - slack else None))
+    if found:
+        counts = df.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(c for r in found for c in (r.beneath(), r.inside()))]).first()
+        for i, one in enumerate(found):
+            one.below, inside = counts[2 * i:2 * i + 2]
+            if not (one.below <= one.ranks[0] and one.ranks[1] < one.below + inside):
+                one.below, one.low, one.high = 0, None, None
+    return found, extra
+
+
+def column_percentiles(df: DataFrame, names: Sequence[str], probs: Mapping[str, float],
+                       also: Mapping[str, Sequence[Column]] | None = None) -> tuple[DataFrame, dict[str, list]]:
+    """Linear-interpolated percentiles of whole columns: (column, one column per entry of ``probs``), and aggregates ``also``.
+
+    Nothing is sorted or shuffled but the distinct values inside the short ranges that hold the wanted ranks, below two
+    per cent of a long column. ``df`` is scanned three times: it should be a stored table. Missing values are ignored, a
+    column without values has no row.
+    """
+    ranges, extra = narrow_ranges(df, names, probs, also or {})
+    spark = df.sparkSession
+    asks = spark.createDataFrame([(i, r.column, r.prob, r.ranks[0] - r.below, r.ranks[1] - r.below, r.position - r.ranks[0])
+                                  for i, r in enumerate(ranges)],
+                                 "_ask int, column string, _prob string, _low bigint, _high bigint, _frac double")
+    if not ranges:
+        return asks.select("column", *[F.lit(None).cast("double").alias(p) for p in probs]), extra
+    wanted = F.filter(F.array(*[F.when(r.inside(), F.struct(F.lit(i).alias("_ask"), r.value().alias("_v")))
+                                for i, r in enumerate(ranges)]), lambda x: x.isNotNull())
+    cells = df.select(F.inline(wanted)).groupBy("_ask", "_v").agg(F.count("*").alias("_n"))
+    cells = in_order(cells, ["_ask"], "_v")
+    chunks = (cells.groupBy("_ask", "_chunk").agg(F.sum("_n").alias("_sum"))
+              .withColumn("_before", running(["_ask"], F.col("_chunk"), "_sum") - F.col("_sum")))
+    # a chunk is looked into only if a wanted rank lies in it
+    chunks = (chunks.join(asks, "_ask").where((F.col("_before") <= F.col("_high")) & (F.col("_low") < F.col("_before") + F.col("_sum"))))
+    placed = cells.join(chunks, ["_ask", "_chunk"]).withColumn(
+        "_upto", F.col("_before") + running(["_ask", "_chunk"], F.col("_id"), "_n"))
+
+    def ranked(rank: str) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
+
+    hits = placed.groupBy("column", "_prob").agg(ranked("_low").alias("_lv"), ranked("_high").alias("_hv"), F.max("_frac").alias("_frac"))
+    read_off = interpolated(F.col("_lv"), F.col("_hv"), F.col("_frac"))
+    return hits.groupBy("column").agg(*[F.max(F.when(F.col("_prob") == p, read_off)).alias(p) for p in probs]), extra
+
+
 def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, size, integral: bool,
               also: Sequence[Column] = ()) -> DataFrame:
     """Sum of the ``size(users)`` largest values per key, from a histogram of values.
