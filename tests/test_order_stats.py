@@ -96,11 +96,12 @@ def table(spark, columns):
     return spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in columns)).repartition(5)
 
 
-@pytest.mark.parametrize("n", [1, 2, 37, 30_000])
-def test_column_percentiles(spark, n):
+@pytest.mark.parametrize("n, few", [(1, 100), (2, 1), (37, 5), (4_000, 60), (30_000, 100_000), (30_000, 300)])
+def test_column_percentiles(spark, monkeypatch, n, few):
+    """Whatever the number of rows that are put in order; with few of them several turns are taken."""
+    monkeypatch.setattr(order_stats, "FEW_ROWS", few)
     columns = columns_of(spark, n)
     got, also = order_stats.column_percentiles(table(spark, columns), list(columns), PROBS, {"few": [F.max("few"), F.count("few")]})
-    got = {r["column"]: r for r in got.collect()}
     assert also["few"] == [max(columns["few"]), n] and also["flat"] == []
     for name, values in columns.items():
         values = sorted(x for x in values if x is not None)
@@ -112,33 +113,37 @@ def test_column_percentiles(spark, n):
             assert got[name][prob] == pytest.approx(want, rel=1e-12), (name, prob)
 
 
-def test_column_percentiles_shuffle_little(spark, monkeypatch):
-    """Of a long column only the neighbourhood of the wanted ranks is put in order, and equal values as one row."""
-    sizes, whole = [], order_stats.in_order
+def test_column_percentiles_put_little_in_order(spark, monkeypatch):
+    """Of a long column only the neighbourhood of the wanted ranks is shuffled; ranks on a value of many rows need none of it."""
+    seen, whole = [], order_stats.read_off
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 1_000)
+    monkeypatch.setattr(order_stats, "read_off", lambda df, asks: seen.extend(asks) or whole(df, asks))
+    n = 60_000
+    columns = {k: v for k, v in columns_of(spark, n).items() if k in ("flat", "ties", "few")}
+    order_stats.column_percentiles(table(spark, columns), list(columns), {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    assert {one.column for one in seen} == {"flat"} and all(one.rows < 0.01 * n for one in seen)
 
-    def counted(rows, *args, **kwargs):
-        sizes.append(rows.count())
-        return whole(rows, *args, **kwargs)
 
-    monkeypatch.setattr(order_stats, "in_order", counted)
-    n = 60_000
-    columns = {k: v for k, v in columns_of(spark, n).items() if k in ("flat", "ties", "tail")}
-    order_stats.column_percentiles(table(spark, columns), list(columns), {"p25": 0.25, "p50": 0.5, "p75": 0.75})[0].collect()
-    assert sizes[0] < 0.02 * n * len(columns)
+@pytest.mark.parametrize("bad", [(0.0, 0.0), (1.0, 1.0), (0.2, 0.5)])
+def test_column_percentiles_with_bad_sketches(spark, monkeypatch, bad):
+    """Bounds that miss their rank cost turns and no result."""
+    monkeypatch.setattr(order_stats, "FEW_ROWS", 2_000)
+    real, calls = F.percentile_approx, []
 
+    def first_bad(value, shares, accuracy):
+        calls.append(shares)
+        return F.array(*[F.lit(x) for _ in shares[::2] for x in bad]) if len(calls) == 1 else real(value, shares, accuracy)
 
-@pytest.mark.parametrize("low, high", [(0.0, 0.0), (1.0, 1.0), (0.5, 0.2)])
-def test_column_percentiles_with_bad_sketches(spark, monkeypatch, low, high):
-    """Ranges that miss their ranks are found out, and the whole column is taken."""
-    monkeypatch.setattr(F, "percentile_approx", lambda value, shares, accuracy: F.array(*[F.lit(x) for _ in shares[::2] for x in (low, high)]))
+    monkeypatch.setattr(F, "percentile_approx", first_bad)
     values = np.random.default_rng(1).random(20_000)
-    got = order_stats.column_percentiles(table(spark, {"v": values}), ["v"], PROBS)[0].first()
+    got = order_stats.column_percentiles(table(spark, {"v": values}), ["v"], PROBS)[0]["v"]
     assert [got[p] for p in PROBS] == pytest.approx(np.quantile(values, list(PROBS.values())), rel=1e-12)
 
 
-def test_column_percentiles_not_a_number_is_largest(spark):
+@pytest.mark.parametrize("few", [100, 100_000])
+def test_column_percentiles_not_a_number_is_largest(spark, monkeypatch, few):
+    monkeypatch.setattr(order_stats, "FEW_ROWS", few)
     values = [1.0] * 6_000 + [float("nan")] * 6_000 + [2.0] * 6_000
-    got = order_stats.column_percentiles(table(spark, {"a b": values}), ["a b"], {"low": 0.1, "mid": 0.5, "top": 0.9})[0].first()
-    assert (got.low, got.mid) == (1.0, 2.0) and math.isnan(got.top)
-    empty = order_stats.column_percentiles(table(spark, {"v": [1.0]}).where("false"), ["v"], PROBS)[0]
-    assert empty.columns == ["column", *PROBS] and empty.count() == 0
+    got = order_stats.column_percentiles(table(spark, {"a b": values}), ["a b"], {"low": 0.1, "mid": 0.5, "top": 0.9})[0]["a b"]
+    assert (got["low"], got["mid"]) == (1.0, 2.0) and math.isnan(got["top"])
+    assert order_stats.column_percentiles(table(spark, {"v": [1.0]}).where("false"), ["v"], PROBS) == ({}, {"v": []})

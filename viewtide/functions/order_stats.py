@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from viewtide.functions import columns as C
 from viewtide.session import staged
 
-#: Sketches that narrow a column down miss a rank by at most this share of the rows; shorter columns are taken whole.
+#: Sketches that narrow a column down miss a rank by at most one in so many rows.
 SKETCH_ACCURACY = 1000
-LEAST_ROWS = 10 * SKETCH_ACCURACY
+
+#: So many rows of one rank's range are put in order by one task, more are narrowed down first.
+FEW_ROWS = 100_000
 
 PLACE_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits of row number
 
@@ -67,109 +69,120 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: Map
         low = F.max(F.when(of & (F.col("_side") == "low"), F.col("_v")))
         high = F.max(F.when(of & (F.col("_side") == "high"), F.col("_v")))
         frac = F.max(F.when(of, F.col("_frac")))
-        aggs.append(interpolated(low, high, frac).alias(name))
+        # between equal values, infinite ones too, there is nothing to interpolate
+        aggs.append(F.when((frac == 0) | (low == high), low).otherwise(low + (high - low) * frac).alias(name))
     return hits.groupBy(*keys).agg(*aggs)
 
 
-def interpolated(low: Column, high: Column, share: Column) -> Column:
-    """Value between two neighbours; between equal values, infinite ones too, there is nothing to interpolate."""
-    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)
-
-
-@dataclass
-class Range:
-    """Where the wanted ranks of one column lie: all values from ``low`` to ``high`` (None: no bound), ``below`` being smaller."""
+@dataclass(frozen=True)
+class Wanted:
+    """A rank of a column and the open range it lies in, which ``rows`` rows share and ``below`` rows come before (None: no bound)."""
 
     column: str
-    prob: str
-    at: float
+    rank: int
     rows: int
-    low: float | None
-    high: float | None
+    low: float | None = None
+    high: float | None = None
     below: int = 0
 
     @property
-    def position(self) -> float:
-        return self.at * (self.rows - 1)
+    def value(self) -> Column:
+        return C.quoted(self.column).cast("double")
 
     @property
-    def ranks(self) -> tuple[int, int]:
-        return math.floor(self.position), math.ceil(self.position)
+    def inside(self) -> Column:
+        bounds = ([] if self.low is None else [self.value > F.lit(self.low)]) + (
+            [] if self.high is None else [self.value < F.lit(self.high)])
+        return reduce(Column.__and__, bounds, self.value.isNotNull())
 
-    def value(self) -> Column:
-        return C.quoted(self.column).cast("double")
+    @property
+    def shares(self) -> list[float]:
+        """Where to ask a sketch of the range for bounds that hold the rank, whichever way the sketch errs."""
+        at = (self.rank - self.below) / self.rows
+        return [max(0.0, at - 2 / SKETCH_ACCURACY), min(1.0, at + 2 / SKETCH_ACCURACY)]
 
-    def beneath(self) -> Column:
-        return F.lit(False) if self.low is None else self.value() < F.lit(self.low)
 
-    def inside(self) -> Column:
-        bounds = ([] if self.low is None else [self.value() >= F.lit(self.low)]) + (
-            [] if self.high is None else [self.value() <= F.lit(self.high)])
-        return reduce(Column.__and__, bounds, self.value().isNotNull())
+def one_row(df: DataFrame, aggregates: Sequence[Column]) -> Sequence:
+    return df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first() if aggregates else []
 
 
-def narrow_ranges(df: DataFrame, names: Sequence[str], probs: Mapping[str, float], also: Mapping[str, Sequence[Column]],
-                  accuracy: int = SKETCH_ACCURACY) -> tuple[list[Range], dict[str, list]]:
-    """Short ranges that hold the wanted ranks, from mergeable sketches, and the aggregates ``also`` of each column: one scan.
+def narrowed(df: DataFrame, asks: Sequence[Wanted], bounds: Sequence[Sequence[float]]) -> tuple[dict, list[Wanted]]:
+    """The ranks that equal one of their bounds, with their values, and the others inside them: one scan that only counts.
 
-    A second scan counts what lies below and inside; a range that misses its ranks is given up for the whole column.
+    Bounds that miss their rank are dropped: what lies beyond them is searched instead.
     """
-    slack = 2 / accuracy
-    shares = [share for at in probs.values() for share in (max(0.0, at - slack), min(1.0, at + slack))]
-    aggregates = []
-    for name in names:
-        value = C.quoted(name).cast("double")
-        aggregates += [F.count(value), F.percentile_approx(value, shares, accuracy), *also.get(name, ())]
-    row, found, extra, at = df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggregates)]).first(), [], {}, 0
-    for name in names:
-        rows, bounds, more = row[at], row[at + 1], len(also.get(name, ()))
-        extra[name], at = list(row[at + 2:at + 2 + more]), at + 2 + more
-        for i, (prob, share) in enumerate(probs.items()):
-            low, high = (None, None) if rows < LEAST_ROWS else bounds[2 * i:2 * i + 2]
-            if rows:
-                found.append(Range(name, prob, float(share), rows, low if share > slack else None,
-                                   high if share < 1 - slack else None))
-    if found:
-        counts = df.agg(*[F.count_if(c).alias(f"c{i}") for i, c in enumerate(c for r in found for c in (r.beneath(), r.inside()))]).first()
-        for i, one in enumerate(found):
-            one.below, inside = counts[2 * i:2 * i + 2]
-            if not (one.below <= one.ranks[0] and one.ranks[1] < one.below + inside):
-                one.below, one.low, one.high = 0, None, None
-    return found, extra
+    counters = [F.count_if(one.inside & test) for one, (low, high) in zip(asks, bounds) for test in (
+        one.value < F.lit(low), one.value == F.lit(low), one.value > F.lit(high), one.value == F.lit(high))]
+    counts = one_row(df, counters)
+    known, open_ = {}, []
+    for i, (one, (low, high)) in enumerate(zip(asks, bounds)):
+        less, at_low, more, at_high = counts[4 * i:4 * i + 4]
+        place, end = one.rank - one.below, one.rows - more - (at_high if high != low else 0)
+        if place < less:
+            open_.append(replace(one, high=low, rows=less))
+        elif place < less + at_low:
+            known[one.column, one.rank] = low
+        elif place < end:
+            open_.append(replace(one, low=low, high=high, rows=end - less - at_low, below=one.below + less + at_low))
+        elif place < one.rows - more:
+            known[one.column, one.rank] = high
+        else:
+            open_.append(replace(one, low=high, rows=more, below=one.below + one.rows - more))
+    return known, open_
+
+
+def read_off(df: DataFrame, asks: Sequence[Wanted]) -> dict:
+    """Values of ranks whose ranges hold at most ``FEW_ROWS`` rows: these rows only are shuffled, equal ones counted first."""
+    if not asks:
+        return {}
+    places = F.create_map(*[F.lit(x) for i, one in enumerate(asks) for x in (i, one.rank - one.below)])
+    entries = F.array(*[F.when(one.inside, F.struct(F.lit(i).alias("_ask"), one.value.alias("_v"))) for i, one in enumerate(asks)])
+    cells = df.select(F.inline(F.filter(entries, lambda x: x.isNotNull()))).groupBy("_ask", "_v").agg(F.count("*").alias("_n"))
+    upto, place = F.col("_upto"), places[F.col("_ask")]
+    hits = (cells.withColumn("_upto", running(["_ask"], F.col("_v"), "_n"))
+            .where((upto - F.col("_n") <= place) & (place < upto)).select("_ask", "_v"))
+    return {(asks[i].column, asks[i].rank): value for i, value in hits.collect()}
 
 
 def column_percentiles(df: DataFrame, names: Sequence[str], probs: Mapping[str, float],
-                       also: Mapping[str, Sequence[Column]] | None = None) -> tuple[DataFrame, dict[str, list]]:
-    """Linear-interpolated percentiles of whole columns: (column, one column per entry of ``probs``), and aggregates ``also``.
-
-    Nothing is sorted or shuffled but the distinct values inside the short ranges that hold the wanted ranks, below two
-    per cent of a long column. ``df`` is scanned three times: it should be a stored table. Missing values are ignored, a
-    column without values has no row.
+                       also: Mapping[str, Sequence[Column]] | None = None) -> tuple[dict[str, dict[str, float]], dict[str, list]]:
+    """Linear-interpolated percentiles of whole columns, exact: by column and name of the entry of ``probs``; and aggregates ``also``.
+
+    Nothing is sorted but at most ``FEW_ROWS`` rows a rank. Mergeable sketches narrow every wanted rank down to a short
+    range, a second scan counts what lies below and inside, and that goes on inside the range until it is short enough: each
+    turn leaves less than a hundredth of the rows. Ranks that fall on a value of many rows are found by counting alone. Two numbers a rank
+    reach the driver. ``df`` is scanned several times: it should be a stored table. Missing values are ignored, a column without values
+    has no entry. NaN is the largest value.
     """
-    ranges, extra = narrow_ranges(df, names, probs, also or {})
-    spark = df.sparkSession
-    asks = spark.createDataFrame([(i, r.column, r.prob, r.ranks[0] - r.below, r.ranks[1] - r.below, r.position - r.ranks[0])
-                                  for i, r in enumerate(ranges)],
-                                 "_ask int, column string, _prob string, _low bigint, _high bigint, _frac double")
-    if not ranges:
-        return asks.select("column", *[F.lit(None).cast("double").alias(p) for p in probs]), extra
-    wanted = F.filter(F.array(*[F.when(r.inside(), F.struct(F.lit(i).alias("_ask"), r.value().alias("_v")))
-                                for i, r in enumerate(ranges)]), lambda x: x.isNotNull())
-    cells = df.select(F.inline(wanted)).groupBy("_ask", "_v").agg(F.count("*").alias("_n"))
-    cells = in_order(cells, ["_ask"], "_v")
-    chunks = (cells.groupBy("_ask", "_chunk").agg(F.sum("_n").alias("_sum"))
-              .withColumn("_before", running(["_ask"], F.col("_chunk"), "_sum") - F.col("_sum")))
-    # a chunk is looked into only if a wanted rank lies in it
-    chunks = (chunks.join(asks, "_ask").where((F.col("_before") <= F.col("_high")) & (F.col("_low") < F.col("_before") + F.col("_sum"))))
-    placed = cells.join(chunks, ["_ask", "_chunk"]).withColumn(
-        "_upto", F.col("_before") + running(["_ask", "_chunk"], F.col("_id"), "_n"))
-
-    def ranked(rank: str) -> Column:
-        return F.max(F.when((F.col("_upto") - F.col("_n") <= F.col(rank)) & (F.col(rank) < F.col("_upto")), F.col("_v")))
-
-    hits = placed.groupBy("column", "_prob").agg(ranked("_low").alias("_lv"), ranked("_high").alias("_hv"), F.max("_frac").alias("_frac"))
-    read_off = interpolated(F.col("_lv"), F.col("_hv"), F.col("_frac"))
-    return hits.groupBy("column").agg(*[F.max(F.when(F.col("_prob") == p, read_off)).alias(p) for p in probs]), extra
+    slack = 2 / SKETCH_ACCURACY
+    wide = [x for at in probs.values() for x in (max(0.0, at - slack), min(1.0, at + slack))]
+    per_column, also = [], also or {}
+    for name in names:
+        value = C.quoted(name).cast("double")
+        per_column.append([F.count(value), F.percentile_approx(value, wide, SKETCH_ACCURACY), *also.get(name, ())])
+    row = iter(one_row(df, [a for aggregates in per_column for a in aggregates]))
+    places, extra, asks, bounds = {}, {}, {}, {}
+    for name, aggregates in zip(names, per_column):
+        rows, sketch, *extra[name] = [next(row) for _ in aggregates]
+        for i, (prob, at) in enumerate(probs.items() if rows else ()):
+            places[name, prob] = float(at) * (rows - 1)
+            for rank in {math.floor(places[name, prob]), math.ceil(places[name, prob])}:
+                asks[name, rank], bounds[name, rank] = Wanted(name, rank, rows), sketch[2 * i:2 * i + 2]
+    known, left = {}, list(asks.values())
+    while left:
+        known |= read_off(df, [one for one in left if one.rows <= FEW_ROWS])
+        long = [one for one in left if one.rows > FEW_ROWS]
+        if long and not bounds:
+            found = one_row(df, [F.percentile_approx(F.when(one.inside, one.value), one.shares, SKETCH_ACCURACY) for one in long])
+            bounds = {(one.column, one.rank): pair for one, pair in zip(long, found)}
+        more, left = narrowed(df, long, [bounds[one.column, one.rank] for one in long])
+        known, bounds = known | more, {}
+    result = {}
+    for (name, prob), place in places.items():
+        low, high = known[name, math.floor(place)], known[name, math.ceil(place)]
+        # between equal values, infinite ones too, there is nothing to interpolate
+        result.setdefault(name, {})[prob] = low if low == high or place == math.floor(place) else low + (high - low) * (place - math.floor(place))
+    return result, extra
 
 
 def top_share(cells: DataFrame, keys: Sequence[str], value: str, users: str, size, integral: bool,
