@@ -83,6 +83,18 @@ def test_baselines(spark):
     assert [(r.naive, r.seasonal_naive) for r in short] == [(1.0, 1.0)] * 2
 
 
+def test_numbered_series_are_the_split_gap_free_series_with_their_season(spark):
+    rng = random.Random(3)
+    data = {f"r{n}": [rng.randrange(1, 9) if i in (0, n - 1) or rng.random() < 0.3 else None for i in range(n)] for n in (1, 4, 9, 10, 37, 60, 100)}
+    data["inf"] = [1.0] * 50 + [float("inf")]
+    named = usage(spark, data).unionByName(usage(spark, data, {r: "other " + r for r in data}))      # two names a day
+    totals = S.daily_totals(named)
+    got, expected = S.numbered_series(totals), S.split_series(S.fill_series(totals))
+    assert dict(got.drop("_season").dtypes) == dict(expected.dtypes)
+    assert comparison.spark_rows(got.drop("_season")) == comparison.spark_rows(expected)
+    assert comparison.spark_rows(S.with_baselines(got)) == comparison.spark_rows(S.with_baselines(expected))
+
+
 def test_errors(spark):
     df = spark.createDataFrame([("r", 10.0, 8.0, 9.0), ("r", 0.0, 3.0, 0.0), ("z", 0.0, 1.0, 0.0)], "report_id string, views double, naive double, seasonal_naive double")
     got = {r.report_id: r for r in S.baseline_errors(df).collect()}

@@ -49,3 +49,11 @@ def test_one_percentile_path(spark):
         shapes.add(tuple(re.findall(r"\b(?:HashAggregate|SortMergeJoin|Window|Exchange)\b", plan(
             performance.build_report_performance_features(loads), "simple"))))
     assert len(shapes) == 1
+
+
+@pytest.mark.parametrize("name", ["fc_daily_series", "win_train_test", "win_naive_last", "win_seasonal_naive", "agg_backtest_errors"])
+def test_calendar_days_are_never_sorted(spark, name):
+    """One sort, of the days with usage; what is stretched to calendar days is read through."""
+    text = plan(QUERIES[name](spark, SF))
+    above = text[:text.index("Generate explode(sequence")]
+    assert text.count("Sort [") == 1 and "Sort [" not in above and "Window [" not in above
