@@ -57,3 +57,11 @@ def test_calendar_days_are_never_sorted(spark, name):
     text = plan(QUERIES[name](spark, SF))
     above = text[:text.index("Generate explode(sequence")]
     assert text.count("Sort [") == 1 and "Sort [" not in above and "Window [" not in above
+
+
+@pytest.mark.parametrize("name, hashed", [
+    ("fc_metrics", 2), ("fc_accept", 2), ("union_series", 4), ("fc_history", 4), ("filter_future_rows", 4)])
+def test_stand_in_joins_nothing(spark, name, hashed):
+    """Forecast and actual come on one row: no join by report and step, no sort but that of the days with usage."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "Join" not in text.replace("BroadcastHashJoin [l_partkey", "") and exchanges(text).count("hashpartitioning") == hashed
