@@ -65,3 +65,10 @@ def test_stand_in_joins_nothing(spark, name, hashed):
     """Forecast and actual come on one row: no join by report and step, no sort but that of the days with usage."""
     text = plan(QUERIES[name](spark, SF))
     assert "Join" not in text.replace("BroadcastHashJoin [l_partkey", "") and exchanges(text).count("hashpartitioning") == hashed
+
+
+@pytest.mark.parametrize("name", ["fc_realized", "join_unseen_keys", "join_forecast_actuals", "except_existing_keys"])
+def test_histories_start_from_days_with_usage(spark, name):
+    """The forecasts of a history come from the series step: no numbering or collecting of calendar days."""
+    text = plan(QUERIES[name](spark, SF))
+    assert "Generate explode(sequence" in text and "row_number" not in text and "collect_list" not in text
