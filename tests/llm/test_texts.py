@@ -388,6 +388,22 @@ def test_ids_equal_the_library():
     assert [np.frombuffer(encoder.ids(t.encode()), "<u4").tolist() for t in texts] == [e.ids for e in want]
 
 
+def test_known_words_are_bounded_and_frequent_ones_stay():
+    """A full table is put aside: rare words go, a word of every text is tokenized once."""
+    encoder = packing.Encoder(queries.tokenizer_path(), most=50)
+    asked, part = [], encoder.model
+    encoder.model = type("Counting", (), {"tokenize": lambda self, x: asked.append(x) or part.tokenize(x)})()
+    names = ["".join(chr(97 + n // 26 ** k % 26) for k in range(4)) for n in range(2000)]
+    held = []
+    for name in names:
+        encoder.ids(f"frequent rare{name}".encode())
+        held.append(len(encoder.words) + len(encoder.earlier_words) + len(encoder.parts) + len(encoder.earlier_parts))
+    assert asked.count("frequent") == 1 and len(asked) == 2001
+    assert max(held) <= 4 * 53
+    encoder.forget()
+    assert not encoder.words and not encoder.earlier_words and not encoder.parts and not encoder.earlier_parts
+
+
 def test_bound_is_a_bound():
     rng = random.Random(7)
     for _ in range(200):

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from viewtide.llm import common
 
 CAPACITY, END_ID, PART_ROWS, WORDS_AT_ONCE = 4096, 1, 100_000, 50_000
+#: Known words at once, and as many that were known before. A word and its ids take some 200 bytes.
+MOST_WORDS = 60_000
 #: A bin is poorly filled if more than one part in so many is free.
 POOR = 8
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -47,31 +49,34 @@ def byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of whole texts as bytes. White space always ends a token of this vocabulary, so words are looked up one by one.
 
-    Words that are not known are tokenized by the library; the tables of known words have a bounded size.
+    Words that are not known are tokenized by the library; the tables of known words have a bounded size. A full table is
+    put aside and the next one takes from it what still occurs, so frequent words stay known and rare ones are dropped.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = MOST_WORDS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.words, self.parts = most, {}, {}
+        self.most, self.words, self.parts, self.earlier_words, self.earlier_parts = most, {}, {}, {}, {}
         self.model = self.tokenizer.model
         self.letters = byte_letters()
 
     def part(self, x: str) -> bytes:
+        if x in self.earlier_parts:
+            ids = self.parts[x] = self.earlier_parts.pop(x)
+            return ids
         shown = x if x.isascii() and x.isprintable() else x.encode().decode("latin-1").translate(self.letters)
         found = [t.id for t in self.model.tokenize(shown)]
         ids = self.parts[x] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def forget(self) -> None:
-        self.words.clear()
-        self.parts.clear()
+        self.words, self.parts, self.earlier_words, self.earlier_parts = {}, {}, {}, {}
 
     def learn(self, words: set[bytes], special: bool = True) -> None:
         """Take up words; ``special`` says whether the text they come from holds a special token."""
         if len(self.parts) > self.most:
-            self.parts.clear()
+            self.parts, self.earlier_parts = {}, self.parts
         parts, other = self.parts, []
         for w in words:
             text = w.decode()
@@ -89,13 +94,18 @@ class Encoder:
             self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
     def ids(self, text: bytes) -> bytes:
-        words, known, out = text.split(), self.words, []
+        words, out = text.split(), []
         special = any(x in text for x in self.special)
         for at in range(0, len(words), WORDS_AT_ONCE):
             some = words[at:at + WORDS_AT_ONCE]
-            if len(known) > self.most:
-                known.clear()
+            if len(self.words) > self.most:
+                self.words, self.earlier_words = {}, self.words
+            known, earlier = self.words, self.earlier_words
             missing = set(some).difference(known)
+            if earlier:
+                again = {w for w in missing if w in earlier}
+                known.update((w, earlier.pop(w)) for w in again)
+                missing -= again
             if missing:
                 self.learn(missing, special)
             out.append(b"".join([known[w] for w in some]))
