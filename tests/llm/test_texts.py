@@ -404,6 +404,20 @@ def test_known_words_are_bounded_and_frequent_ones_stay():
     assert not encoder.words and not encoder.earlier_words and not encoder.parts and not encoder.earlier_parts
 
 
+def test_forms_of_a_word_share_one_entry():
+    """A lower-case word is its own part: kept once and tokenized once, whichever of its forms comes first."""
+    encoder = packing.Encoder(queries.tokenizer_path())
+    asked, part = [], encoder.model
+    encoder.model = type("Counting", (), {"tokenize": lambda self, x: asked.append(x) or part.tokenize(x)})()
+    names = ["".join(chr(97 + n // 26 ** k % 26) for k in range(4)) for n in range(500)]
+    lower = encoder.ids(" ".join(names).encode())
+    assert len(encoder.words) + len(encoder.parts) == 500
+    assert encoder.ids(" ".join(names).title().encode()) == lower and len(asked) == 500
+    encoder.forget()
+    assert encoder.ids(" ".join(names).upper().encode()) == lower and encoder.ids(" ".join(names).encode()) == lower
+    assert len(asked) == 1000 and len(encoder.words) == 1000 and not encoder.parts
+
+
 def test_bound_is_a_bound():
     rng = random.Random(7)
     for _ in range(200):
